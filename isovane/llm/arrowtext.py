@@ -9,16 +9,17 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 PIECE_BYTES = 1 << 20
+PIECE_ROWS = 512
 
 
-def pieces(column: pa.Array, limit: int = PIECE_BYTES) -> Iterator[tuple[int, int]]:
-    """Row ranges (start, stop) of a string column with about ``limit`` bytes each, one row at least."""
+def pieces(column: pa.Array, limit: int = PIECE_BYTES, most: int = PIECE_ROWS) -> Iterator[tuple[int, int]]:
+    """Row ranges (start, stop) of a string column with about ``limit`` bytes and ``most`` rows each, one row at least."""
     sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
     start, n = 0, len(sizes)
     ends = np.cumsum(sizes)
     while start < n:
         base = ends[start] - sizes[start]
-        stop = max(start + 1, int(np.searchsorted(ends, base + limit, side="right")))
+        stop = max(start + 1, min(start + most, int(np.searchsorted(ends, base + limit, side="right"))))
         yield start, stop
         start = stop
 

@@ -82,10 +82,10 @@ def keep_cleaned(docs: DataFrame) -> DataFrame:
 ORACLE = r"""
 WITH docs AS (SELECT doc_id, text, string_split(text, chr(10)) AS lines FROM documents),
 w AS (
-  SELECT doc_id, i AS at, lines[i + 1] || chr(10) || lines[i + 2] || chr(10) || lines[i + 3] AS body
+  SELECT doc_id, i AS place, lines[i + 1] || chr(10) || lines[i + 2] || chr(10) || lines[i + 3] AS body
   FROM (SELECT doc_id, lines, unnest(range(0, greatest(len(lines) - 2, 0))) AS i FROM docs)),
-f AS (SELECT *, row_number() OVER (PARTITION BY body ORDER BY doc_id, at) AS r FROM w),
-gone AS (SELECT DISTINCT doc_id, at + j AS line FROM (SELECT doc_id, at, unnest([0, 1, 2]) AS j FROM f WHERE r > 1)),
+f AS (SELECT *, row_number() OVER (PARTITION BY body ORDER BY doc_id, place) AS r FROM w),
+gone AS (SELECT DISTINCT doc_id, place + j AS line FROM (SELECT doc_id, place, unnest([0, 1, 2]) AS j FROM f WHERE r > 1)),
 l AS (SELECT doc_id, unnest(range(0, len(lines))) AS line, unnest(lines) AS body FROM docs),
 m AS (SELECT l.doc_id, l.line, l.body, g.line IS NOT NULL AS gone FROM l LEFT JOIN gone g ON l.doc_id = g.doc_id AND l.line = g.line)
 SELECT doc_id, coalesce(string_agg(body, chr(10) ORDER BY line) FILTER (WHERE NOT gone), '') AS text,
