@@ -90,8 +90,9 @@ def _order_buckets(ids: DataFrame, key: Column, least: int) -> Column:
     if cuts <= 1:
         return bucket.cast("long")
     low = F.when(bucket == 0, F.lit(int(found.lo or 0)).cast("long")).otherwise(F.element_at(bounds, bucket))
-    width = F.greatest(F.element_at(bounds, bucket + 1) - low, F.lit(1).cast("long"))
-    inside = F.least(F.floor((key - low) * float(cuts) / width), F.lit(cuts - 1)).cast("long")
+    real = lambda c: c.cast("double")  # noqa: E731  differences of ids may not fit a long
+    width = F.greatest(real(F.element_at(bounds, bucket + 1)) - real(low), F.lit(1.0))
+    inside = F.least(F.floor((real(key) - real(low)) * float(cuts) / width), F.lit(cuts - 1)).cast("long")
     return bucket.cast("long") * cuts + F.greatest(inside, F.lit(0).cast("long"))
 
 
@@ -111,14 +112,14 @@ def edit_pairs(docs: DataFrame, k: int = K, width: int = WIDTH) -> DataFrame:
     least = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     bucket = _order_buckets(docs.select(F.col("doc_id").cast("long").alias("doc_id")), key, least)
     keyed = rows.withColumn("key", key).withColumn("tie", F.xxhash64("text")).withColumn("bucket", bucket)
-    heads = keyed.groupBy("bucket").agg(F.min(F.struct((-F.col("key") - 1).alias("down"), "tie")).alias("head"))
+    heads = keyed.groupBy("bucket").agg(F.min(F.struct(F.bitwise_not("key").alias("down"), "tie")).alias("head"))
     order = sorted((r.bucket, r["head"].down, r["head"].tie) for r in heads.collect())[::-1]  # a row for each bucket
     if not order:
         order = [(0, 0, 0)]
     nexts = [(*order[(i + 1) % len(order)][1:], order[i][0]) for i in range(len(order))]
     wanted = spark.createDataFrame(nexts, "down long, tie2 long, to long")
     guests = (
-        keyed.join(F.broadcast(wanted), ((-F.col("key") - 1) == F.col("down")) & (F.col("tie") == F.col("tie2")))
+        keyed.join(F.broadcast(wanted), (F.bitwise_not("key") == F.col("down")) & (F.col("tie") == F.col("tie2")))
         .select("doc_id", "text", "key", "tie", F.col("to").alias("bucket"), F.lit(1).alias("guest"))
     )
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))

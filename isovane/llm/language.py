@@ -241,9 +241,8 @@ def keep_identified(docs: DataFrame, least: float = LEAST_COSINE) -> DataFrame:
     Texts that are null or without letters, and those further than ``least`` from every prototype, go.
     """
     prototypes = learn(docs.where(~held_out()))
-    columns = docs.columns
-    judged = predict(docs.withColumn("_text", F.col("text")), prototypes, text="_text", keep=tuple(columns))
-    return judged.where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= least)).select(*columns)
+    judged = predict(docs.select(F.struct(*docs.columns).alias("row"), "text"), prototypes, keep=("row",))
+    return judged.where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= least)).select("row.*")
 
 
 __all__ = ["identify", "keep_identified", "learn", "predict"]

@@ -42,6 +42,7 @@ def dedup_lines(docs: DataFrame, size: int = WINDOW) -> DataFrame:
     Lines are what "\\n" separates. A text with fewer than ``size`` lines has no window and stays as it is,
     as do null texts (no line) and empty ones (one line). Windows that repeat within one text count too.
     Rows that share doc_id and text are one occurrence: each gets the same result. Null ids come last.
+    Columns n_lines and n_removed of ``docs`` are replaced.
     """
     covered = (
         later_windows(docs, size)
@@ -49,20 +50,19 @@ def dedup_lines(docs: DataFrame, size: int = WINDOW) -> DataFrame:
         .agg(F.collect_set("at").alias("starts"))
         .select(F.col("doc_id").alias("_id"), F.col("body").alias("_body"), "starts")
     )
-    keyed = docs.withColumn("_own", F.xxhash64("text"))
-    joined = keyed.join(covered, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_body")), "left")
-    lines = F.split("text", "\n", -1)
+    keyed = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "text", F.xxhash64("text").alias("own"))
+    joined = keyed.join(covered, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("own") == F.col("_body")), "left")
     gone = F.array_distinct(F.flatten(F.transform("starts", lambda s: F.sequence(s, s + (size - 1)))))
-    n = F.when(F.col("text").isNull(), 0).otherwise(F.size("_lines"))
-    kept = F.array_except(F.sequence(F.lit(0), n - 1), F.col("_gone"))
-    columns = [c for c in docs.columns if c != "text"]
-    staged = joined.withColumn("_lines", lines).withColumn("_gone", gone)
-    cleaned = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda i: F.get("_lines", i)), "\n"))
+    staged = joined.select("row", "text", F.split("text", "\n", -1).alias("lines"), gone.alias("gone"))
+    n = F.when(F.col("text").isNull(), 0).otherwise(F.size("lines"))
+    kept = F.array_except(F.sequence(F.lit(0), n - 1), F.col("gone"))
+    cleaned = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda i: F.get("lines", i)), "\n"))
+    columns = [c for c in docs.columns if c not in ("text", "n_lines", "n_removed")]
     return staged.select(
-        *columns,
+        *[F.col("row")[c].alias(c) for c in columns],
         cleaned.alias("text"),
         n.cast("long").alias("n_lines"),
-        F.when(F.col("_gone").isNull(), 0).otherwise(F.size("_gone")).cast("long").alias("n_removed"),
+        F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")).cast("long").alias("n_removed"),
     )
 
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from isovane.llm import bottomk, chat, language, linedup, quality, simhash
+from isovane.llm import bottomk, chat, language, linedup, maxscore, mixing, packing, quality, sharding, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,10 +38,29 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linedup.digest(_table(spark, sf_dir, "documents"))
 
 
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.digest(_table(spark, sf_dir, "documents"))
+
+
+def op8_maxscore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maxscore.digest(_table(spark, sf_dir, "embeddings"))
+
+
+def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.digest(_table(spark, sf_dir, "documents"))
+
+
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_language_id, op2_quality_classifier, op3_chat_formatting, op4_simhash, op5_fingerprints, op6_line_dedup]
+    found = [
+        op1_language_id, op2_quality_classifier, op3_chat_formatting, op4_simhash, op5_fingerprints, op6_line_dedup,
+        op7_mixing, op8_maxscore, op9_sharding, op10_packing,
+    ]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_chat_formatting": chat.ORACLE, "op6_line_dedup": linedup.ORACLE}
+    return {"op3_chat_formatting": chat.ORACLE, "op6_line_dedup": linedup.ORACLE, "op7_mixing": mixing.ORACLE, "op8_maxscore": maxscore.ORACLE}
