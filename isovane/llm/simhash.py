@@ -7,6 +7,11 @@ replicated to every anchor within covering radius + threshold = 1 + 1 = 2 (17 at
 differ in at most 1 bit, the anchor nearest to the one is within 2 of the other, so the two meet at it;
 there the whole fingerprints are compared. Only distinct fingerprints take part, so that copies
 never multiply.
+
+``near_duplicates`` links fingerprints of word shingles. A text whose 5-word shingles are 80 % alike differs in some
+6 to 16 bits of such a fingerprint, out of reach of any covering that stays small. ``alike`` therefore covers
+fingerprints of the distinct words, which a few edits hardly move, in ``TABLES`` independent ones, takes what meets at
+an anchor as candidates only, and keeps those whose shingles are alike by a bottom-k sketch.
 """
 
 from __future__ import annotations
@@ -19,12 +24,22 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from isovane.llm.bottomk import resemblance
 from isovane.plans.fixpoint import connected_components
 from isovane.plans.lineage import cut
 
 THRESHOLD = 3
 HALF = 32
 CODE = 31
+TABLES = 3
+SIMILARITY = 0.8
+WIDTH = 5
+SKETCH = 256
+#: Texts at an anchor with more than CROWD compare only with LEADERS of them, nearest to the majority of their bits.
+CROWD = 4
+#: Candidates differ in at most so many bits of the fingerprint whose anchor they share; 0.8 alike ones rarely in more.
+NEAR_BITS = 9
+LEADERS = 1
 
 
 def fingerprint_of(text: str | bytes | None, width: int = 3) -> int:
@@ -135,14 +150,122 @@ def hex_fingerprint(fp: Column) -> Column:
     return F.lpad(F.lower(F.hex(fp)), 16, "0")
 
 
-def keep_one_per_group(docs: DataFrame, threshold: int = THRESHOLD, width: int = 5) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is the smallest of its component; of repeated doc_ids one row stays.
+def word_fingerprints(docs: DataFrame, text: str = "text", tables: int = TABLES) -> DataFrame:
+    """(tid, fps) for every row: the hash of its text and ``tables`` fingerprints of its distinct words; without words all 0."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [_word_prints(t.as_py(), tables) for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.int64()))], ["tid", "fps"])
+
+    body = F.coalesce(F.col(text), F.lit(""))
+    return docs.select(F.xxhash64(body).alias("tid"), body.cast("binary").alias("_body")).mapInArrow(run, "tid long, fps array<long>")
+
+
+def _word_prints(raw: bytes, tables: int) -> list[int]:
+    words = set(raw.lower().split())
+    if not words:
+        return [0] * tables
+    first = np.fromiter((xxhash.xxh64_intdigest(w, 42) for w in words), np.uint64, len(words))
+    out = []
+    for t in range(tables):
+        out.append(int(np.packbits(_bit_counts_of(first) * 2 > len(words)).view(">u8")[0].astype(np.int64)))
+        first = (first ^ (first >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15 + 2 * t)
+        first ^= first >> np.uint64(29)
+    return out
+
+
+def _bit_counts_of(hashes: np.ndarray) -> np.ndarray:
+    total = np.zeros(64, np.int64)
+    for lo in range(0, len(hashes), 65_536):
+        block = hashes[lo : lo + 65_536].astype(">u8")
+        total += np.unpackbits(block.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return total
 
-    Rows with a null doc_id stay: nothing identifies them.
-    """
-    found = near_duplicates(docs, threshold, width).where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    kept = docs.join(found, "doc_id", "left_anti")
-    return kept
 
+def shingle_sketches(docs: DataFrame, width: int = WIDTH, k: int = SKETCH) -> DataFrame:
+    """(tid, sketch) of (tid, text): the ``k`` smallest 32-bit hashes of the distinct ``width``-word shingles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [_sketch(t.as_py(), width, k) for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.int64()))], ["tid", "sketch"])
 
-__all__ = ["THRESHOLD", "anchor_masks", "fingerprint_of", "fingerprints", "hex_fingerprint", "keep_one_per_group", "links", "near_duplicates"]
+    return docs.select("tid", F.col("text").cast("binary")).mapInArrow(run, "tid long, sketch array<long>")
+
+
+def _sketch(raw: bytes, width: int, k: int) -> list[int]:
+    words = raw.lower().split()
+    grams = {b" ".join(words[i : i + width]) for i in range(max(1, len(words) - width + 1))} if words else set()
+    hashes = np.unique(np.fromiter((xxhash.xxh32_intdigest(g, 42) for g in grams), np.int64, len(grams)))
+    return hashes[:k].tolist()
+
+
+def _anchored(prints: DataFrame, tables: int) -> tuple[DataFrame, DataFrame]:
+    """(home, spread): (key, tid, fp) at the nearest anchor of every half, and at all anchors within 2."""
+    masks = F.array(*[F.array(*[F.lit(m).cast("long") for m in row]) for row in anchor_masks()])
+    each = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(tables - 1)), lambda t: F.transform(_halves(F.get("fps", t)), lambda h: F.struct((t * 2 + h.side).alias("side"), h.half.alias("half"), F.get("fps", t).alias("fp")))))
+    sides = prints.select("tid", F.explode(each).alias("h")).select("tid", "h.side", "h.half", "h.fp")
+    sides = sides.withColumn("flips", F.element_at(masks, _syndrome(F.col("half")) + 1))
+    key = lambda flip: F.col("half").bitwiseXOR(flip) * (2 * tables) + F.col("side")
+    home = sides.select(key(F.element_at("flips", 1)).alias("key"), "tid", "fp")
+    spread = sides.select("tid", "fp", "half", "side", F.explode("flips").alias("flip")).select(key(F.col("flip")).alias("key"), "tid", "fp")
+    return home, spread
+
+
+def _leaders(home: DataFrame) -> DataFrame:
+    """(key, leader, leader_fp): all texts at home at an anchor, or, of more than ``CROWD``, some nearest to their common bits.
+
+    In a crowd of near copies the original is nearest to the majority of bits; copies are linked through it.
+    """
+    counted = home.groupBy("key").agg(F.count("*").alias("n"), *[F.sum(F.getbit("fp", F.lit(i)).cast("long")).alias(f"b{i}") for i in range(64)])
+    ones = [F.when(F.col(f"b{i}") * 2 > F.col("n"), F.shiftleft(F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long")) for i in range(64)]
+    middle = ones[0]
+    for bit in ones[1:]:
+        middle = middle.bitwiseOR(bit)
+    crowds = counted.where(F.col("n") > CROWD).select("key", middle.alias("middle"))
+    marked = home.join(crowds, "key", "left")
+    few = marked.where(F.col("middle").isNull()).select("key", F.col("tid").alias("leader"), F.col("fp").alias("leader_fp"))
+    far = F.bit_count(F.col("fp").bitwiseXOR(F.col("middle")))
+    nearest = marked.where(F.col("middle").isNotNull()).groupBy("key", F.pmod(F.xxhash64("tid"), F.lit(LEADERS)).alias("lot")).agg(F.min(F.struct(far.alias("far"), "tid", "fp")).alias("m"))
+    return few.unionByName(nearest.select("key", F.col("m.tid").alias("leader"), F.col("m.fp").alias("leader_fp")))
+
+
+def alike(docs: DataFrame, similarity: float = SIMILARITY, width: int = WIDTH, tables: int = TABLES) -> DataFrame:
+    """(u, v), u < v: text hashes of found pairs of different texts whose shingle sets are ``similarity`` alike or more.
+
+    Likeness is exact up to ``SKETCH`` shingles, else estimated (standard error 0.025 at 0.8). A text's hash is
+    xxhash64; two texts that share it count as one (3 pairs in 10^10 texts).
+    """
+    prints = cut(word_fingerprints(docs, tables=tables).groupBy("tid").agg(F.first("fps").alias("fps")))
+    home, spread = _anchored(prints, tables)
+    led = _leaders(cut(home)).withColumnRenamed("key", "led")
+    close = F.bit_count(F.col("fp").bitwiseXOR(F.col("leader_fp"))) <= NEAR_BITS
+    met = spread.join(led, (F.col("key") == F.col("led")) & (F.col("tid") != F.col("leader")) & close)
+    pairs = cut(met.select(F.least("tid", "leader").alias("u"), F.greatest("tid", "leader").alias("v")).distinct())
+    some = pairs.select(F.explode(F.array("u", "v")).alias("tid")).distinct()
+    bodies = docs.select(F.xxhash64(F.coalesce("text", F.lit(""))).alias("tid"), F.coalesce("text", F.lit("")).alias("text")).join(some, "tid", "left_semi")
+    sketches = cut(shingle_sketches(bodies, width).groupBy("tid").agg(F.first("sketch").alias("sketch")))
+    of = lambda name: sketches.select(F.col("tid").alias(name), F.col("sketch").alias(f"sketch_{name}"))
+    both = pairs.join(of("u"), "u").join(of("v"), "v")
+    return both.where(resemblance(F.col("sketch_u"), F.col("sketch_v"), SKETCH) >= similarity).select("u", "v")
+
+
+def keep_one_per_group(docs: DataFrame, similarity: float = SIMILARITY, width: int = WIDTH) -> DataFrame:
+    """The rows of ``docs`` whose doc_id is the smallest of its group: equal and alike texts, and what these lead to.
+
+    Null texts count as empty. Rows with a null doc_id stay: nothing identifies them. Rows that share the
+    smallest doc_id of their group stay together.
+    """
+    narrow = cut(docs.where(F.col("doc_id").isNotNull()).select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("tid")))
+    roots = connected_components(alike(docs, similarity, width))
+    firsts = narrow.groupBy("tid").agg(F.min("doc_id").alias("first_id"))
+    grouped = firsts.join(roots, firsts.tid == roots.node, "left").select("tid", "first_id", F.coalesce("component", "tid").alias("root"))
+    lowest = grouped.groupBy("root").agg(F.min("first_id").alias("kept_id"))
+    named = grouped.join(lowest, "root").select("tid", "kept_id")
+    stay = narrow.join(named, "tid").where(F.col("doc_id") == F.col("kept_id")).select("doc_id").distinct()
+    gone = narrow.select("doc_id").distinct().join(stay, "doc_id", "left_anti")
+    return docs.join(gone, "doc_id", "left_anti")
+
+
+__all__ = ["THRESHOLD", "alike", "anchor_masks", "fingerprint_of", "fingerprints", "hex_fingerprint", "keep_one_per_group", "links", "near_duplicates"]
