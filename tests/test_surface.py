@@ -287,3 +287,44 @@ def test_catalogue_and_presets(spark):
 def test_colours(spark):
     r = spark.range(1).select(*[c.alias(n) for c, n in zip(g.heat_color(F.lit(0.0)), "abcd", strict=True)], *[c.alias(n) for c, n in zip(g.heat_color(F.lit(1.0)), "efgh", strict=True)]).first()
     assert tuple(r) == (0, 0, 0, 0, 255, 0, 0, 255)
+
+
+def test_probe(spark):
+    from isovane.operators import recon
+
+    grid = layered(spark, 2, 2)
+    points = spark.createDataFrame([(0, 0.5 * SPACING[0], 0.0, 0.0), (1, -30.0, 0.0, 0.0)], "pid long, wx double, wy double, wz double")
+    rows = {r.pid: r for r in recon.probe(grid, points, 255.0, tolerance=0.5).collect()}
+    assert rows[0].converged and abs(rows[0].wx / SPACING[0]) < 0.01 and (rows[0].x, rows[0].y, rows[0].z) == (0, 0, 0)
+    assert not rows[1].converged and rows[1].wx == -30.0 and rows[1].residual == -255.0
+
+
+def test_reconstruction(spark):
+    from isovane.operators import recon
+
+    grid = layered(spark, 4, 3)
+    settings = target.TargetSettings()
+    samples = target.with_normals(grid, target.classified(grid, settings), 255.0).cache()
+    kinds = [r.kind for r in samples.collect()]
+    assert (kinds.count("core"), kinds.count("transition")) == (226, 162)
+    vertices, triangles, outcome = recon.reconstruct(grid, samples, recon.MlsSettings(radius=2.0, max_move=0.5))
+    rows = vertices.collect()
+    assert rows and triangles.count() > 0
+    assert all(abs(r.nx**2 + r.ny**2 + r.nz**2 - 1) < 1e-3 for r in rows)
+    found = outcome.first()
+    assert found.vertices == len(rows) and found.farthest <= 0.5 + 1e-9 and found.fallback < 0.2 * len(rows)
+
+
+def test_segment_and_box(spark):
+    import random
+
+    from isovane.operators import recon
+
+    rng = random.Random(4)
+    rows = [(i, *[rng.uniform(-3, 3) for _ in range(6)], *[rng.uniform(-1, 0) for _ in range(3)], *[rng.uniform(0, 1) for _ in range(3)]) for i in range(60)]
+    names = ["ax", "ay", "az", "bx", "by", "bz", "lx", "ly", "lz", "hx", "hy", "hz"]
+    df = spark.createDataFrame(rows, "i long, " + ", ".join(f"{n} double" for n in names))
+    got = {r.i: r.d2 for r in df.select("i", recon.segment_box_d2(*[g.vector(*names[k : k + 3]) for k in (0, 3, 6, 9)]).alias("d2")).collect()}
+    for i, *c in rows:
+        best = min(sum(max(c[6 + k] - p, p - c[9 + k], 0) ** 2 for k, p in enumerate(c[k] + (c[3 + k] - c[k]) * t / 2000 for k in range(3))) for t in range(2001))
+        assert got[i] == pytest.approx(best, abs=5e-3) and got[i] <= best + 1e-12
