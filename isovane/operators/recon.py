@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from isovane.functions import geometry as g
@@ -93,6 +93,7 @@ def located(grid: Grid, samples: DataFrame, iso: float) -> DataFrame:
     Core samples lie at the mean of their crossings and belong to their 26-connected component; transitions lie at their
     voxel and belong to the component of the nearest core sample around (equal ones: the first), or to none.
     """
+    samples = samples.select(*KEY, "value", "kind", "support", "nx", "ny", "nz")
     core = samples.where("kind = 'core'")
     met = target.crossings(grid, core, iso)
     means = met.groupBy(*KEY).agg(*[F.avg(F.col(d) * F.col("t")).alias(f"o{d}") for d in ("dx", "dy", "dz")])
@@ -205,34 +206,26 @@ def outcome(moved: DataFrame) -> DataFrame:
     return moved.agg(F.count("*").alias("vertices"), F.count_if(~F.col("projected")).alias("fallback"), F.count_if("rejected").alias("rejected"), F.count_if("density_rejected").alias("density_rejected"), F.max("moved").alias("farthest"))
 
 
-def segment_box_d2(a: g.Vector, b: g.Vector, low: g.Vector, high: g.Vector) -> Column:
-    """Squared distance from a segment to a box, exactly.
+def segment_box_d2(df: DataFrame, keys: list[str], a: g.Vector, b: g.Vector, low: g.Vector, high: g.Vector) -> DataFrame:
+    """(keys, d2): squared distance from a segment to a box, exactly, for each row of ``df`` (``keys`` identify it).
 
     Along the segment the distance is a convex, piecewise quadratic function that changes its form only where a coordinate
-    passes a side of the box; each piece has its least value at an end or where its derivative vanishes.
+    passes a side of the box; each piece (seven rows) has its least value at an end or where its derivative vanishes.
     """
+    axes = "xyz"
     side = g.minus(b, a)
-    marks = [F.lit(0.0), F.lit(1.0)]
-    for o, s, lo, hi in zip(a, side, low, high, strict=True):
-        marks += [F.when(s != 0, g.clamp((m - o) / s, 0, 1)).otherwise(F.lit(0.0)) for m in (lo, hi)]
-    ts = F.array_sort(F.array(*marks))
-
-    def d2(t: Column) -> Column:
-        gaps = [F.greatest(lo - (o + s * t), (o + s * t) - hi, F.lit(0.0)) for o, s, lo, hi in zip(a, side, low, high, strict=True)]
-        return sum(x * x for x in gaps)
-
-    def least(i: Column) -> Column:
-        t0, t1 = F.get(ts, i), F.get(ts, i + 1)
-        mid = (t0 + t1) / 2
-        slope, bend = F.lit(0.0), F.lit(0.0)
-        for o, s, lo, hi in zip(a, side, low, high, strict=True):
-            at = o + s * mid
-            gap = F.when(at < lo, o - lo).when(at > hi, o - hi)
-            slope, bend = slope + F.coalesce(gap * s, F.lit(0.0)), bend + F.when(gap.isNotNull(), s * s).otherwise(F.lit(0.0))
-        t = F.when(bend > 0, F.least(F.greatest(-slope / bend, t0), t1)).otherwise(t0)
-        return F.least(d2(t), d2(t0), d2(t1))
-
-    return F.array_min(F.transform(F.sequence(F.lit(0), F.lit(len(marks) - 2)), least))
+    named = [c.alias(f"{n}{k}") for n, v in (("o", a), ("s", side), ("l", low), ("h", high)) for c, k in zip(v, axes, strict=True)]
+    o, s, lo, hi = ([F.col(f"{n}{k}") for k in axes] for n in "oslh")
+    marks = [F.lit(0.0), F.lit(1.0)] + [F.when(d != 0, g.clamp((m - p) / d, 0, 1)).otherwise(F.lit(0.0)) for p, d, x, y in zip(o, s, lo, hi, strict=True) for m in (x, y)]
+    sorted_marks = df.select(*keys, *named).withColumn("ts", F.array_sort(F.array(*marks)))
+    pieces = sorted_marks.select("*", F.explode(F.arrays_zip(F.slice("ts", 1, 7).alias("t0"), F.slice("ts", 2, 7).alias("t1"))).alias("p")).select(*keys, *[f"{n}{k}" for n in "oslh" for k in axes], "p.t0", "p.t1")
+    mid = (F.col("t0") + F.col("t1")) / 2
+    gaps = [F.when(p + d * mid < x, p - x).when(p + d * mid > y, p - y) for p, d, x, y in zip(o, s, lo, hi, strict=True)]
+    bent = pieces.select("*", sum(F.coalesce(c * d, F.lit(0.0)) for c, d in zip(gaps, s, strict=True)).alias("slope"), sum(F.when(c.isNotNull(), d * d).otherwise(F.lit(0.0)) for c, d in zip(gaps, s, strict=True)).alias("bend"))
+    best = F.when(F.col("bend") > 0, F.least(F.greatest(-F.col("slope") / F.col("bend"), F.col("t0")), F.col("t1"))).otherwise(F.col("t0"))
+    placed = bent.select("*", F.explode(F.array(best, F.col("t0"), F.col("t1"))).alias("t"))
+    off = [F.greatest(x - (p + d * F.col("t")), (p + d * F.col("t")) - y, F.lit(0.0)) for p, d, x, y in zip(o, s, lo, hi, strict=True)]
+    return placed.groupBy(*keys).agg(F.min(sum(c * c for c in off)).alias("d2"))
 
 
 def capsule_leaves(leaves: DataFrame, grid: Grid, a: tuple[float, float, float], b: tuple[float, float, float], radius: float) -> DataFrame:
@@ -244,4 +237,4 @@ def capsule_leaves(leaves: DataFrame, grid: Grid, a: tuple[float, float, float],
     low = tuple(F.lit(o) + F.col(k) * F.lit(s) for k, s, o in zip(("bi", "bj", "bk"), size, grid.origin, strict=True))
     high = tuple(lo + F.lit(7 * s) for lo, s in zip(low, grid.spacing, strict=True))
     ends = [tuple(F.lit(float(c)) for c in p) for p in (a, b)]
-    return leaves.where(keep).withColumn("d2", segment_box_d2(*ends, low, high)).where(F.col("d2") <= radius * radius)
+    return segment_box_d2(leaves.where(keep), ["bi", "bj", "bk"], *ends, low, high).where(F.col("d2") <= radius * radius)

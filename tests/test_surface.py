@@ -324,7 +324,7 @@ def test_segment_and_box(spark):
     rows = [(i, *[rng.uniform(-3, 3) for _ in range(6)], *[rng.uniform(-1, 0) for _ in range(3)], *[rng.uniform(0, 1) for _ in range(3)]) for i in range(60)]
     names = ["ax", "ay", "az", "bx", "by", "bz", "lx", "ly", "lz", "hx", "hy", "hz"]
     df = spark.createDataFrame(rows, "i long, " + ", ".join(f"{n} double" for n in names))
-    got = {r.i: r.d2 for r in df.select("i", recon.segment_box_d2(*[g.vector(*names[k : k + 3]) for k in (0, 3, 6, 9)]).alias("d2")).collect()}
+    got = {r.i: r.d2 for r in recon.segment_box_d2(df, ["i"], *[g.vector(*names[k : k + 3]) for k in (0, 3, 6, 9)]).collect()}
     for i, *c in rows:
         best = min(sum(max(c[6 + k] - p, p - c[9 + k], 0) ** 2 for k, p in enumerate(c[k] + (c[3 + k] - c[k]) * t / 2000 for k in range(3))) for t in range(2001))
         assert got[i] == pytest.approx(best, abs=5e-3) and got[i] <= best + 1e-12
