@@ -38,15 +38,12 @@ def surface_net(grid: Grid, iso: float) -> tuple[DataFrame, DataFrame]:
     core = cut(core_voxels(grid, iso))
     cells = shifted(core, CORNERS, -1).select(F.col("qx").alias("x"), F.col("qy").alias("y"), F.col("qz").alias("z")).distinct()
     wide = gather(cells, grid.voxels, CORNERS, grid.background)
-    v = [F.col(f"v{i}") for i in range(8)]
-    n, total = F.lit(0), [F.lit(0.0)] * 3
-    for i, j in CELL_EDGES:
-        crossed = grid.inside(v[i], iso) != grid.inside(v[j], iso)
-        t = g.crossing(v[i], v[j], iso)
-        n = n + crossed.cast("int")
-        for a in range(3):
-            at = F.lit(float(CORNERS[i][a])) + t * float(CORNERS[j][a] - CORNERS[i][a])
-            total[a] = total[a] + F.when(crossed, at).otherwise(F.lit(0.0))
+    wide = wide.select("*", *[grid.inside(F.col(f"v{i}"), iso).alias(f"in{i}") for i in range(8)])
+    steps = [F.when(F.col(f"in{i}") != F.col(f"in{j}"), g.crossing(F.col(f"v{i}"), F.col(f"v{j}"), iso)).alias(f"c{k}") for k, (i, j) in enumerate(CELL_EDGES)]
+    wide = wide.select(*KEY, *steps)  # null where an edge isn't crossed
+    n = sum(F.col(f"c{k}").isNotNull().cast("int") for k in range(len(CELL_EDGES)))
+    place = lambda k, i, j, a: F.coalesce(F.lit(float(CORNERS[i][a])) + F.col(f"c{k}") * float(CORNERS[j][a] - CORNERS[i][a]), F.lit(0.0))
+    total = [sum(place(k, i, j, a) for k, (i, j) in enumerate(CELL_EDGES)) for a in range(3)]
     mixed = wide.select(*KEY, n.alias("n"), *[c.alias(f"t{a}") for a, c in enumerate(total)]).where("n > 0")
     index = [F.col(k) + F.col(f"t{a}") / F.col("n") for a, k in enumerate(KEY)]
     vertices = mixed.select(pack_key(*map(F.col, KEY)).alias("vid"), *[c.alias(p) for c, p in zip(g.to_world(grid, *index), ("px", "py", "pz"), strict=True)])

@@ -74,8 +74,8 @@ def crossings(grid: Grid, core: DataFrame, iso: float) -> DataFrame:
 _AROUND = [(0, 0, 0), *SIX, (1, 1, 0), (-1, 1, 0), (1, -1, 0), (1, 0, 1), (-1, 0, 1), (1, 0, -1), (0, 1, 1), (0, -1, 1), (0, 1, -1)]
 
 
-def _gradient_on_axis(grid: Grid, axis: int, sign: int, iso: float) -> tuple[Column, g.Vector]:
-    """(crossed, world gradient) on the way from a voxel to its neighbour, out of gathered values v0, v1, ...
+def _gradient_on_axis(grid: Grid, axis: int, sign: int, t: Column, iso: float) -> tuple[Column, g.Vector]:
+    """(crossed, world gradient) at ``t`` on the way from a voxel to its neighbour, out of gathered values v0, v1, ...
 
     On an axis the trilinear cell reduces to its edge: the difference along the axis, and forward differences of both
     other axes mixed by where the crossing is.
@@ -84,7 +84,6 @@ def _gradient_on_axis(grid: Grid, axis: int, sign: int, iso: float) -> tuple[Col
     unit = lambda a, s=1: tuple(s if i == a else 0 for i in range(3))
     plus = lambda p, q: tuple(a + b for a, b in zip(p, q, strict=True))
     here, there = at[0, 0, 0], at[unit(axis, sign)]
-    t = g.crossing(here, there, iso)
     # At the voxel itself (t = 0) the cell on the positive side counts, whatever the direction.
     down = F.when(t > 0, F.lit(True)).otherwise(F.lit(False)) if sign < 0 else F.lit(False)
     along = F.when(down, here - at[unit(axis, -1)]).otherwise(at[unit(axis)] - here)
@@ -105,12 +104,17 @@ def with_normals(grid: Grid, samples: DataFrame, iso: float) -> DataFrame:
     Core: the mean direction of the gradients at all crossings. Transition: the forward gradient at the voxel. Where
     that vanishes, the central difference.
     """
+    # One projection for each step: each expression is written once and read by name, so generated code stays small.
     wide = gather(samples, grid.voxels, _AROUND, grid.background)
-    total = [F.lit(0.0)] * 3
-    for slot, (dx, dy, dz) in enumerate(SIX):
-        crossed, world = _gradient_on_axis(grid, slot // 2, dx + dy + dz, iso)
-        unit = g.normalized(world)
-        total = [acc + F.when(crossed, c).otherwise(F.lit(0.0)) for acc, c in zip(total, unit, strict=True)]
+    wide = wide.select("*", *[g.crossing(F.col("v0"), F.col(f"v{k + 1}"), iso).alias(f"t{k}") for k in range(6)])
+    steps = []
+    for k, o in enumerate(SIX):
+        crossed, world = _gradient_on_axis(grid, k // 2, sum(o), F.col(f"t{k}"), iso)
+        steps += [crossed.alias(f"x{k}"), *[c.alias(f"w{k}{a}") for a, c in enumerate(world)]]
+    wide = wide.select(*samples.columns, *[f"v{i}" for i in range(7)], *steps)
+    wide = wide.select("*", *[g.length(g.vector(f"w{k}0", f"w{k}1", f"w{k}2")).alias(f"l{k}") for k in range(6)])
+    counts = [F.col(f"x{k}") & (F.col(f"l{k}") > g.TINY) for k in range(6)]
+    total = [sum(F.when(counts[k], F.col(f"w{k}{a}") / F.col(f"l{k}")).otherwise(F.lit(0.0)) for k in range(6)) for a in range(3)]
     forward = [(F.col(f"v{1 + 2 * a}") - F.col("v0")) * F.lit(grid.outward() / s) for a, s in enumerate(grid.spacing)]
     central = [(F.col(f"v{1 + 2 * a}") - F.col(f"v{2 + 2 * a}")) * F.lit(0.5 * grid.outward() / s) for a, s in enumerate(grid.spacing)]
     core = F.col("kind") == "core"
