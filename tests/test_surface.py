@@ -328,3 +328,11 @@ def test_segment_and_box(spark):
     for i, *c in rows:
         best = min(sum(max(c[6 + k] - p, p - c[9 + k], 0) ** 2 for k, p in enumerate(c[k] + (c[3 + k] - c[k]) * t / 2000 for k in range(3))) for t in range(2001))
         assert got[i] == pytest.approx(best, abs=5e-3) and got[i] <= best + 1e-12
+
+
+def test_replayed_flips(spark):
+    """Two reversed patches, each mended by its own flip; the baseline stays as it was."""
+    field = sheet(spark, 12, 3, lambda i, j: i in (1, 2, 8, 9))
+    mended = normals.replay(field, [(1, 1, 0), (8, 1, 0)])
+    assert mended.where("nz < 0.99").count() == 0 and field.where("nz < 0").count() == 12
+    assert normals.replay(field, []) is field
