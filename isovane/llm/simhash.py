@@ -9,37 +9,35 @@ there the whole fingerprints are compared. Only distinct fingerprints take part,
 never multiply.
 
 ``near_duplicates`` links fingerprints of word shingles. A text whose 5-word shingles are 80 % alike differs in some
-6 to 16 bits of such a fingerprint, out of reach of any covering that stays small. ``alike`` therefore covers
-fingerprints of the distinct words, which a few edits hardly move, in ``TABLES`` independent ones, takes what meets at
-an anchor as candidates only, and keeps those whose shingles are alike by a bottom-k sketch.
+6 to 16 bits of such a fingerprint, out of reach of any covering that stays small. ``alike`` therefore finds pairs by
+an exact prefix join: two sets with Jaccard likeness s share one of the first n - ceil(s n) + 1 members of each, in any
+order common to all sets. Texts that share one are candidates, and exact likeness of the whole sets decides.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from isovane.llm.bottomk import resemblance
 from isovane.plans.fixpoint import connected_components
 from isovane.plans.lineage import cut
 
 THRESHOLD = 3
 HALF = 32
 CODE = 31
-TABLES = 3
 SIMILARITY = 0.8
 WIDTH = 5
-SKETCH = 256
-#: Texts at an anchor with more than CROWD compare only with LEADERS of them, nearest to the majority of their bits.
-CROWD = 4
-#: Candidates differ in at most so many bits of the fingerprint whose anchor they share; 0.8 alike ones rarely in more.
-NEAR_BITS = 9
-LEADERS = 1
+#: More than so many texts with a shingle in common first compare with one of them; only what that leaves apart compares on.
+CROWD = 8
+#: Shingles that COMMON or more of the sampled texts hold, one text in SAMPLED, come last in the order of the prefixes.
+SAMPLED = 8
+COMMON = 4
 
 
 def fingerprint_of(text: str | bytes | None, width: int = 3) -> int:
@@ -150,105 +148,129 @@ def hex_fingerprint(fp: Column) -> Column:
     return F.lpad(F.lower(F.hex(fp)), 16, "0")
 
 
-def word_fingerprints(docs: DataFrame, text: str = "text", tables: int = TABLES) -> DataFrame:
-    """(tid, fps) for every row: the hash of its text and ``tables`` fingerprints of its distinct words; without words all 0."""
+def _shingle_hashes(raw: bytes, width: int) -> np.ndarray:
+    """Ascending signed hashes of the distinct ``width``-word shingles; a shorter text is one shingle."""
+    words = raw.lower().split()
+    grams = {b" ".join(words[i : i + width]) for i in range(max(1, len(words) - width + 1))} if words else set()
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(g, 42) for g in grams), np.uint64, len(grams)).view(np.int64))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = [_word_prints(t.as_py(), tables) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.int64()))], ["tid", "fps"])
 
-    body = F.coalesce(F.col(text), F.lit(""))
-    return docs.select(F.xxhash64(body).alias("tid"), body.cast("binary").alias("_body")).mapInArrow(run, "tid long, fps array<long>")
+def _prefix_length(n: int, similarity: float) -> int:
+    return n - math.ceil(similarity * n - 1e-9) + 1 if n else 0
 
 
-def _word_prints(raw: bytes, tables: int) -> list[int]:
-    words = set(raw.lower().split())
-    if not words:
-        return [0] * tables
-    first = np.fromiter((xxhash.xxh64_intdigest(w, 42) for w in words), np.uint64, len(words))
-    out = []
-    for t in range(tables):
-        out.append(int(np.packbits(_bit_counts_of(first) * 2 > len(words)).view(">u8")[0].astype(np.int64)))
-        first = (first ^ (first >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15 + 2 * t)
-        first ^= first >> np.uint64(29)
-    return out
+def shingle_sets(docs: DataFrame, width: int = WIDTH) -> DataFrame:
+    """(tid, grams) of (tid, text): all distinct shingle hashes."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [_shingle_hashes(t.as_py(), width) for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.int64()))], ["tid", "grams"])
 
-def _bit_counts_of(hashes: np.ndarray) -> np.ndarray:
-    total = np.zeros(64, np.int64)
-    for lo in range(0, len(hashes), 65_536):
-        block = hashes[lo : lo + 65_536].astype(">u8")
-        total += np.unpackbits(block.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    return total
+    return docs.select("tid", F.col("text").cast("binary")).mapInArrow(run, "tid long, grams array<long>")
 
 
-def shingle_sketches(docs: DataFrame, width: int = WIDTH, k: int = SKETCH) -> DataFrame:
-    """(tid, sketch) of (tid, text): the ``k`` smallest 32-bit hashes of the distinct ``width``-word shingles."""
+def shingle_prefixes(docs: DataFrame, similarity: float, width: int = WIDTH) -> DataFrame:
+    """(tid, size, grams) of (tid, text): number of distinct shingles and the least hashes, as many as the prefix join needs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [_sketch(t.as_py(), width, k) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.int64()))], ["tid", "sketch"])
+            rows = [_shingle_hashes(t.as_py(), width) for t in batch.column(1)]
+            sizes = pa.array([len(r) for r in rows], pa.int64())
+            heads = pa.array([r[: _prefix_length(len(r), similarity)] for r in rows], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), sizes, heads], ["tid", "size", "grams"])
 
-    return docs.select("tid", F.col("text").cast("binary")).mapInArrow(run, "tid long, sketch array<long>")
+    return docs.select("tid", F.col("text").cast("binary")).mapInArrow(run, "tid long, size long, grams array<long>")
 
 
-def _sketch(raw: bytes, width: int, k: int) -> list[int]:
-    words = raw.lower().split()
-    grams = {b" ".join(words[i : i + width]) for i in range(max(1, len(words) - width + 1))} if words else set()
-    hashes = np.unique(np.fromiter((xxhash.xxh32_intdigest(g, 42) for g in grams), np.int64, len(grams)))
-    return hashes[:k].tolist()
+def _sizes_fit(similarity: float) -> Column:
+    """Sets of size_u and size_v members can be ``similarity`` alike."""
+    return F.least("size_u", "size_v") >= F.greatest("size_u", "size_v") * F.lit(similarity - 1e-9)
 
 
-def _anchored(prints: DataFrame, tables: int) -> tuple[DataFrame, DataFrame]:
-    """(home, spread): (key, tid, fp) at the nearest anchor of every half, and at all anchors within 2."""
-    masks = F.array(*[F.array(*[F.lit(m).cast("long") for m in row]) for row in anchor_masks()])
-    each = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(tables - 1)), lambda t: F.transform(_halves(F.get("fps", t)), lambda h: F.struct((t * 2 + h.side).alias("side"), h.half.alias("half"), F.get("fps", t).alias("fp")))))
-    sides = prints.select("tid", F.explode(each).alias("h")).select("tid", "h.side", "h.half", "h.fp")
-    sides = sides.withColumn("flips", F.element_at(masks, _syndrome(F.col("half")) + 1))
-    key = lambda flip: F.col("half").bitwiseXOR(flip) * (2 * tables) + F.col("side")
-    home = sides.select(key(F.element_at("flips", 1)).alias("key"), "tid", "fp")
-    spread = sides.select("tid", "fp", "half", "side", F.explode("flips").alias("flip")).select(key(F.col("flip")).alias("key"), "tid", "fp")
-    return home, spread
+def _alike_of(pairs: DataFrame, bodies: DataFrame, similarity: float, width: int) -> DataFrame:
+    """The (u, v) of ``pairs`` whose whole shingle sets are ``similarity`` alike or more."""
+    pairs = cut(pairs)
+    some = pairs.select(F.explode(F.array("u", "v")).alias("tid")).distinct()
+    sets = cut(shingle_sets(bodies.join(some, "tid", "left_semi"), width).groupBy("tid").agg(F.first("grams").alias("grams")))
+    of = lambda name: sets.select(F.col("tid").alias(name), F.col("grams").alias(f"grams_{name}"))
+    both = pairs.join(of("u"), "u").join(of("v"), "v")
+    shared = F.size(F.array_intersect("grams_u", "grams_v"))
+    counted = both.select("u", "v", shared.alias("shared"), (F.size("grams_u") + F.size("grams_v")).alias("total"))
+    return cut(counted.where(F.col("shared") >= (F.col("total") - F.col("shared")) * F.lit(similarity)).select("u", "v"))
 
 
-def _leaders(home: DataFrame) -> DataFrame:
-    """(key, leader, leader_fp): all texts at home at an anchor, or, of more than ``CROWD``, some nearest to their common bits.
+def _common_grams(bodies: DataFrame, width: int) -> DataFrame:
+    """(gram,): shingles that many texts hold, by one text in ``SAMPLED``. They only set an order, so misses cost time alone."""
+    some = shingle_sets(bodies.where(F.pmod(F.xxhash64("tid"), F.lit(SAMPLED)) == 0), width).dropDuplicates(["tid"])
+    return some.select(F.explode("grams").alias("gram")).groupBy("gram").agg(F.count("*").alias("n")).where(F.col("n") >= COMMON).select("gram")
 
-    In a crowd of near copies the original is nearest to the majority of bits; copies are linked through it.
+
+def _shared_grams(bodies: DataFrame, similarity: float, width: int) -> DataFrame:
+    """(gram, tid, size, pos, n): prefix shingles that ``n`` >= 2 texts have in their prefixes, with their place from 1.
+
+    Members are in the order of their hashes, common ones last, so that a passage of many texts makes no candidates.
     """
-    counted = home.groupBy("key").agg(F.count("*").alias("n"), *[F.sum(F.getbit("fp", F.lit(i)).cast("long")).alias(f"b{i}") for i in range(64)])
-    ones = [F.when(F.col(f"b{i}") * 2 > F.col("n"), F.shiftleft(F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long")) for i in range(64)]
-    middle = ones[0]
-    for bit in ones[1:]:
-        middle = middle.bitwiseOR(bit)
-    crowds = counted.where(F.col("n") > CROWD).select("key", middle.alias("middle"))
-    marked = home.join(crowds, "key", "left")
-    few = marked.where(F.col("middle").isNull()).select("key", F.col("tid").alias("leader"), F.col("fp").alias("leader_fp"))
-    far = F.bit_count(F.col("fp").bitwiseXOR(F.col("middle")))
-    nearest = marked.where(F.col("middle").isNotNull()).groupBy("key", F.pmod(F.xxhash64("tid"), F.lit(LEADERS)).alias("lot")).agg(F.min(F.struct(far.alias("far"), "tid", "fp")).alias("m"))
-    return few.unionByName(nearest.select("key", F.col("m.tid").alias("leader"), F.col("m.fp").alias("leader_fp")))
-
-
-def alike(docs: DataFrame, similarity: float = SIMILARITY, width: int = WIDTH, tables: int = TABLES) -> DataFrame:
-    """(u, v), u < v: text hashes of found pairs of different texts whose shingle sets are ``similarity`` alike or more.
-
-    Likeness is exact up to ``SKETCH`` shingles, else estimated (standard error 0.025 at 0.8). A text's hash is
-    xxhash64; two texts that share it count as one (3 pairs in 10^10 texts).
+    heads = cut(shingle_prefixes(bodies, similarity, width).groupBy("tid").agg(F.first(F.struct("size", "grams")).alias("s")).select("tid", "s.size", "s.grams"))
+    common = cut(_common_grams(bodies, width))
+    rows = heads.select("tid", "size", F.posexplode("grams").alias("pos", "gram")).select("gram", "tid", "size", (F.col("pos") + 1).alias("pos"))
+    moved = cut(rows.join(common, "gram", "left_semi").select("tid").distinct())
+    again = shingle_sets(bodies.join(moved, "tid", "left_semi"), width).dropDuplicates(["tid"]).select("tid", F.size("grams").cast("long").alias("size"), F.explode("grams").alias("gram"))
+    placed = again.join(common.withColumn("late", F.lit(1)), "gram", "left").withColumn("pos", F.row_number().over(Window.partitionBy("tid").orderBy(F.coalesce("late", F.lit(0)), "gram")))
+    length = F.col("size") - F.ceil(F.col("size") * F.lit(similarity) - 1e-9) + 1
+    rows = rows.join(moved, "tid", "left_anti").select("gram", "tid", "size", "pos").unionByName(placed.where(F.col("pos") <= length).select("gram", "tid", "size", "pos"))
+    return rows.withColumn("n", F.count("*").over(Window.partitionBy("gram"))).where(F.col("n") > 1)
+
+
+def _to_leaders(shared: DataFrame, similarity: float) -> DataFrame:
+    """(u, v): each text of a crowd with the crowd's most typical text, whose prefix has the most shingles of others.
+
+    In a crowd of copies that is the original: edits give a copy shingles of its own.
     """
-    prints = cut(word_fingerprints(docs, tables=tables).groupBy("tid").agg(F.first("fps").alias("fps")))
-    home, spread = _anchored(prints, tables)
-    led = _leaders(cut(home)).withColumnRenamed("key", "led")
-    close = F.bit_count(F.col("fp").bitwiseXOR(F.col("leader_fp"))) <= NEAR_BITS
-    met = spread.join(led, (F.col("key") == F.col("led")) & (F.col("tid") != F.col("leader")) & close)
-    pairs = cut(met.select(F.least("tid", "leader").alias("u"), F.greatest("tid", "leader").alias("v")).distinct())
-    some = pairs.select(F.explode(F.array("u", "v")).alias("tid")).distinct()
-    bodies = docs.select(F.xxhash64(F.coalesce("text", F.lit(""))).alias("tid"), F.coalesce("text", F.lit("")).alias("text")).join(some, "tid", "left_semi")
-    sketches = cut(shingle_sketches(bodies, width).groupBy("tid").agg(F.first("sketch").alias("sketch")))
-    of = lambda name: sketches.select(F.col("tid").alias(name), F.col("sketch").alias(f"sketch_{name}"))
-    both = pairs.join(of("u"), "u").join(of("v"), "v")
-    return both.where(resemblance(F.col("sketch_u"), F.col("sketch_v"), SKETCH) >= similarity).select("u", "v")
+    typical = shared.groupBy("tid").agg((F.sum(F.least("n", F.lit(1 << 20))) / F.max("size")).alias("typical"))
+    crowds = shared.where(F.col("n") > CROWD).join(typical, "tid")
+    led = crowds.groupBy("gram").agg(F.max(F.struct("typical", "tid", "size")).alias("m")).select("gram", F.col("m.tid").alias("v"), F.col("m.size").alias("size_v"))
+    met = crowds.select("gram", F.col("tid").alias("u"), F.col("size").alias("size_u")).join(led, "gram")
+    return met.where((F.col("u") != F.col("v")) & _sizes_fit(similarity)).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+
+
+def _still_apart(shared: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
+    """(u, v): all pairs that share a prefix shingle, are not in one group yet, and can be alike by sizes and places.
+
+    At a shingle, texts outside its largest group meet all others, so a crowd that is one group costs nothing.
+    A pair's likeness is bounded by the shingles shared up to the last shared place and what follows it.
+    """
+    named = shared.join(roots.withColumnRenamed("node", "tid"), "tid", "left").withColumn("root", F.coalesce("component", "tid")).drop("component")
+    most = named.groupBy("gram", "root").agg(F.count("*").alias("m")).groupBy("gram").agg(F.max(F.struct("m", "root")).alias("m"), F.count("*").alias("groups"))
+    open_ = named.join(most.where(F.col("groups") > 1).select("gram", F.col("m.root").alias("main")), "gram")
+    side = lambda s: [F.col(c).alias(f"{c}_{s}") for c in ("tid", "size", "pos", "root")]
+    all_ = open_.select("gram", (F.col("root") == F.col("main")).alias("in_main"), *side("v"))
+    rest = open_.where(F.col("root") != F.col("main")).select("gram", *side("u"))
+    once = F.col("in_main") | (F.col("tid_u") < F.col("tid_v"))
+    met = rest.join(all_, "gram").where((F.col("root_u") != F.col("root_v")) & once & _sizes_fit(similarity))
+    flip = F.col("tid_u") > F.col("tid_v")
+    pick = lambda a, b: F.when(flip, F.col(b)).otherwise(F.col(a))
+    left = F.least(F.col("size_u") - F.col("pos_u"), F.col("size_v") - F.col("pos_v"))
+    rows = met.select(pick("tid_u", "tid_v").alias("u"), pick("tid_v", "tid_u").alias("v"), left.alias("left"), (F.col("size_u") + F.col("size_v")).alias("total"))
+    pairs = rows.groupBy("u", "v").agg(F.count("*").alias("c"), F.min("left").alias("left"), F.first("total").alias("total"))
+    return pairs.where((F.col("c") + F.col("left")) * F.lit(1 + similarity) >= F.col("total") * F.lit(similarity) - 1e-6).select("u", "v")
+
+
+def alike(docs: DataFrame, similarity: float = SIMILARITY, width: int = WIDTH) -> DataFrame:
+    """(u, v), u < v: text hashes of different texts whose shingle sets are ``similarity`` alike or more.
+
+    The pairs join the same groups as all such pairs would: pairs whose texts others join already may be absent.
+    Likeness is exact over 64-bit hashes of the shingles. A text's hash is xxhash64; two texts that share it count as
+    one (3 pairs in 10^10 texts).
+    """
+    if not 0 < similarity <= 1:
+        raise ValueError("the prefix join holds for a similarity above 0, to 1")
+    body = F.coalesce("text", F.lit(""))
+    bodies = docs.select(F.xxhash64(body).alias("tid"), body.alias("text"))
+    shared = cut(_shared_grams(bodies, similarity, width))
+    led = _alike_of(_to_leaders(shared, similarity), bodies, similarity, width)
+    apart = _alike_of(_still_apart(shared, connected_components(led), similarity), bodies, similarity, width)
+    return led.unionByName(apart)
 
 
 def keep_one_per_group(docs: DataFrame, similarity: float = SIMILARITY, width: int = WIDTH) -> DataFrame:
