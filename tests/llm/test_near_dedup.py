@@ -64,3 +64,30 @@ def test_copies_with_any_change_are_found(spark, change):
     want, n = firsts(texts)
     assert n > 90
     assert kept(spark, texts) == want
+
+
+@pytest.mark.parametrize("n", [5, 20, 1000])
+def test_crowds_of_copies(spark, n):
+    rng = random.Random(n)
+    base = words(rng, 100)
+    texts = [" ".join(scattered(rng, base)) for _ in range(n)]
+    want, pairs = firsts(texts)
+    assert pairs and kept(spark, texts) == want
+
+
+def test_copies_alike_to_the_original_only(spark):
+    rng = random.Random(2)
+    base = words(rng, 200)
+    texts = [" ".join(base)] + [" ".join(base[:i] + words(rng, 14) + base[i + 14 :]) for i in range(0, 180, 6)]
+    assert firsts(texts)[0] == {0}
+    assert kept(spark, texts) == {0}
+
+
+def test_chains_in_one_crowd(spark):
+    rng = random.Random(4)
+    line, passage = words(rng, 900), words(rng, 60)
+    chains = [line[i : i + 120] for i in range(0, 700, 12)]
+    others = [words(rng, 10) + passage for _ in range(60)]
+    texts = [" ".join(t) for t in chains + others]
+    want, pairs = firsts(texts)
+    assert pairs and kept(spark, texts) == want
