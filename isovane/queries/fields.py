@@ -29,6 +29,12 @@ def within_radius(spark, sf_dir) -> DataFrame:
     return radius_join(p.where("pid % 5 = 0"), p, RADIUS).select("pid", "p_pid", r6(F.col("d2")).alias("d2"))
 
 
+def within_radius_all(spark, sf_dir) -> DataFrame:
+    """C12 for every point; ``within_radius`` asks for one in five, as its SQL does."""
+    p = _points(spark, sf_dir).select("pid", *clouds.WORLD)
+    return radius_join(p, p, RADIUS).select("pid", "p_pid", r6(F.col("d2")).alias("d2"))
+
+
 def nearest_k(spark, sf_dir) -> DataFrame:
     p = _points(spark, sf_dir).select("pid", *clouds.WORLD)
     found = clouds.nearest(radius_join(p, p, RADIUS).where("pid <> p_pid"), "pid", "p_pid", 4)
@@ -196,7 +202,7 @@ def windows(spark, sf_dir) -> DataFrame:
 
 
 QUERIES = {
-    "c12_radius_join": within_radius, "e2_nearest_k": nearest_k, "d7_b15_kernel_means": kernel_means, "d8_quadratic_sums": quadratic_sums, "b21_quadratic_fit": quadratic_fit,
+    "c12_radius_join": within_radius, "c12_radius_join_all": within_radius_all, "e2_nearest_k": nearest_k, "d7_b15_kernel_means": kernel_means, "d8_quadratic_sums": quadratic_sums, "b21_quadratic_fit": quadratic_fit,
     "c13_e13_nearest_sample": nearest_sample, "c13_e13_nearest_sample_all": nearest_sample_all, "c14_nearest_seed": nearest_seed, "b16_b27_b29_kernels": kernels, "b17_edge_costs": edge_costs, "g7_distances": distances,
     "g6_route": route, "g8_brush": brush, "d26_stroke_totals": stroke_totals, "e11_changed_events": changed_events, "e8_e9_growing_slices": growing_slices, "e10_spaced": spaced,
     "d16_merged_weights": merged_weights, "d27_normalised_weights": normalised_weights, "a14_names": names, "a10_fingerprint": fingerprint, "a19_presets": presets, "i_event_windows": windows,

@@ -4,10 +4,21 @@ from __future__ import annotations
 
 import pytest
 
+from isovane import queries
 from isovane.operators import target
 from isovane.queries import fields
 from isovane.sources import voxels as v
 
+SF = "/root/testdata/sf0.001"
+
+
+def test_radius_join_of_every_point(spark):
+    points = [(r.vec_id, *map(float, r.embedding[:3])) for r in spark.read.parquet(f"{SF}/embeddings.parquet").select("vec_id", "embedding").collect()]
+    want = {(a[0], b[0]) for a in points for b in points if sum((x - y) ** 2 for x, y in zip(a[1:], b[1:], strict=True)) <= fields.RADIUS**2}
+    got = [(r.pid, r.p_pid) for r in queries.queries()["c12_radius_join_all"](spark, SF).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    assert {a for a, _ in got} == {p[0] for p in points}
+
 
 def test_nearest_sample_in_the_whole_box(spark):
     spacing, shift = (0.31, 0.31, 1.0), (0.01, 0.02, 0.03)
