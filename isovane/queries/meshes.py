@@ -95,7 +95,7 @@ def nearest_triangles(spark, sf_dir) -> DataFrame:
 
 def heatmap(spark, sf_dir) -> DataFrame:
     grid, iso, vs, ts = _mesh(spark, sf_dir)
-    weights = target.core_voxels(grid, iso).where("x < 12").select("x", "y", "z", (F.col("crossings") / 6.0).alias("weight"))
+    weights = target.core_voxels(grid, iso).select("x", "y", "z", (F.col("crossings") / 6.0).alias("weight"))
     colors, hot = mesh.heatmap(weights, vs, ts, grid)
     return colors.groupBy("red", "green", "blue", "alpha").agg(F.count("*").alias("n"))
 

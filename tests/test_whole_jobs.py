@@ -6,7 +6,7 @@ import pytest
 
 from isovane import queries
 from isovane.operators import target
-from isovane.queries import fields
+from isovane.queries import fields, meshes
 from isovane.sources import voxels as v
 
 SF = "/root/testdata/sf0.001"
@@ -36,3 +36,9 @@ def test_nearest_sample_in_the_whole_box(spark):
     assert {(r.x, r.y, r.z): (r.core_x, r.core_y, r.core_z) for r in rows} == {p: c for p, (_, c) in want.items()}
     assert all(r.d2 == pytest.approx(want[r.x, r.y, r.z][0]) for r in rows) and len(rows) == len(want)
     assert any(abs(z - c[2]) == 4 for (_, _, z), (_, c) in want.items())
+
+
+def test_heat_reaches_every_vertex(spark):
+    _, _, vs, _ = meshes._mesh(spark, SF)
+    rows = queries.queries()["c19_d27_b27_heatmap"](spark, SF).collect()
+    assert sum(r.n for r in rows) == vs.count()
