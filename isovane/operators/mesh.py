@@ -20,6 +20,7 @@ from isovane.operators.stencil import KEY, SIX, gather, shifted
 from isovane.operators.target import CORNERS, core_voxels, crossings, pack_key, trilinear
 from isovane.plans.fixpoint import connected_components
 from isovane.plans.lineage import cut
+from isovane.plans.ranks import numbered
 from isovane.sources.voxels import Grid
 
 #: The 12 edges of a cell as pairs of corner numbers.
@@ -149,13 +150,7 @@ def compact(triangles: DataFrame, vertices: DataFrame) -> tuple[DataFrame, DataF
     """Only used vertices, renumbered from 0 by first use (triangle, corner); triangles follow."""
     slots = F.array(*[F.struct(F.lit(i).alias("k"), F.col(c).alias("vid")) for i, c in enumerate("abc")])
     used = triangles.select("tid", F.explode(slots).alias("s")).groupBy("s.vid").agg(F.min(F.struct("tid", "s.k")).alias("first"))
-    parts = int(triangles.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = cut(used.repartitionByRange(parts, "first").sortWithinPartitions("first").withColumn("_at", F.monotonically_increasing_id()))
-    part, within = F.shiftright("_at", 33), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
-    counts = placed.groupBy(part.alias("_part")).agg((F.max(within) + 1).alias("n"))
-    running = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, 0)
-    starts = counts.select("_part", (F.sum("n").over(running) - F.col("n")).alias("_start"))  # a row for each part
-    numbers = placed.withColumn("_part", part).join(F.broadcast(starts), "_part").select("vid", (F.col("_start") + within).alias("new"))
+    numbers = numbered(used, ["first"], "new").select("vid", "new")
     kept = vertices.join(numbers, "vid").select(F.col("new").alias("vid"), *[c for c in vertices.columns if c != "vid"])
     out = triangles
     for c in "abc":

@@ -13,6 +13,7 @@ from isovane.functions import geometry as g
 from isovane.operators.stencil import KEY, SIX, box, count_neighbours, diamond, gather, half_box, neighbours, shifted
 from isovane.plans.fixpoint import connected_components
 from isovane.plans.lineage import cut
+from isovane.plans.ranks import numbered
 from isovane.sources.voxels import FOG, Grid
 
 
@@ -157,17 +158,8 @@ def extract(grid: Grid, settings: TargetSettings) -> DataFrame:
 
 
 def with_ids(samples: DataFrame) -> DataFrame:
-    """``samples`` with ``sample_id``, their place in (x, y, z) order, from 0.
-
-    Range-partitioned and sorted; the counts of the parts give each part's first number, so no task sorts all rows.
-    """
-    parts = int(samples.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = cut(samples.repartitionByRange(parts, *KEY).sortWithinPartitions(*KEY).withColumn("_at", F.monotonically_increasing_id()))
-    part, within = F.shiftright("_at", 33), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
-    counts = placed.groupBy(part.alias("_part")).agg((F.max(within) + 1).alias("n"))
-    running = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, 0)
-    starts = counts.select("_part", (F.sum("n").over(running) - F.col("n")).alias("_start"))  # a row for each part
-    return placed.withColumn("_part", part).join(F.broadcast(starts), "_part").withColumn("sample_id", F.col("_start") + within).drop("_at", "_part", "_start")
+    """``samples`` with ``sample_id``, their place in (x, y, z) order, from 0."""
+    return numbered(samples, KEY, "sample_id")
 
 
 def pack_key(x: Column, y: Column, z: Column) -> Column:
