@@ -13,7 +13,6 @@ from typing import BinaryIO
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from isovane.functions import geometry as g
 from isovane.operators.stencil import KEY, SIX, gather, shifted
