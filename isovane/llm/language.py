@@ -17,7 +17,7 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from isovane.llm.arrowtext import flat_codes, pieces
@@ -142,25 +142,31 @@ def _bundles(column: pa.Array, order: int, dim: int, group: np.ndarray | None =
 
 
 def _long(codes: np.ndarray, order: int, dim: int) -> tuple[np.ndarray, np.ndarray]:
-    """One very long text: its symbols are counted slice by slice."""
-    total, letters, tail = np.zeros((1, dim), np.float64), 0, np.zeros(0, np.uint32)
+    """One very long text: its symbols are counted slice by slice.
+
+    A slice carries on where the last one ended: the boundary before the first letter and after the last one are
+    added once, and the last ``order`` - 1 symbols open the next slice, so that each n-gram counts once.
+    """
+    total, letters, tail, after_letter = np.zeros((1, dim)), 0, np.zeros(1, np.uint32), False
     for lo in range(0, len(codes), SLICE):
-        part = codes[lo : lo + SLICE]
-        symbols, _, n = _symbols(part, np.array([0, len(part)]))
-        letters += int(n[0])
-        if not len(symbols):
-            continue
-        if len(tail):
-            joined = _lower_table()[part[:1]][0] > 0 and _lower_table()[codes[lo - 1 : lo]][0] > 0
-            symbols = np.concatenate([tail[:-1], symbols[1:]]) if joined else np.concatenate([tail, symbols[1:]])
+        low = _lower_table()[codes[lo : lo + SLICE]]
+        letter = low > 0
+        keep = letter.copy()
+        keep[0] |= after_letter
+        keep[1:] |= letter[:-1]
+        after_letter = bool(letter[-1])
+        letters += int(letter.sum())
+        last = [np.zeros(1, np.uint32)] if after_letter and lo + SLICE >= len(codes) else []
+        symbols = np.concatenate([tail, low[keep], *last])
+        tail = symbols[1 - order :] if order > 1 else symbols[:0]
         alphabet, index = _compact(symbols)
-        number, n_grams = np.zeros(max(0, len(index) - order + 1), np.int64), len(index) - order + 1
+        n_grams = max(0, len(index) - order + 1)
+        number = np.zeros(n_grams, np.int64)
         for j in range(order):
-            number = number * len(alphabet) + index[j : j + max(0, n_grams)]
+            number = number * len(alphabet) + index[j : j + n_grams]
         grams, counts = np.unique(number, return_counts=True)
         for k in range(0, len(grams), 1 << 14):
-            total += counts[k : k + (1 << 14)].astype(np.float32) @ _bind(alphabet, grams[k : k + (1 << 14)], order, dim)
-        tail = symbols[-(order - 1) :]
+            total += counts[k : k + (1 << 14)] @ _bind(alphabet, grams[k : k + (1 << 14)], order, dim).astype(np.float64)
     return total.astype(np.float32), np.array([letters])
 
 
@@ -192,21 +198,22 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang", order: int =
 
 
 def predict(docs: DataFrame, prototypes: dict[str, list[float]], text: str = "text", keep: tuple[str, ...] = ("doc_id",), order: int = ORDER, dim: int = DIM) -> DataFrame:
-    """``keep`` columns, ``lang_pred`` and ``score`` for every row, from the whole text alone.
+    """``keep`` columns, ``lang_pred``, ``score`` and ``letters`` for every row, from the whole text alone.
 
     ``score`` is the cosine with the best prototype, clipped to 0..1. A text that is null or has no
     letter, or an empty set of prototypes, gives ``und`` and 0. Equal cosines go to the smaller name.
-    Repeated rows are predicted one by one.
+    ``letters`` is the number of letters. Repeated rows are predicted one by one.
     """
     names = sorted(prototypes)
     matrix = np.array([prototypes[k] for k in names], np.float32).reshape(len(names), dim)
-    schema = docs.select(*keep).schema.add("lang_pred", "string").add("score", "double")
+    schema = docs.select(*keep).schema.add("lang_pred", "string").add("score", "double").add("letters", "long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n = batch.num_rows
-            langs, scores = np.full(n, UNDETERMINED, object), np.zeros(n)
+            langs, scores, counts = np.full(n, UNDETERMINED, object), np.zeros(n), np.zeros(n, np.int64)
             for start, stop, vectors, letters in _bundles(batch.column(len(keep)), order, dim):
+                counts[start:stop] = letters
                 if not names:
                     continue
                 norms = np.linalg.norm(vectors, axis=1)
@@ -215,7 +222,7 @@ def predict(docs: DataFrame, prototypes: dict[str, list[float]], text: str = "te
                 known = letters > 0
                 langs[start:stop][known] = np.array(names, object)[best[known]]
                 scores[start:stop][known] = np.clip(cosines[np.arange(stop - start), best][known], 0, 1)
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(langs, pa.string()), pa.array(scores)], [*keep, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(langs, pa.string()), pa.array(scores), pa.array(counts)], [*keep, "lang_pred", "score", "letters"])
 
     return docs.select(*keep, F.col(text).alias("_body")).mapInArrow(run, schema)
 
@@ -231,18 +238,46 @@ def identify(docs: DataFrame) -> DataFrame:
     return predict(docs.withColumn("held_out", held_out()).select("doc_id", "held_out", "text"), prototypes, keep=("doc_id", "held_out"))
 
 
-#: A document whose best cosine is below this is in none of the learned languages.
+#: No document is kept whose best cosine is below this, which is what chance gives in DIM dimensions.
 LEAST_COSINE = 0.05
+#: Floors are fitted on about so many labelled rows, and on length classes of at least CLASS_ROWS of them.
+FIT_ROWS = 50_000
+CLASS_ROWS = 50
+
+
+def length_class(letters: Column) -> Column:
+    """Binary digits of the number of letters: texts of one class differ in length by less than a factor of 2."""
+    return F.when(letters > 0, F.length(F.bin(letters))).otherwise(0)
+
+
+def floors(docs: DataFrame, prototypes: dict[str, list[float]], rows: int = FIT_ROWS, least: float = LEAST_COSINE) -> list[float]:
+    """By length class, half the 1 % quantile of the cosines of rightly recognised labelled rows; ``least`` at least.
+
+    Longer texts come nearer to their prototype, so a text far below what is usual at its length is in another language or no
+    prose. A class with fewer than ``CLASS_ROWS`` rows has the floor of the class below it. Held-out rows and rows without a
+    ``lang`` take no part; of the others, a hash of doc_id chooses about ``rows``.
+    """
+    known = docs.where(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    share = max(1, -(-known.count() // rows))
+    some = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(share)) == 0).select("text", F.col("lang").cast("string").alias("lang"))
+    right = predict(some, prototypes, keep=("lang",)).where(F.col("lang") == F.col("lang_pred"))
+    by_class = right.groupBy(length_class(F.col("letters")).alias("class")).agg(F.count("*").alias("n"), F.percentile_approx("score", 0.01, 10_000).alias("low"))
+    low = {r["class"]: r.low for r in by_class.collect() if r.n >= CLASS_ROWS}  # 64 rows at most
+    found = [least]
+    for c in range(1, 65):
+        found.append(max(least, low[c] / 2) if c in low else found[-1])
+    return found
 
 
-def keep_identified(docs: DataFrame, least: float = LEAST_COSINE) -> DataFrame:
+def keep_identified(docs: DataFrame, rows: int = FIT_ROWS, least: float = LEAST_COSINE) -> DataFrame:
     """The rows of ``docs``, all columns, whose text is in one of the learned languages.
 
-    Texts that are null or without letters, and those further than ``least`` from every prototype, go.
+    Texts that are null or without letters go, and those whose cosine is below the floor of their length (``floors``).
     """
     prototypes = learn(docs.where(~held_out()))
+    floor = F.element_at(F.array(*[F.lit(x) for x in floors(docs, prototypes, rows, least)]), length_class(F.col("letters")) + 1)
     judged = predict(docs.select(F.struct(*docs.columns).alias("row"), "text"), prototypes, keep=("row",))
-    return judged.where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= least)).select("row.*")
+    return judged.where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= floor)).select("row.*")
 
 
-__all__ = ["identify", "keep_identified", "learn", "predict"]
+__all__ = ["floors", "identify", "keep_identified", "learn", "predict"]

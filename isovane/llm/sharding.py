@@ -11,9 +11,9 @@ from functools import cache
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from isovane.plans.lineage import cut
+from isovane.plans.ranks import numbered
 
 SHARDS = 24
 BITS = 8
@@ -76,26 +76,8 @@ def size_cell(size: Column) -> Column:
 
 def rank_cells(rows: DataFrame, name: str, bits: int = BITS) -> DataFrame:
     """(value, cell): the distinct values of a column in order, null last, spread evenly over the cells."""
-    values = rows.groupBy(F.col(name).alias("value")).agg(F.count("*").alias("n"))
-    place = F.row_number().over(Window.orderBy(F.col("value").isNull(), "value")) - 1
-    many = F.count("*").over(Window.partitionBy())
-    return values.select("value", F.floor(place * (1 << bits) / many).cast("int").alias("cell"))
-
-
-def order_along_curve(rows: DataFrame, place: Column, tie: list[Column]) -> DataFrame:
-    """``rows`` with ``rank``, the place of each in the whole order, from 0.
-
-    Rows are range-partitioned and sorted once, and written to the checkpoint folder with their place in their
-    part; the parts' counts give the offsets. No task sees more than its range.
-    """
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = rows.repartitionByRange(parts, place, *tie).sortWithinPartitions(place, *tie)
-    placed = cut(ordered.withColumn("_at", F.monotonically_increasing_id()))
-    part, within = F.shiftright("_at", 33), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
-    counts = placed.groupBy(part.alias("_part")).agg((F.max(within) + 1).alias("n"))
-    running = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, 0)
-    starts = counts.select("_part", (F.sum("n").over(running) - F.col("n")).alias("_start"))  # a row for each part
-    return placed.withColumn("_part", part).join(F.broadcast(starts), "_part").withColumn("rank", F.col("_start") + within).drop("_at", "_part", "_start")
+    values = numbered(rows.select(F.col(name).alias("value")).distinct(), [F.col("value").isNull(), "value"], "place")
+    return values.select("value", F.floor(F.col("place") * (1 << bits) / F.lit(max(1, values.count()))).cast("int").alias("cell"))
 
 
 def shard(docs: DataFrame, carry: list[str], dimensions: tuple[str, ...] = DIMENSIONS, shards: int = SHARDS, tie: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -118,7 +100,7 @@ def shard(docs: DataFrame, carry: list[str], dimensions: tuple[str, ...] = DIMEN
             rows = rows.withColumn(f"_c{i}", size_cell(F.greatest(F.coalesce(F.col(name).cast("long"), F.lit(0)), F.lit(0))))
         cells.append(F.col(f"_c{i}"))
     keyed = rows.withColumn("_place", hilbert_index(cells)).select(*carry, "_place", *[F.col(t).alias(f"_t{j}") for j, t in enumerate(tie)])
-    ranked = order_along_curve(keyed, F.col("_place"), [F.col(f"_t{j}") for j in range(len(tie))])
+    ranked = numbered(keyed, ["_place", *[f"_t{j}" for j in range(len(tie))]], "rank")
     total = docs.count()
     base, more = divmod(total, shards)
     head = more * (base + 1)
