@@ -38,6 +38,8 @@ CROWD = 8
 #: Shingles that COMMON or more of the sampled texts hold, one text in SAMPLED, come last in the order of the prefixes.
 SAMPLED = 8
 COMMON = 4
+#: A table with more rows than this is joined, not broadcast.
+BROADCAST_ROWS = 20_000
 
 
 def fingerprint_of(text: str | bytes | None, width: int = 3) -> int:
@@ -256,17 +258,43 @@ def _still_apart(shared: DataFrame, roots: DataFrame, similarity: float) -> Data
     return pairs.where((F.col("c") + F.col("left")) * F.lit(1 + similarity) >= F.col("total") * F.lit(similarity) - 1e-6).select("u", "v")
 
 
-def alike(docs: DataFrame, similarity: float = SIMILARITY, width: int = WIDTH) -> DataFrame:
-    """(u, v), u < v: text hashes of different texts whose shingle sets are ``similarity`` alike or more.
+def _body() -> Column:
+    return F.coalesce("text", F.lit(""))
+
+
+def _first_hash(body: Column) -> Column:
+    return F.xxhash64(body)
+
+
+def text_ids(docs: DataFrame, keep: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """(``keep`` columns, tid) and (tid, text) of ``docs``; equal texts share ``tid``, different ones don't.
+
+    A tid is a text's 64-bit hash, or a hash of two where different texts share the first, as 3 pairs of 10^10 texts do.
+    So it names a text by 128 bits. Null texts count as empty.
+    """
+    first, second = _first_hash(_body()), F.xxhash64(F.lit("second"), _body())
+    facts = cut(docs.select(*[F.col(c).alias(f"_k_{c}") for c in keep], first.alias("h1"), second.alias("h2")))
+    twins = cut(facts.groupBy("h1").agg(F.min("h2").alias("lo"), F.max("h2").alias("hi")).where("lo <> hi").select(F.col("h1").alias("twin")))
+    n_twins = twins.count()
+
+    def named(rows: DataFrame) -> DataFrame:
+        if n_twins == 0:
+            return rows.withColumn("tid", F.col("h1"))
+        few = F.broadcast(twins) if n_twins <= BROADCAST_ROWS else twins
+        return rows.join(few, F.col("h1") == F.col("twin"), "left").withColumn("tid", F.when(F.col("twin").isNull(), F.col("h1")).otherwise(F.xxhash64("h1", "h2")))
+
+    bodies = named(docs.select(first.alias("h1"), second.alias("h2"), _body().alias("text"))).select("tid", "text")
+    return named(facts).select(*[F.col(f"_k_{c}").alias(c) for c in keep], "tid"), bodies
+
+
+def alike(bodies: DataFrame, similarity: float = SIMILARITY, width: int = WIDTH) -> DataFrame:
+    """(u, v), u < v: the tids of (tid, text) whose shingle sets are ``similarity`` alike or more; rows of one tid are one text.
 
     The pairs join the same groups as all such pairs would: pairs whose texts others join already may be absent.
-    Likeness is exact over 64-bit hashes of the shingles. A text's hash is xxhash64; two texts that share it count as
-    one (3 pairs in 10^10 texts).
+    Likeness is exact over 64-bit hashes of the shingles.
     """
     if not 0 < similarity <= 1:
         raise ValueError("the prefix join holds for a similarity above 0, to 1")
-    body = F.coalesce("text", F.lit(""))
-    bodies = docs.select(F.xxhash64(body).alias("tid"), body.alias("text"))
     shared = cut(_shared_grams(bodies, similarity, width))
     led = _alike_of(_to_leaders(shared, similarity), bodies, similarity, width)
     apart = _alike_of(_still_apart(shared, connected_components(led), similarity), bodies, similarity, width)
@@ -279,8 +307,9 @@ def keep_one_per_group(docs: DataFrame, similarity: float = SIMILARITY, width: i
     Null texts count as empty. Rows with a null doc_id stay: nothing identifies them. Rows that share the
     smallest doc_id of their group stay together.
     """
-    narrow = cut(docs.where(F.col("doc_id").isNotNull()).select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("tid")))
-    roots = connected_components(alike(docs, similarity, width))
+    narrow, bodies = text_ids(docs, ("doc_id",))
+    narrow = narrow.where(F.col("doc_id").isNotNull())
+    roots = connected_components(alike(bodies, similarity, width))
     firsts = narrow.groupBy("tid").agg(F.min("doc_id").alias("first_id"))
     grouped = firsts.join(roots, firsts.tid == roots.node, "left").select("tid", "first_id", F.coalesce("component", "tid").alias("root"))
     lowest = grouped.groupBy("root").agg(F.min("first_id").alias("kept_id"))
@@ -290,4 +319,4 @@ def keep_one_per_group(docs: DataFrame, similarity: float = SIMILARITY, width: i
     return docs.join(gone, "doc_id", "left_anti")
 
 
-__all__ = ["THRESHOLD", "alike", "anchor_masks", "fingerprint_of", "fingerprints", "hex_fingerprint", "keep_one_per_group", "links", "near_duplicates"]
+__all__ = ["THRESHOLD", "alike", "anchor_masks", "fingerprint_of", "fingerprints", "hex_fingerprint", "keep_one_per_group", "links", "near_duplicates", "text_ids"]
