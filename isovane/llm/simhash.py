@@ -22,6 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,8 +37,10 @@ WIDTH = 5
 #: More than so many texts with a shingle in common first compare with one of them; only what that leaves apart compares on.
 CROWD = 8
 #: Shingles that COMMON or more of the sampled texts hold, one text in SAMPLED, come last in the order of the prefixes.
-SAMPLED = 8
-COMMON = 4
+SAMPLED = 16
+COMMON = 3
+#: Bits of the map that marks them: 4 MB, broadcast to the tasks.
+SLOTS = 1 << 25
 #: A table with more rows than this is joined, not broadcast.
 BROADCAST_ROWS = 20_000
 
@@ -172,17 +175,25 @@ def shingle_sets(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     return docs.select("tid", F.col("text").cast("binary")).mapInArrow(run, "tid long, grams array<long>")
 
 
-def shingle_prefixes(docs: DataFrame, similarity: float, width: int = WIDTH) -> DataFrame:
-    """(tid, size, grams) of (tid, text): number of distinct shingles and the least hashes, as many as the prefix join needs."""
+def _common_first_last(hashes: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """Ascending ``hashes`` with those whose slot is marked in the bitmap ``common`` put last."""
+    slot = (hashes & (SLOTS - 1)).astype(np.int64)
+    late = (common[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 == 1
+    return np.concatenate([hashes[~late], hashes[late]])
+
+
+def shingle_prefixes(bodies: DataFrame, common: Broadcast, similarity: float, width: int = WIDTH) -> DataFrame:
+    """(tid, size, grams) of (tid, text): number of distinct shingles, and as many of them as the prefix join needs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        marks = np.frombuffer(common.value, np.uint8)
         for batch in batches:
             rows = [_shingle_hashes(t.as_py(), width) for t in batch.column(1)]
             sizes = pa.array([len(r) for r in rows], pa.int64())
-            heads = pa.array([r[: _prefix_length(len(r), similarity)] for r in rows], pa.list_(pa.int64()))
+            heads = pa.array([_common_first_last(r, marks)[: _prefix_length(len(r), similarity)] for r in rows], pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([batch.column(0), sizes, heads], ["tid", "size", "grams"])
 
-    return docs.select("tid", F.col("text").cast("binary")).mapInArrow(run, "tid long, size long, grams array<long>")
+    return bodies.select("tid", F.col("text").cast("binary")).mapInArrow(run, "tid long, size long, grams array<long>")
 
 
 def _sizes_fit(similarity: float) -> Column:
@@ -202,10 +213,28 @@ def _alike_of(pairs: DataFrame, bodies: DataFrame, similarity: float, width: int
     return cut(counted.where(F.col("shared") >= (F.col("total") - F.col("shared")) * F.lit(similarity)).select("u", "v"))
 
 
-def _common_grams(bodies: DataFrame, width: int) -> DataFrame:
-    """(gram,): shingles that many texts hold, by one text in ``SAMPLED``. They only set an order, so misses cost time alone."""
+def common_slots(bodies: DataFrame, width: int = WIDTH) -> bytes:
+    """A bitmap of ``SLOTS`` bits: the slots of shingles that many texts hold, by one text in ``SAMPLED``.
+
+    At most one slot in eight is marked: where more shingles are common, the most common ones. The bitmap only sets an order,
+    so what the sample misses costs time alone. It is all that reaches the driver, whatever the size of the corpus.
+    """
     some = shingle_sets(bodies.where(F.pmod(F.xxhash64("tid"), F.lit(SAMPLED)) == 0), width).dropDuplicates(["tid"])
-    return some.select(F.explode("grams").alias("gram")).groupBy("gram").agg(F.count("*").alias("n")).where(F.col("n") >= COMMON).select("gram")
+    counted = cut(some.select(F.explode("grams").alias("gram")).groupBy("gram").agg(F.count("*").alias("n")).where(F.col("n") >= COMMON))
+    digits = F.length(F.bin("n"))
+    by_digits = {r.d: r.c for r in counted.groupBy(digits.alias("d")).agg(F.count("*").alias("c")).collect()}  # 64 rows at most
+    least, held = 65, 0
+    for d in sorted(by_digits, reverse=True):
+        held += by_digits[d]
+        if held > SLOTS // 8:
+            break
+        least = d
+    slot = F.col("gram").bitwiseAND(F.lit(SLOTS - 1))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), slot.bitwiseAND(F.lit(63)).cast("int"))
+    words = counted.where(digits >= least).groupBy(F.shiftright(slot, 6).alias("at")).agg(F.bit_or(bit).alias("word")).toArrow()  # SLOTS / 64 rows at most
+    marks = np.zeros(SLOTS // 64, np.int64)
+    marks[words["at"].to_numpy()] = words["word"].to_numpy()
+    return marks.astype("<i8").tobytes()
 
 
 def _shared_grams(bodies: DataFrame, similarity: float, width: int) -> DataFrame:
@@ -213,14 +242,9 @@ def _shared_grams(bodies: DataFrame, similarity: float, width: int) -> DataFrame
 
     Members are in the order of their hashes, common ones last, so that a passage of many texts makes no candidates.
     """
-    heads = cut(shingle_prefixes(bodies, similarity, width).groupBy("tid").agg(F.first(F.struct("size", "grams")).alias("s")).select("tid", "s.size", "s.grams"))
-    common = cut(_common_grams(bodies, width))
+    common = bodies.sparkSession.sparkContext.broadcast(common_slots(bodies, width))
+    heads = shingle_prefixes(bodies, common, similarity, width).groupBy("tid").agg(F.first(F.struct("size", "grams")).alias("s")).select("tid", "s.size", "s.grams")
     rows = heads.select("tid", "size", F.posexplode("grams").alias("pos", "gram")).select("gram", "tid", "size", (F.col("pos") + 1).alias("pos"))
-    moved = cut(rows.join(common, "gram", "left_semi").select("tid").distinct())
-    again = shingle_sets(bodies.join(moved, "tid", "left_semi"), width).dropDuplicates(["tid"]).select("tid", F.size("grams").cast("long").alias("size"), F.explode("grams").alias("gram"))
-    placed = again.join(common.withColumn("late", F.lit(1)), "gram", "left").withColumn("pos", F.row_number().over(Window.partitionBy("tid").orderBy(F.coalesce("late", F.lit(0)), "gram")))
-    length = F.col("size") - F.ceil(F.col("size") * F.lit(similarity) - 1e-9) + 1
-    rows = rows.join(moved, "tid", "left_anti").select("gram", "tid", "size", "pos").unionByName(placed.where(F.col("pos") <= length).select("gram", "tid", "size", "pos"))
     return rows.withColumn("n", F.count("*").over(Window.partitionBy("gram"))).where(F.col("n") > 1)
 
 
