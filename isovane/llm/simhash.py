@@ -182,8 +182,15 @@ def _common_first_last(hashes: np.ndarray, common: np.ndarray) -> np.ndarray:
     return np.concatenate([hashes[~late], hashes[late]])
 
 
+def _parities(hashes: np.ndarray) -> list[int]:
+    """64-bit words, a power of 2 of them, with a bit for each hash at least: each hash flips the bit of its slot."""
+    words = 1 << max(0, (len(hashes) - 1).bit_length() - 6) if len(hashes) else 1
+    odd = np.bincount((hashes & (64 * words - 1)).astype(np.int64), minlength=64 * words) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
+
+
 def shingle_prefixes(bodies: DataFrame, common: Broadcast, similarity: float, width: int = WIDTH) -> DataFrame:
-    """(tid, size, grams) of (tid, text): number of distinct shingles, and as many of them as the prefix join needs."""
+    """(tid, size, grams, odd) of (tid, text): number of distinct shingles, as many of them as the prefix join needs, parities."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         marks = np.frombuffer(common.value, np.uint8)
@@ -191,9 +198,10 @@ def shingle_prefixes(bodies: DataFrame, common: Broadcast, similarity: float, wi
             rows = [_shingle_hashes(t.as_py(), width) for t in batch.column(1)]
             sizes = pa.array([len(r) for r in rows], pa.int64())
             heads = pa.array([_common_first_last(r, marks)[: _prefix_length(len(r), similarity)] for r in rows], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), sizes, heads], ["tid", "size", "grams"])
+            odd = pa.array([_parities(r) for r in rows], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), sizes, heads, odd], ["tid", "size", "grams", "odd"])
 
-    return bodies.select("tid", F.col("text").cast("binary")).mapInArrow(run, "tid long, size long, grams array<long>")
+    return bodies.select("tid", F.col("text").cast("binary")).mapInArrow(run, "tid long, size long, grams array<long>, odd array<long>")
 
 
 def _sizes_fit(similarity: float) -> Column:
@@ -201,9 +209,30 @@ def _sizes_fit(similarity: float) -> Column:
     return F.least("size_u", "size_v") >= F.greatest("size_u", "size_v") * F.lit(similarity - 1e-9)
 
 
-def _alike_of(pairs: DataFrame, bodies: DataFrame, similarity: float, width: int) -> DataFrame:
+def _folded(odd: Column, words: Column) -> Column:
+    """Parities over half as many slots where there are more than ``words``: both halves together."""
+    halves = F.zip_with(F.slice(odd, 1, words), F.slice(odd, words + 1, words), lambda x, y: x.bitwiseXOR(y))
+    return F.when(F.size(odd) > words, halves).otherwise(odd)
+
+
+def _maybe_alike(pairs: DataFrame, heads: DataFrame, similarity: float) -> DataFrame:
+    """The (u, v) of ``pairs`` that the parities of their shingle sets don't rule out.
+
+    A shingle that only one of the sets has flips one bit, so the sets differ in as many members at least as their parities
+    in bits. No pair that is alike enough is lost. Sizes fit, so that the one has at most twice as many words as the other.
+    """
+    of = lambda s: heads.select(F.col("tid").alias(s), F.col("size").alias(f"size_{s}"), F.col("odd").alias(f"odd_{s}"))
+    both = pairs.join(of("u"), "u").join(of("v"), "v")
+    words = F.least(F.size("odd_u"), F.size("odd_v"))
+    bits = F.zip_with(_folded(F.col("odd_u"), words), _folded(F.col("odd_v"), words), lambda x, y: F.bit_count(x.bitwiseXOR(y)))
+    differing = F.aggregate(bits, F.lit(0), lambda acc, n: acc + n)
+    total = F.col("size_u") + F.col("size_v")
+    return both.where((total - differing) * F.lit(1 + similarity) >= total * F.lit(2 * similarity) - 1e-6).select("u", "v")
+
+
+def _alike_of(pairs: DataFrame, heads: DataFrame, bodies: DataFrame, similarity: float, width: int) -> DataFrame:
     """The (u, v) of ``pairs`` whose whole shingle sets are ``similarity`` alike or more."""
-    pairs = cut(pairs)
+    pairs = cut(_maybe_alike(pairs, heads, similarity))
     some = pairs.select(F.explode(F.array("u", "v")).alias("tid")).distinct()
     sets = cut(shingle_sets(bodies.join(some, "tid", "left_semi"), width).groupBy("tid").agg(F.first("grams").alias("grams")))
     of = lambda name: sets.select(F.col("tid").alias(name), F.col("grams").alias(f"grams_{name}"))
@@ -237,13 +266,17 @@ def common_slots(bodies: DataFrame, width: int = WIDTH) -> bytes:
     return marks.astype("<i8").tobytes()
 
 
-def _shared_grams(bodies: DataFrame, similarity: float, width: int) -> DataFrame:
-    """(gram, tid, size, pos, n): prefix shingles that ``n`` >= 2 texts have in their prefixes, with their place from 1.
+def _heads(bodies: DataFrame, similarity: float, width: int) -> DataFrame:
+    """(tid, size, grams, odd) of ``shingle_prefixes``, once for each text.
 
     Members are in the order of their hashes, common ones last, so that a passage of many texts makes no candidates.
     """
     common = bodies.sparkSession.sparkContext.broadcast(common_slots(bodies, width))
-    heads = shingle_prefixes(bodies, common, similarity, width).groupBy("tid").agg(F.first(F.struct("size", "grams")).alias("s")).select("tid", "s.size", "s.grams")
+    return shingle_prefixes(bodies, common, similarity, width).groupBy("tid").agg(F.first(F.struct("size", "grams", "odd")).alias("s")).select("tid", "s.size", "s.grams", "s.odd")
+
+
+def _shared_grams(heads: DataFrame) -> DataFrame:
+    """(gram, tid, size, pos, n): prefix shingles that ``n`` >= 2 texts have in their prefixes, with their place from 1."""
     rows = heads.select("tid", "size", F.posexplode("grams").alias("pos", "gram")).select("gram", "tid", "size", (F.col("pos") + 1).alias("pos"))
     return rows.withColumn("n", F.count("*").over(Window.partitionBy("gram"))).where(F.col("n") > 1)
 
@@ -319,9 +352,10 @@ def alike(bodies: DataFrame, similarity: float = SIMILARITY, width: int = WIDTH)
     """
     if not 0 < similarity <= 1:
         raise ValueError("the prefix join holds for a similarity above 0, to 1")
-    shared = cut(_shared_grams(bodies, similarity, width))
-    led = _alike_of(_to_leaders(shared, similarity), bodies, similarity, width)
-    apart = _alike_of(_still_apart(shared, connected_components(led), similarity), bodies, similarity, width)
+    heads = cut(_heads(bodies, similarity, width))
+    shared = cut(_shared_grams(heads))
+    led = _alike_of(_to_leaders(shared, similarity), heads, bodies, similarity, width)
+    apart = _alike_of(_still_apart(shared, connected_components(led), similarity), heads, bodies, similarity, width)
     return led.unionByName(apart)
 
 
