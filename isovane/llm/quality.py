@@ -241,7 +241,7 @@ def rate(docs: DataFrame, labels: DataFrame) -> DataFrame:
     stats = cut(text_statistics(docs.withColumn("held_out", F.coalesce(rest == 2, F.lit(False))).select("doc_id", "held_out", "text"), keep=("doc_id", "held_out")))
     marks = labels.where((rest != 2) & F.col("quality").isin(0, 1)).select("doc_id", F.col("quality").alias("label"))
     known = stats.where(~F.col("held_out")).join(marks, "doc_id")
-    model = fit(known.select("stats", "label", F.when(rest == 3, 1).otherwise(0).alias("fold")))
+    model = fit(cut(known.select("stats", "label", F.when(rest == 3, 1).otherwise(0).alias("fold"))))
     return score(stats, model, keep=("doc_id", "held_out"))
 
 

@@ -62,7 +62,7 @@ def test_chat(spark):
     turns = [(1, 0, "user", "hi"), (1, 1, "assistant", None), (1, 1, "assistant", None), (1, None, None, "who"), (None, 0, "bob", "x"), (None, 1, "bob", "<|im_end|>"), (2, 0, "system", "alone"), (1, 300, "user", "late")]
     df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").withColumns({c: F.lit(1) for c in ("part", "speaker", "said", "c", "turns")})
     rows = chat.rotate(df).collect()
-    assert {(r.conv_id, r.part, r.speaker) for r in rows} == {(1, p, s) for p in (0, 1) for s in ("user", "assistant", "unknown")} | {(None, 0, "bob")}
+    assert {(r.conv_id, r.part, r.start, r.speaker) for r in rows} == {(1, 0, 0, s) for s in ("user", "assistant", "unknown")} | {(None, 0, 0, "bob")}
     for r in rows:
         own = "".join(r.chat[s.start : s.end] for s in r.spans)
         assert own.count(chat.CLOSE) == r.n_own

@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from isovane.llm import simhash
+from tests.llm.test_edges import CLASHING, ROWS, SCHEMA
 
 SF = "/root/testdata/sf0.01"
 STAGES = dict(corpus_pipeline.STAGES)
@@ -80,3 +82,66 @@ def test_mixing_and_packing_take_effect(spark, docs):
     assert set(times.values()) == {1, 2} and len(times) < docs.count()
     packed = STAGES["pack_sequences"](spark, mixed, SF).where("piece = 0")
     assert Counter(r.doc_id for r in packed.select("doc_id").collect()) == times
+
+
+def rows_of(df):
+    return sorted(map(repr, (tuple(r) for r in df.drop("sequence_id", "offset").collect())))
+
+
+def test_run_gives_the_rows_of_its_stages(spark):
+    sf = "/root/testdata/sf0.001"
+    out = spark.read.parquet(f"{sf}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES:
+        out = stage(spark, out, sf)
+    whole = corpus_pipeline.run(spark, sf)
+    assert rows_of(whole) == rows_of(out)
+    plan = whole._jdf.queryExecution().analyzed().toString()
+    assert plan.count("MapInArrow") <= 1  # tokens at most; no stage before is in the plan
+
+
+@pytest.mark.parametrize("rows", [ROWS, []])
+def test_run_with_nulls_clashing_names_and_no_rows(spark, tmp_path, rows):
+    docs = spark.createDataFrame(rows, SCHEMA).withColumns({c: F.lit(9) for c in CLASHING})
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    out = docs
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, out, str(tmp_path))
+        assert out.columns == docs.columns, name
+    whole = corpus_pipeline.run(spark, str(tmp_path))
+    assert (whole.count() > 0) == bool(rows)
+
+
+@pytest.mark.parametrize("stage", [name for name, _ in corpus_pipeline.STAGES])
+def test_each_stage_on_nulls_and_no_rows(spark, stage):
+    docs = spark.createDataFrame(ROWS, SCHEMA).withColumns({c: F.lit(9) for c in CLASHING})
+    assert STAGES[stage](spark, docs.where("doc_id > 100"), SF).count() == 0
+    assert STAGES[stage](spark, docs, SF).count() > 0
+
+
+def test_texts_that_share_a_hash_stay_apart(spark, monkeypatch):
+    texts = [f"text number {i} with some words of its own {i * i} and more {i * 31}" for i in range(200)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, *texts[:50]])], "doc_id long, text string")
+    monkeypatch.setattr(simhash, "_first_hash", lambda body: F.pmod(F.xxhash64(body), F.lit(40)))
+    narrow, _ = simhash.text_ids(docs, ("doc_id",))
+    tid = dict(tuple(r) for r in narrow.collect())
+    assert len(set(tid.values())) == 200 and all(tid[i] == tid[200 + i] for i in range(50))
+    assert {r.doc_id for r in simhash.keep_one_per_group(docs).select("doc_id").collect()} == set(range(200))
+
+
+def test_parities_rule_out_no_alike_pair():
+    import random
+
+    import numpy as np
+
+    rng = random.Random(6)
+    for _ in range(400):
+        n = rng.choice([1, 5, 63, 64, 65, 200, 1_000])
+        base = [rng.getrandbits(63) for _ in range(n)]
+        other = [h for h in base if rng.random() > 0.1] + [rng.getrandbits(63) for _ in range(rng.randrange(0, n // 8 + 1))]
+        a, b = (np.unique(np.array(x, np.int64)) for x in (base, other))
+        u, v = (simhash._parities(x).view("<u8") for x in (a, b))
+        while len(u) > len(v):
+            u = u[: len(u) // 2] ^ u[len(u) // 2 :]
+        while len(v) > len(u):
+            v = v[: len(v) // 2] ^ v[len(v) // 2 :]
+        assert sum(int(x).bit_count() for x in u ^ v) <= len(set(a.tolist()) ^ set(b.tolist()))
