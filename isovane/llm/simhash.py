@@ -41,6 +41,8 @@ SAMPLED = 16
 COMMON = 3
 #: Bits of the map that marks them: 4 MB, broadcast to the tasks.
 SLOTS = 1 << 25
+#: 64-bit words of the parities that meet in a crowd.
+SIGN = 8
 #: A table with more rows than this is joined, not broadcast.
 BROADCAST_ROWS = 20_000
 
@@ -182,15 +184,16 @@ def _common_first_last(hashes: np.ndarray, common: np.ndarray) -> np.ndarray:
     return np.concatenate([hashes[~late], hashes[late]])
 
 
-def _parities(hashes: np.ndarray) -> list[int]:
+def _parities(hashes: np.ndarray, words: int = 0) -> np.ndarray:
     """64-bit words, a power of 2 of them, with a bit for each hash at least: each hash flips the bit of its slot."""
-    words = 1 << max(0, (len(hashes) - 1).bit_length() - 6) if len(hashes) else 1
+    words = words or (1 << max(0, (len(hashes) - 1).bit_length() - 6) if len(hashes) else 1)
     odd = np.bincount((hashes & (64 * words - 1)).astype(np.int64), minlength=64 * words) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
 
 
 def shingle_prefixes(bodies: DataFrame, common: Broadcast, similarity: float, width: int = WIDTH) -> DataFrame:
-    """(tid, size, grams, odd) of (tid, text): number of distinct shingles, as many of them as the prefix join needs, parities."""
+    """(tid, size, grams, odd, sign) of (tid, text): number of distinct shingles, as many of them as the prefix join needs,
+    parities over as many slots as shingles, and over ``SIGN`` words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         marks = np.frombuffer(common.value, np.uint8)
@@ -199,9 +202,10 @@ def shingle_prefixes(bodies: DataFrame, common: Broadcast, similarity: float, wi
             sizes = pa.array([len(r) for r in rows], pa.int64())
             heads = pa.array([_common_first_last(r, marks)[: _prefix_length(len(r), similarity)] for r in rows], pa.list_(pa.int64()))
             odd = pa.array([_parities(r) for r in rows], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), sizes, heads, odd], ["tid", "size", "grams", "odd"])
+            sign = pa.array([_parities(r, SIGN) for r in rows], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), sizes, heads, odd, sign], ["tid", "size", "grams", "odd", "sign"])
 
-    return bodies.select("tid", F.col("text").cast("binary")).mapInArrow(run, "tid long, size long, grams array<long>, odd array<long>")
+    return bodies.select("tid", F.col("text").cast("binary")).mapInArrow(run, "tid long, size long, grams array<long>, odd array<long>, sign array<long>")
 
 
 def _sizes_fit(similarity: float) -> Column:
@@ -267,12 +271,12 @@ def common_slots(bodies: DataFrame, width: int = WIDTH) -> bytes:
 
 
 def _heads(bodies: DataFrame, similarity: float, width: int) -> DataFrame:
-    """(tid, size, grams, odd) of ``shingle_prefixes``, once for each text.
+    """(tid, size, grams, odd, sign) of ``shingle_prefixes``, once for each text.
 
     Members are in the order of their hashes, common ones last, so that a passage of many texts makes no candidates.
     """
     common = bodies.sparkSession.sparkContext.broadcast(common_slots(bodies, width))
-    return shingle_prefixes(bodies, common, similarity, width).groupBy("tid").agg(F.first(F.struct("size", "grams", "odd")).alias("s")).select("tid", "s.size", "s.grams", "s.odd")
+    return shingle_prefixes(bodies, common, similarity, width).groupBy("tid").agg(F.first(F.struct("size", "grams", "odd", "sign")).alias("s")).select("tid", "s.*")
 
 
 def _shared_grams(heads: DataFrame) -> DataFrame:
@@ -293,20 +297,25 @@ def _to_leaders(shared: DataFrame, similarity: float) -> DataFrame:
     return met.where((F.col("u") != F.col("v")) & _sizes_fit(similarity)).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
 
 
-def _still_apart(shared: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
-    """(u, v): all pairs that share a prefix shingle, are not in one group yet, and can be alike by sizes and places.
+def _still_apart(shared: DataFrame, heads: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
+    """(u, v): all pairs that share a prefix shingle, are not in one group yet, and can be alike by sizes, parities and places.
 
-    At a shingle, texts outside its largest group meet all others, so a crowd that is one group costs nothing.
+    At a shingle, texts outside its largest group meet all others, so a crowd that is one group costs nothing. In a crowd
+    of texts that are not alike, their parities (see ``_maybe_alike``) rule pairs out where they meet, before a row is made.
     A pair's likeness is bounded by the shingles shared up to the last shared place and what follows it.
     """
-    named = shared.join(roots.withColumnRenamed("node", "tid"), "tid", "left").withColumn("root", F.coalesce("component", "tid")).drop("component")
+    signs = [F.get("sign", F.lit(i)).alias(f"s{i}") for i in range(SIGN)]
+    groups = heads.select("tid", *signs).join(roots.withColumnRenamed("node", "tid"), "tid", "left").withColumn("root", F.coalesce("component", "tid")).drop("component")
+    named = shared.join(groups, "tid")
     most = named.groupBy("gram", "root").agg(F.count("*").alias("m")).groupBy("gram").agg(F.max(F.struct("m", "root")).alias("m"), F.count("*").alias("groups"))
     open_ = named.join(most.where(F.col("groups") > 1).select("gram", F.col("m.root").alias("main")), "gram")
-    side = lambda s: [F.col(c).alias(f"{c}_{s}") for c in ("tid", "size", "pos", "root")]
+    side = lambda s: [F.col(c).alias(f"{c}_{s}") for c in ("tid", "size", "pos", "root", *(f"s{i}" for i in range(SIGN)))]
     all_ = open_.select("gram", (F.col("root") == F.col("main")).alias("in_main"), *side("v"))
     rest = open_.where(F.col("root") != F.col("main")).select("gram", *side("u"))
     once = F.col("in_main") | (F.col("tid_u") < F.col("tid_v"))
-    met = rest.join(all_, "gram").where((F.col("root_u") != F.col("root_v")) & once & _sizes_fit(similarity))
+    differing = sum((F.bit_count(F.col(f"s{i}_u").bitwiseXOR(F.col(f"s{i}_v"))) for i in range(1, SIGN)), F.bit_count(F.col("s0_u").bitwiseXOR(F.col("s0_v"))))
+    near = (F.col("size_u") + F.col("size_v") - differing) * F.lit(1 + similarity) >= (F.col("size_u") + F.col("size_v")) * F.lit(2 * similarity) - 1e-6
+    met = rest.join(all_, "gram").where((F.col("root_u") != F.col("root_v")) & once & _sizes_fit(similarity) & near)
     flip = F.col("tid_u") > F.col("tid_v")
     pick = lambda a, b: F.when(flip, F.col(b)).otherwise(F.col(a))
     left = F.least(F.col("size_u") - F.col("pos_u"), F.col("size_v") - F.col("pos_v"))
@@ -355,7 +364,7 @@ def alike(bodies: DataFrame, similarity: float = SIMILARITY, width: int = WIDTH)
     heads = cut(_heads(bodies, similarity, width))
     shared = cut(_shared_grams(heads))
     led = _alike_of(_to_leaders(shared, similarity), heads, bodies, similarity, width)
-    apart = _alike_of(_still_apart(shared, connected_components(led), similarity), heads, bodies, similarity, width)
+    apart = _alike_of(_still_apart(shared, heads, connected_components(led), similarity), heads, bodies, similarity, width)
     return led.unionByName(apart)
 
 
