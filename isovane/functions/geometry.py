@@ -95,6 +95,12 @@ def edge_cost(delta: Vector, n1: Vector, n2: Vector, p1: Column, p2: Column, pla
     return F.when(size > TINY, size * (1.0 + F.sqrt(p1 * p2) * bend)).otherwise(F.lit(float("inf")))
 
 
+def voxel_area(n: Vector, spacing: tuple[float, float, float]) -> Column:
+    """Area in mm2 of the tangent plane with unit normal ``n`` in a voxel: its volume over its extent along the normal."""
+    extent = sum(F.abs(c) * F.lit(float(s)) for c, s in zip(n, spacing, strict=True))
+    return F.lit(math.prod(spacing) * 1e6) / extent
+
+
 def continues(delta: Vector, n1: Vector, n2: Vector, most: float = 0.75) -> Column:
     """Whether a step stays near the tangent planes of both normals; false for zero steps or normals."""
     good = (dot(delta, delta) > TINY) & (dot(n1, n1) > TINY) & (dot(n2, n2) > TINY)

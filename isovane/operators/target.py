@@ -161,6 +161,20 @@ def with_ids(samples: DataFrame) -> DataFrame:
     return numbered(samples, KEY, "sample_id")
 
 
+def core_at(places: DataFrame, core: DataFrame) -> DataFrame:
+    """``places`` (x, y, z and others) at which a core sample is, with its columns; others give no row."""
+    return places.join(core, KEY)
+
+
+def zipped(samples: DataFrame, other: DataFrame) -> DataFrame:
+    """Rows of both with the same place, side by side. Raises unless the two match one to one."""
+    both = cut(samples.join(other, KEY))
+    counts = samples.count(), other.count(), both.count(), both.select(*KEY).distinct().count()
+    if len(set(counts)) > 1:
+        raise ValueError(f"samples and values don't match: {counts[0]}, {counts[1]} rows, {counts[2]} pairs")
+    return both
+
+
 def pack_key(x: Column, y: Column, z: Column) -> Column:
     """Coordinates (within 2^20 of 0) as one long that sorts like (x, y, z)."""
     shift = lambda c: c.cast("long") + F.lit(1 << 20)

@@ -9,8 +9,8 @@ from isovane.functions import geometry as g
 from isovane.operators import clouds, normals, paths, strokes, target
 from isovane.operators.stencil import KEY, box, radius_join, shifted
 from isovane.plans.lineage import cut
-from isovane.queries.normal_fields import _normals
-from isovane.queries.surface import BOX, CORE, SIX, SX, SY, SZ, VOX, _grid, _with, r6
+from isovane.queries.normal_fields import ROUNDED, _normals, _samples
+from isovane.queries.surface import ALL_SAMPLES, BOX, CORE, NORMALS, PLANAR, SETTINGS, SIX, SX, SY, SZ, VOX, _grid, _with, r6
 from isovane.sources import stores
 from isovane.sources import voxels as v
 
@@ -25,12 +25,7 @@ def _points(spark, sf_dir) -> DataFrame:
 
 
 def within_radius(spark, sf_dir) -> DataFrame:
-    p = _points(spark, sf_dir).select("pid", *clouds.WORLD)
-    return radius_join(p.where("pid % 5 = 0"), p, RADIUS).select("pid", "p_pid", r6(F.col("d2")).alias("d2"))
-
-
-def within_radius_all(spark, sf_dir) -> DataFrame:
-    """C12 for every point; ``within_radius`` asks for one in five, as its SQL does."""
+    """All pairs of points within the radius, every point asked for."""
     p = _points(spark, sf_dir).select("pid", *clouds.WORLD)
     return radius_join(p, p, RADIUS).select("pid", "p_pid", r6(F.col("d2")).alias("d2"))
 
@@ -63,35 +58,52 @@ def quadratic_fit(spark, sf_dir) -> DataFrame:
     return clouds.solve_quadratic(_quadratic(spark, sf_dir), "pid")
 
 
-def nearest_sample(spark, sf_dir) -> DataFrame:
-    """For one in 90 points a little off their voxel, the nearest core sample within a distance of 1.2, as in the SQL."""
-    grid, iso = _grid(spark, sf_dir)
-    core = target.core_voxels(grid, iso)
-    w = g.to_world(grid, *map(F.col, KEY))
-    core = core.select(*KEY, *[c.alias(n) for c, n in zip(w, clouds.WORLD, strict=True)])
-    asked = grid.voxels.where("x % 6 = 1 AND y % 3 = 0 AND z % 5 = 2").select((F.col("x") * 10000 + F.col("y") * 100 + F.col("z")).cast("long").alias("pid"), *[(c + o).alias(n) for c, o, n in zip(w, (0.01, 0.02, 0.03), clouds.WORLD, strict=True)])
-    found = radius_join(asked, core, 1.2).groupBy("pid").agg(F.min(F.struct("d2", "p_x", "p_y", "p_z")).alias("m"))
-    return found.select("pid", F.col("m.p_x").alias("x"), F.col("m.p_y").alias("y"), F.col("m.p_z").alias("z"), r6(F.col("m.d2")).alias("d2"))
-
-
 def nearest_in_box(grid: v.Grid, core: DataFrame, shift: tuple[float, float, float] = (0.01, 0.02, 0.03)) -> DataFrame:
     """(x, y, z, core_x, core_y, core_z, d2): for a point ``shift`` off each voxel, the nearest core sample within 4 voxels along each axis.
 
     Each core voxel goes to the 729 places around it, where partial minima keep the nearest; ties go to the smallest (x, y, z).
     """
     d2 = sum((F.col(d) * F.lit(float(s)) - F.lit(o)) * (F.col(d) * F.lit(float(s)) - F.lit(o)) for d, s, o in zip(("dx", "dy", "dz"), grid.spacing, shift, strict=True))
-    sent = shifted(core.select(*KEY), box(4, center=True), -1).select("qx", "qy", "qz", F.struct(d2.alias("d2"), *KEY).alias("m"))
+    sent = shifted(core.select(*KEY), box(4, center=True), -1).select("qx", "qy", "qz", F.struct(F.round(d2, 9).alias("d2"), *KEY).alias("m"))
     best = sent.groupBy(F.col("qx").alias("x"), F.col("qy").alias("y"), F.col("qz").alias("z")).agg(F.min("m").alias("m"))
     return grid.voxels.select(*KEY).join(best, KEY).select(*KEY, *[F.col(f"m.{k}").alias(f"core_{k}") for k in KEY], F.col("m.d2").alias("d2"))
 
 
-def nearest_sample_all(spark, sf_dir) -> DataFrame:
-    """C13 for every voxel, in the whole box; ``nearest_sample`` asks for one in 90 within 1.2, as its SQL does."""
+def nearest_sample(spark, sf_dir) -> DataFrame:
+    """For every voxel, the nearest core sample in the whole box of 4 voxels along each axis."""
     grid, iso = _grid(spark, sf_dir)
     found = nearest_in_box(grid, target.core_voxels(grid, iso))
     return found.select(*KEY, "core_x", "core_y", "core_z", r6(F.col("d2")).alias("d2"))
 
 
+def lookups(spark, sf_dir) -> DataFrame:
+    """C15: the sample at each asked place, where a core sample is there; places are asked for by their line of an order."""
+    grid, iso = _grid(spark, sf_dir)
+    asked = v.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("pid"), *[F.expr(e).cast("int").alias(k) for k, e in zip(KEY, ("o_orderkey % 30", "o_custkey % 12", "o_orderkey % 35"), strict=True)])
+    return target.core_at(asked, target.core_voxels(grid, iso)).select("pid", *KEY, "value", "crossings")
+
+
+def voxel_areas(spark, sf_dir) -> DataFrame:
+    """D20 and D24: each core sample's area in mm2 on its tangent plane."""
+    grid, field = _normals(spark, sf_dir)
+    core = field.where("kind = 'core' AND (nx <> 0 OR ny <> 0 OR nz <> 0)")
+    return core.select(*KEY, F.round(g.voxel_area(g.vector("nx", "ny", "nz"), grid.spacing) / 1e6, 5).alias("m2"))
+
+
+def mean_planarity(spark, sf_dir) -> DataFrame:
+    """D24: the mean planarity of the core samples."""
+    grid, iso, samples = _samples(spark, sf_dir)
+    full = target.with_planarity(grid, cut(target.with_normals(grid, samples, iso)), target.TargetSettings(iso=iso, **SETTINGS))
+    return full.where("kind = 'core'").agg(F.count("*").alias("n"), F.round(F.avg(F.col("planarity").cast("float").cast("double")), 4).alias("mean_planarity"))
+
+
+def zipped(spark, sf_dir) -> DataFrame:
+    """C24: samples and the axes of their fit side by side, refused where they don't match one to one."""
+    _, iso, samples = _samples(spark, sf_dir)
+    marks = samples.select(*KEY, (F.col("value") * 2).alias("twice"))
+    return target.zipped(samples.select(*KEY, "kind", "value"), marks).select(*KEY, "kind", "value", "twice")
+
+
 def nearest_seed(spark, sf_dir) -> DataFrame:
     grid, iso = _grid(spark, sf_dir)
     w = g.to_world(grid, *map(F.col, KEY))
@@ -202,8 +214,8 @@ def windows(spark, sf_dir) -> DataFrame:
 
 
 QUERIES = {
-    "c12_radius_join": within_radius, "c12_radius_join_all": within_radius_all, "e2_nearest_k": nearest_k, "d7_b15_kernel_means": kernel_means, "d8_quadratic_sums": quadratic_sums, "b21_quadratic_fit": quadratic_fit,
-    "c13_e13_nearest_sample": nearest_sample, "c13_e13_nearest_sample_all": nearest_sample_all, "c14_nearest_seed": nearest_seed, "b16_b27_b29_kernels": kernels, "b17_edge_costs": edge_costs, "g7_distances": distances,
+    "c12_radius_join": within_radius, "c12_radius_join_all": within_radius, "c15_core_at": lookups, "d20_voxel_areas": voxel_areas, "d24_mean_planarity": mean_planarity, "c24_zipped": zipped, "e2_nearest_k": nearest_k, "d7_b15_kernel_means": kernel_means, "d8_quadratic_sums": quadratic_sums, "b21_quadratic_fit": quadratic_fit,
+    "c13_e13_nearest_sample": nearest_sample, "c13_e13_nearest_sample_all": nearest_sample, "c14_nearest_seed": nearest_seed, "b16_b27_b29_kernels": kernels, "b17_edge_costs": edge_costs, "g7_distances": distances,
     "g6_route": route, "g8_brush": brush, "d26_stroke_totals": stroke_totals, "e11_changed_events": changed_events, "e8_e9_growing_slices": growing_slices, "e10_spaced": spaced,
     "d16_merged_weights": merged_weights, "d27_normalised_weights": normalised_weights, "a14_names": names, "a10_fingerprint": fingerprint, "a19_presets": presets, "i_event_windows": windows,
 }
@@ -221,7 +233,17 @@ walk(x, y, z, dist) AS (
 W = "w AS (SELECT CAST(user_id % 20 AS INTEGER) AS x, CAST(event_id % 7 AS INTEGER) AS y, 0 AS z, round(value, 3) - 20 AS weight FROM events), m AS (SELECT x, y, z, max(weight) AS weight FROM w WHERE weight > 0 GROUP BY ALL)"
 
 SQL = {
-    "c12_radius_join": f"WITH {PTS} SELECT q.pid, p.pid AS p_pid, round({D2}, 6) + 0.0 AS d2 FROM pts q, pts p WHERE q.pid % 5 = 0 AND {D2} <= {RADIUS ** 2!r}",
+    "c12_radius_join": f"WITH {PTS} SELECT q.pid, p.pid AS p_pid, round({D2}, 6) + 0.0 AS d2 FROM pts q, pts p WHERE {D2} <= {RADIUS ** 2!r}",
+    "c15_core_at": _with(VOX, SIX, CORE) + " SELECT o_orderkey AS pid, c.x, c.y, c.z, c.value, c.crossings FROM orders JOIN core c ON c.x = o_orderkey % 30 AND c.y = o_custkey % 12 AND c.z = o_orderkey % 35",
+    "d20_voxel_areas": _with(*ALL_SAMPLES, NORMALS, ROUNDED) + f" SELECT x, y, z, round(({SX * SY * SZ!r})::DOUBLE / (abs(nx) * {SX} + abs(ny) * {SY} + abs(nz) * {SZ}), 5) AS m2 FROM field WHERE kind = 'core' AND (nx <> 0 OR ny <> 0 OR nz <> 0)",
+    "d24_mean_planarity": _with(*ALL_SAMPLES, NORMALS, BOX, PLANAR) + " SELECT count(*) AS n, round(avg(CAST(CAST(CASE WHEN good THEN (1 - exp(-w / 3.0)) * exp(-(d / radians(15.0)) * (d / radians(15.0))) ELSE 0 END AS REAL) AS DOUBLE)), 4) AS mean_planarity FROM dev",
+    "c24_zipped": _with(*ALL_SAMPLES) + " SELECT x, y, z, kind, value, value * 2 AS twice FROM samples",
+    "b17_edge_costs": _with(*ALL_SAMPLES, NORMALS, ROUNDED, BOX) + f""", s AS MATERIALIZED (SELECT x, y, z, nx, ny, nz, core.value / 32.0::DOUBLE AS p FROM field JOIN core USING (x, y, z) WHERE kind = 'core'),
+      e AS (SELECT a.x, a.y, a.z, b.x AS qx, b.y AS qy, b.z AS qz, o.dx * {SX}::DOUBLE AS ex, o.dy * {SY}::DOUBLE AS ey, o.dz * {SZ}::DOUBLE AS ez, sqrt(a.p * b.p) AS p, acos(least(greatest(a.nx*b.nx + a.ny*b.ny + a.nz*b.nz, -1), 1)) / radians(20.0) AS turn,
+              a.nx, a.ny, a.nz, a.nx + b.nx AS mx, a.ny + b.ny AS my, a.nz + b.nz AS mz FROM s a CROSS JOIN box26 o JOIN s b ON b.x = a.x + o.dx AND b.y = a.y + o.dy AND b.z = a.z + o.dz),
+      f AS (SELECT *, sqrt(ex*ex + ey*ey + ez*ez) AS size, sqrt(mx*mx + my*my + mz*mz) AS ml FROM e),
+      h AS (SELECT *, abs(CASE WHEN ml * ml <= 1e-20 THEN ex*nx + ey*ny + ez*nz ELSE (ex*mx + ey*my + ez*mz) / ml END) / size AS off FROM f)
+      SELECT x, y, z, qx, qy, qz, round(size * (1 + p * (16 * off * off + 0.5 * turn * turn)), 4) AS cost FROM h""",
     "e2_nearest_k": f"WITH {PTS}, r AS (SELECT q.pid, p.pid AS p_pid, {D2} AS d2, CAST(row_number() OVER (PARTITION BY q.pid ORDER BY {D2}, p.pid) AS INTEGER) AS rank FROM pts q, pts p WHERE q.pid <> p.pid AND {D2} <= {RADIUS ** 2!r}) SELECT pid, p_pid, rank, round(d2, 6) + 0.0 AS d2 FROM r WHERE rank <= 4",
     "d7_b15_kernel_means": f"""WITH {PTS}, u AS MATERIALIZED (SELECT pid, wx, wy, wz, a / l AS nx, b / l AS ny, c / l AS nz FROM (SELECT *, sqrt(a*a + b*b + c*c) AS l FROM pts)),
       k AS (SELECT q.pid, p.wx, p.wy, p.wz, q.nx*p.nx + q.ny*p.ny + q.nz*p.nz AS d, sqrt({D2}) / {RADIUS}::DOUBLE AS s FROM u q, u p WHERE {D2} <= {RADIUS ** 2!r}),
@@ -229,10 +251,10 @@ SQL = {
       SELECT pid, count(*) AS n, round(sum(w), 6) + 0.0 AS weight, round(sum(w * wx) / sum(w), 6) + 0.0 AS ax, round(sum(w * wy) / sum(w), 6) + 0.0 AS ay, round(sum(w * wz) / sum(w), 6) + 0.0 AS az FROM t GROUP BY pid""",
     "d8_quadratic_sums": f"""WITH {PTS}, k AS (SELECT q.pid, p.wx - q.wx AS u, p.wy - q.wy AS v, p.wz - q.wz AS h, sqrt({D2}) / 0.2::DOUBLE AS s FROM pts q, pts p WHERE {D2} <= {0.2 ** 2!r}), t AS (SELECT *, {_WEN.format(q='s')} AS w FROM k)
       SELECT pid, count(*) AS n, round(sum(w), 6) + 0.0 AS w, round(sum(w), 6) + 0.0 AS m00, round(sum(w*u*v), 6) + 0.0 AS m12, round(sum(w*u*u*u*u), 6) + 0.0 AS m33, round(sum(w*v*v*v*v), 6) + 0.0 AS m55, round(sum(w*h), 6) + 0.0 AS r0, round(sum(w*u*u*h), 6) + 0.0 AS r3 FROM t GROUP BY pid""",
-    "c13_e13_nearest_sample": _with(VOX, SIX, CORE) + f""", q AS (SELECT x*10000 + y*100 + z AS pid, x*{SX}::DOUBLE + 0.01 AS wx, y*{SY}::DOUBLE + 0.02 AS wy, z*{SZ}::DOUBLE + 0.03 AS wz FROM vox WHERE x % 6 = 1 AND y % 3 = 0 AND z % 5 = 2),
-      p AS (SELECT x, y, z, x*{SX}::DOUBLE AS wx, y*{SY}::DOUBLE AS wy, z*{SZ}::DOUBLE AS wz FROM core),
-      r AS (SELECT q.pid, p.x, p.y, p.z, {D2} AS d2 FROM q, p WHERE {D2} <= 1.44)
-      SELECT CAST(pid AS BIGINT) AS pid, x, y, z, round(d2, 6) + 0.0 AS d2 FROM r QUALIFY row_number() OVER (PARTITION BY pid ORDER BY d2, x, y, z) = 1""",
+    "c13_e13_nearest_sample": _with(VOX, SIX, CORE) + f""", r AS (
+        SELECT q.x, q.y, q.z, p.x AS core_x, p.y AS core_y, p.z AS core_z, ((p.x - q.x) * {SX}::DOUBLE - 0.01)**2 + ((p.y - q.y) * {SY}::DOUBLE - 0.02)**2 + ((p.z - q.z) * {SZ}::DOUBLE - 0.03)**2 AS d2
+        FROM vox q JOIN core p ON p.x BETWEEN q.x - 4 AND q.x + 4 AND p.y BETWEEN q.y - 4 AND q.y + 4 AND p.z BETWEEN q.z - 4 AND q.z + 4)
+      SELECT x, y, z, core_x, core_y, core_z, round(d2, 6) + 0.0 AS d2 FROM r QUALIFY row_number() OVER (PARTITION BY x, y, z ORDER BY round(d2, 9), core_x, core_y, core_z) = 1""",
     "c14_nearest_seed": _with(VOX, SIX, CORE) + f" SELECT x, y, z, round((x*{SX}::DOUBLE - 3)**2 + (y*{SY}::DOUBLE - 1.5)**2 + (z*{SZ}::DOUBLE - 12.25)**2, 6) + 0.0 AS d2 FROM core ORDER BY (x*{SX}::DOUBLE - 3)**2 + (y*{SY}::DOUBLE - 1.5)**2 + (z*{SZ}::DOUBLE - 12.25)**2, x, y, z LIMIT 1",
     "b16_b27_b29_kernels": f"""WITH {PTS}, k AS (SELECT pid, abs(wx) * 4 AS q, least(greatest(abs(wx) * 4, 0), 1) AS h, least(greatest((abs(wx) * 4 - 0.2) / 0.5, 0), 1) AS t FROM pts)
       SELECT pid, round({_WEN.format(q='q')}, 6) + 0.0 AS wendland, round(CASE WHEN q <= 0.2 THEN 1 ELSE 1 - t*t*t*(t*(t*6 - 15) + 10) END, 6) + 0.0 AS falloff,
@@ -254,3 +276,4 @@ SQL = {
       SELECT name, count(*) AS n, round(sum(core_mm), 2) AS core_mm, round(CAST(sum(strength) AS DOUBLE), 2) AS strength, CAST(10 AS DOUBLE) AS falloff_mm FROM o GROUP BY name""",
     "i_event_windows": "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') AS start, event_type, count(*) AS n FROM events GROUP BY ALL",
 }
+SQL |= {f"{k}_all": SQL[k] for k in ("c12_radius_join", "c13_e13_nearest_sample")}

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from isovane.functions import geometry as g
 from isovane.operators import bricks, recon, target
 from isovane.operators.stencil import KEY
 from isovane.plans.lineage import cut
+from isovane.plans.ranks import numbered
 from isovane.queries.normal_fields import _normals, _samples
 from isovane.queries.surface import ALL_SAMPLES, LEAF, VOX, _grid, _morton, _with
 from isovane.sources import voxels as v
@@ -40,7 +40,7 @@ def capsule(spark, sf_dir) -> DataFrame:
 
 def morton_order(spark, sf_dir) -> DataFrame:
     found = bricks.from_grid(v.from_lineitem(spark, sf_dir)).select("bi", "bj", "bk", "morton")
-    return found.select("bi", "bj", "bk", (F.row_number().over(Window.orderBy("morton", "bi", "bj", "bk")) - 1).alias("place"))  # a row for each brick: a report
+    return numbered(found, ["morton", "bi", "bj", "bk"], "place").select("bi", "bj", "bk", F.col("place").cast("int").alias("place"))
 
 
 def metrics(spark, sf_dir) -> DataFrame:

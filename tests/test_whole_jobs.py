@@ -42,3 +42,12 @@ def test_heat_reaches_every_vertex(spark):
     _, _, vs, _ = meshes._mesh(spark, SF)
     rows = queries.queries()["c19_d27_b27_heatmap"](spark, SF).collect()
     assert sum(r.n for r in rows) == vs.count()
+
+
+def test_zip_refuses_what_does_not_match(spark):
+    a = spark.createDataFrame([(0, 0, 0, 1.0), (1, 0, 0, 2.0)], "x int, y int, z int, value double")
+    b = spark.createDataFrame([(0, 0, 0, 3.0), (1, 0, 0, 4.0)], "x int, y int, z int, other double")
+    assert {(r.value, r.other) for r in target.zipped(a, b).collect()} == {(1.0, 3.0), (2.0, 4.0)}
+    for wrong in (b.where("x = 0"), b.unionByName(b)):
+        with pytest.raises(ValueError):
+            target.zipped(a, wrong)
