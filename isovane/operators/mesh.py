@@ -15,39 +15,29 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from isovane.functions import geometry as g
-from isovane.operators.stencil import KEY, SIX, gather, shifted
-from isovane.operators.target import CORNERS, core_voxels, crossings, pack_key, trilinear
+from isovane.operators.stencil import KEY, SIX, shifted
+from isovane.operators.target import pack_key, trilinear
+from isovane.operators.tiles import net
 from isovane.plans.fixpoint import connected_components
 from isovane.plans.lineage import cut
 from isovane.plans.ranks import numbered
 from isovane.sources.voxels import Grid
 
-#: The 12 edges of a cell as pairs of corner numbers.
-CELL_EDGES = [(i, j) for i, j in product(range(8), repeat=2) if i < j and sum(a != b for a, b in zip(CORNERS[i], CORNERS[j], strict=True)) == 1]
-
 
 def surface_net(grid: Grid, iso: float) -> tuple[DataFrame, DataFrame]:
     """(vertices, triangles) of the surface at ``iso``; needs a background that is outside.
 
     Every cell of eight voxels with both sides in it gets one vertex, the mean of the crossings on its edges. Every
     voxel edge that crosses becomes a quad of the four cells around it, as two triangles. Vertex ids are packed
-    cell coordinates, so triangles need no lookup.
+    cell coordinates, so triangles need no lookup. Both come out of one pass over tiles.
     """
     if grid.background_inside(iso):
         raise ValueError("the background must be outside")
-    core = cut(core_voxels(grid, iso))
-    cells = shifted(core, CORNERS, -1).select(F.col("qx").alias("x"), F.col("qy").alias("y"), F.col("qz").alias("z")).distinct()
-    wide = gather(cells, grid.voxels, CORNERS, grid.background)
-    wide = wide.select("*", *[grid.inside(F.col(f"v{i}"), iso).alias(f"in{i}") for i in range(8)])
-    steps = [F.when(F.col(f"in{i}") != F.col(f"in{j}"), g.crossing(F.col(f"v{i}"), F.col(f"v{j}"), iso)).alias(f"c{k}") for k, (i, j) in enumerate(CELL_EDGES)]
-    wide = wide.select(*KEY, *steps)  # null where an edge isn't crossed
-    n = sum(F.col(f"c{k}").isNotNull().cast("int") for k in range(len(CELL_EDGES)))
-    place = lambda k, i, j, a: F.coalesce(F.lit(float(CORNERS[i][a])) + F.col(f"c{k}") * float(CORNERS[j][a] - CORNERS[i][a]), F.lit(0.0))
-    total = [sum(place(k, i, j, a) for k, (i, j) in enumerate(CELL_EDGES)) for a in range(3)]
-    mixed = wide.select(*KEY, n.alias("n"), *[c.alias(f"t{a}") for a, c in enumerate(total)]).where("n > 0")
-    index = [F.col(k) + F.col(f"t{a}") / F.col("n") for a, k in enumerate(KEY)]
-    vertices = mixed.select(pack_key(*map(F.col, KEY)).alias("vid"), *[c.alias(p) for c, p in zip(g.to_world(grid, *index), ("px", "py", "pz"), strict=True)])
-    return vertices, _quads(crossings(grid, core, iso))
+    rows = cut(net(grid, iso))
+    vertex = rows.where("slot < 0")
+    index = [F.col(p) for p in ("px", "py", "pz")]
+    vertices = vertex.select(pack_key(*map(F.col, KEY)).alias("vid"), *[c.alias(p) for c, p in zip(g.to_world(grid, *index), ("px", "py", "pz"), strict=True)])
+    return vertices, _quads(rows.where("slot >= 0").select(*KEY, "slot"))
 
 
 def _narrow_key(x: Column, y: Column, z: Column) -> Column:
@@ -79,10 +69,11 @@ def corners_of(triangles: DataFrame, vertices: DataFrame, carry: list[str] | Non
     """Triangles with the positions of their corners: ax..az, bx.., cx.. One explode and one join, then regrouped."""
     carry = carry or ["px", "py", "pz"]
     slots = F.array(*[F.struct(F.lit(i).alias("k"), F.col(c).alias("vid")) for i, c in enumerate("abc")])
-    each = triangles.select("tid", F.explode(slots).alias("s")).select("tid", "s.k", "s.vid")
+    others = [c for c in triangles.columns if c != "tid"]
+    each = triangles.select(*triangles.columns, F.explode(slots).alias("s")).select(*triangles.columns, "s.k", "s.vid")
     got = each.join(vertices.select("vid", *carry), "vid")
     wide = [F.max(F.when(F.col("k") == i, F.col(c))).alias(f"{n}{c[1:] if c.startswith('p') else c}") for i, n in enumerate("abc") for c in carry]
-    return triangles.join(got.groupBy("tid").agg(*wide), "tid")
+    return got.groupBy("tid").agg(*[F.first(c).alias(c) for c in others], *wide)
 
 
 def _abc() -> list[g.Vector]:
@@ -122,8 +113,9 @@ def edge_counts(triangles: DataFrame) -> DataFrame:
 
 def adjacency(triangles: DataFrame) -> DataFrame:
     """(u, v): triangles that share an edge, each with the first of it; linear in the number of sides."""
-    first = edges(triangles).groupBy("u", "v").agg(F.min("tid").alias("first"))
-    return edges(triangles).join(first, ["u", "v"]).where(F.col("tid") != F.col("first")).select(F.col("first").alias("u"), F.col("tid").alias("v"))
+    sides = cut(edges(triangles))
+    first = sides.groupBy("u", "v").agg(F.min("tid").alias("first"))
+    return sides.join(first, ["u", "v"]).where(F.col("tid") != F.col("first")).select(F.col("first").alias("u"), F.col("tid").alias("v"))
 
 
 def components(triangles: DataFrame) -> DataFrame:

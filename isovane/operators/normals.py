@@ -17,6 +17,7 @@ from isovane.functions import geometry as g
 from isovane.functions.linalg import canonical_sign
 from isovane.operators.stencil import KEY, box, half_box, neighbours
 from isovane.operators.target import pack_key, unpack_key
+from isovane.operators.tiles import tiled
 from isovane.plans.lineage import cut
 
 TILE = 16
@@ -55,14 +56,6 @@ def connected_neighbourhood(core: DataFrame, half: int, most: int) -> DataFrame:
     return reached.withColumn("d2", d[0] * d[0] + d[1] * d[1] + d[2] * d[2]).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most)
 
 
-def _tiled(samples: DataFrame, halo: int, tile: int = TILE) -> DataFrame:
-    """``samples`` once for each tile (tx, ty, tz) whose halo they are in."""
-    out = samples
-    for k, t in zip(KEY, ("tx", "ty", "tz"), strict=True):
-        out = out.withColumn(t, F.explode(F.sequence(F.floor((F.col(k) - halo) / tile), F.floor((F.col(k) + halo) / tile))))
-    return out
-
-
 class _Patches:
     """Core samples of a tile on a dense block, and the neighbourhoods of some centres as index tables."""
 
@@ -170,7 +163,7 @@ def _by_tile(samples: DataFrame, halo: int, run) -> DataFrame:
         n = run(frame, rows) if len(rows) else np.zeros((0, 3))
         return frame.loc[rows, [*KEY, "kind", "wx", "wy", "wz", "support"]].assign(nx=n[:, 0], ny=n[:, 1], nz=n[:, 2])
 
-    return _tiled(samples, halo).groupBy("tx", "ty", "tz").applyInPandas(each, _FIELD)
+    return tiled(samples, halo, TILE).groupBy("tx", "ty", "tz").applyInPandas(each, _FIELD)
 
 
 def fit(samples: DataFrame, neighbourhood: str = "9x9", rounds: int = 2) -> DataFrame:

@@ -9,7 +9,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from isovane.functions import geometry as g
-from isovane.operators.stencil import KEY, SIX, box, count_neighbours, diamond, gather, half_box, neighbours, shifted
+from isovane.operators import tiles
+from isovane.operators.stencil import KEY, SIX, count_neighbours, diamond, gather, half_box, neighbours, shifted
+from isovane.operators.tiles import CORNERS
 from isovane.plans.fixpoint import connected_components
 from isovane.plans.lineage import cut
 from isovane.plans.ranks import numbered
@@ -70,85 +72,10 @@ def crossings(grid: Grid, core: DataFrame, iso: float) -> DataFrame:
     return crossed.select(*KEY, "slot", "dx", "dy", "dz", g.crossing(F.col("value"), F.col("other"), iso).alias("t"))
 
 
-#: Offsets whose values decide the gradients at all six crossings of a voxel.
-_AROUND = [(0, 0, 0), *SIX, (1, 1, 0), (-1, 1, 0), (1, -1, 0), (1, 0, 1), (-1, 0, 1), (1, 0, -1), (0, 1, 1), (0, -1, 1), (0, 1, -1)]
-
-
-def _gradient_on_axis(grid: Grid, axis: int, sign: int, t: Column, iso: float) -> tuple[Column, g.Vector]:
-    """(crossed, world gradient) at ``t`` on the way from a voxel to its neighbour, out of gathered values v0, v1, ...
-
-    On an axis the trilinear cell reduces to its edge: the difference along the axis, and forward differences of both
-    other axes mixed by where the crossing is.
-    """
-    at = {o: F.col(f"v{i}") for i, o in enumerate(_AROUND)}
-    unit = lambda a, s=1: tuple(s if i == a else 0 for i in range(3))
-    plus = lambda p, q: tuple(a + b for a, b in zip(p, q, strict=True))
-    here, there = at[0, 0, 0], at[unit(axis, sign)]
-    # At the voxel itself (t = 0) the cell on the positive side counts, whatever the direction.
-    down = F.when(t > 0, F.lit(True)).otherwise(F.lit(False)) if sign < 0 else F.lit(False)
-    along = F.when(down, here - at[unit(axis, -1)]).otherwise(at[unit(axis)] - here)
-    parts = []
-    for a in range(3):
-        if a == axis:
-            parts.append(along)
-        else:
-            near, far = at[unit(a)] - here, at[plus(unit(axis, sign), unit(a))] - there
-            parts.append(near + t * (far - near))
-    world = tuple(p * F.lit(grid.outward() / s) for p, s in zip(parts, grid.spacing, strict=True))
-    return grid.inside(here, iso) & ~grid.inside(there, iso), world
-
-
-def with_normals(grid: Grid, samples: DataFrame, iso: float) -> DataFrame:
-    """``samples`` (with ``kind``) and outward unit normals nx, ny, nz.
-
-    Core: the mean direction of the gradients at all crossings. Transition: the forward gradient at the voxel. Where
-    that vanishes, the central difference.
-    """
-    # One projection for each step: each expression is written once and read by name, so generated code stays small.
-    wide = gather(samples, grid.voxels, _AROUND, grid.background)
-    wide = wide.select("*", *[g.crossing(F.col("v0"), F.col(f"v{k + 1}"), iso).alias(f"t{k}") for k in range(6)])
-    steps = []
-    for k, o in enumerate(SIX):
-        crossed, world = _gradient_on_axis(grid, k // 2, sum(o), F.col(f"t{k}"), iso)
-        steps += [crossed.alias(f"x{k}"), *[c.alias(f"w{k}{a}") for a, c in enumerate(world)]]
-    wide = wide.select(*samples.columns, *[f"v{i}" for i in range(7)], *steps)
-    wide = wide.select("*", *[g.length(g.vector(f"w{k}0", f"w{k}1", f"w{k}2")).alias(f"l{k}") for k in range(6)])
-    counts = [F.col(f"x{k}") & (F.col(f"l{k}") > g.TINY) for k in range(6)]
-    total = [sum(F.when(counts[k], F.col(f"w{k}{a}") / F.col(f"l{k}")).otherwise(F.lit(0.0)) for k in range(6)) for a in range(3)]
-    forward = [(F.col(f"v{1 + 2 * a}") - F.col("v0")) * F.lit(grid.outward() / s) for a, s in enumerate(grid.spacing)]
-    central = [(F.col(f"v{1 + 2 * a}") - F.col(f"v{2 + 2 * a}")) * F.lit(0.5 * grid.outward() / s) for a, s in enumerate(grid.spacing)]
-    core = F.col("kind") == "core"
-    sums = wide.select(*samples.columns, *[F.when(core, c).otherwise(f).alias(f"_g{i}") for i, (c, f) in enumerate(zip(total, forward, strict=True))], *[c.alias(f"_c{i}") for i, c in enumerate(central)])
-    first, second = g.normalized(g.vector("_g0", "_g1", "_g2")), g.normalized(g.vector("_c0", "_c1", "_c2"))
-    size = g.length(g.vector("_g0", "_g1", "_g2"))
-    return sums.select(*samples.columns, *[F.when(size > g.TINY, a).otherwise(b).alias(n) for a, b, n in zip(first, second, ("nx", "ny", "nz"), strict=True)])
-
-
-def with_planarity(grid: Grid, samples: DataFrame, settings: TargetSettings) -> DataFrame:
-    """``samples`` with ``deviation`` and ``planarity`` from the sign-aligned normals of the core neighbours (0 but for core)."""
-    core = samples.where((F.col("kind") == "core") & (g.dot(g.vector("nx", "ny", "nz"), g.vector("nx", "ny", "nz")) > g.TINY)).select(*KEY, "nx", "ny", "nz")
-    near = neighbours(core, core, box(1))
-    mine, theirs = g.vector("nx", "ny", "nz"), g.vector("n_nx", "n_ny", "n_nz")
-    d2 = sum(F.col(d) * F.col(d) * F.lit(s * s) for d, s in zip(("dx", "dy", "dz"), grid.spacing, strict=True))
-    sigma = max(settings.planarity_radius * 0.5, 1e-12)
-    weight = F.exp(-d2 * (0.5 / (sigma * sigma)))
-    side = F.when(g.dot(mine, theirs) < 0, -weight).otherwise(weight)
-    sums = near.where(d2 <= settings.planarity_radius**2).groupBy(*KEY).agg(*[F.sum(c * side).alias(f"s{i}") for i, c in enumerate(theirs)], F.sum(weight).alias("w"))
-    weighed = core.select(*KEY).join(sums, KEY, "left")
-    total = F.coalesce("w", F.lit(0.0))
-    resultant = F.when(total > 0, g.clamp(g.length(g.vector("s0", "s1", "s2")) / total, 1e-12, 1)).otherwise(F.lit(1e-12))
-    deviation = F.sqrt(-2.0 * F.log(resultant))
-    bent = F.col("deviation") / F.lit(max(settings.angular_scale, 1e-12))
-    found = weighed.withColumn("deviation", deviation).withColumn("planarity", (1.0 - F.exp(-total / 3.0)) * F.exp(-bent * bent)).select(*KEY, "deviation", "planarity")
-    joined = samples.join(found, KEY, "left")
-    return joined.select(*samples.columns, *[F.coalesce(c, F.lit(0.0)).alias(c) for c in ("deviation", "planarity")])
-
-
 def extract(grid: Grid, settings: TargetSettings) -> DataFrame:
-    """All samples of the surface: position, normal, density, planarity, deviation, support, layer and kind."""
-    samples = cut(with_normals(grid, cut(classified(grid, settings)), settings.iso))
+    """All samples of the surface: position, normal, density, planarity, deviation, support, layer and kind. One shuffle."""
     world = g.to_world(grid, F.col("x"), F.col("y"), F.col("z"))
-    full = with_planarity(grid, samples, settings)
+    full = tiles.surface(grid, settings)
     return full.select(
         *KEY, *[w.cast("float").alias(n) for w, n in zip(world, ("wx", "wy", "wz"), strict=True)], *[F.col(n).cast("float").alias(n) for n in ("nx", "ny", "nz")],
         F.col("value").cast("float").alias("density"), F.col("planarity").cast("float").alias("planarity"), F.col("deviation").cast("float").alias("deviation"),
@@ -228,9 +155,6 @@ def central_gradient(grid: Grid, samples: DataFrame) -> DataFrame:
     return wide.select(*samples.columns, *[p.alias(n) for p, n in zip(parts, ("gx", "gy", "gz"), strict=True)])
 
 
-CORNERS = [(a, b, c) for a in (0, 1) for b in (0, 1) for c in (0, 1)]
-
-
 def trilinear(grid: Grid, points: DataFrame) -> DataFrame:
     """``points`` (index positions px, py, pz) with the trilinear ``sampled`` value and world gradient tx, ty, tz.
 

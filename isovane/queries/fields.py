@@ -92,9 +92,9 @@ def voxel_areas(spark, sf_dir) -> DataFrame:
 
 def mean_planarity(spark, sf_dir) -> DataFrame:
     """D24: the mean planarity of the core samples."""
-    grid, iso, samples = _samples(spark, sf_dir)
-    full = target.with_planarity(grid, cut(target.with_normals(grid, samples, iso)), target.TargetSettings(iso=iso, **SETTINGS))
-    return full.where("kind = 'core'").agg(F.count("*").alias("n"), F.round(F.avg(F.col("planarity").cast("float").cast("double")), 4).alias("mean_planarity"))
+    grid, iso = _grid(spark, sf_dir)
+    full = target.extract(grid, target.TargetSettings(iso=iso, **SETTINGS))
+    return full.where("kind = 'core'").agg(F.count("*").alias("n"), F.round(F.avg(F.col("planarity").cast("double")), 4).alias("mean_planarity"))
 
 
 def zipped(spark, sf_dir) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from isovane.operators import mesh, stencil, target
+from isovane.operators import mesh, stencil, target, tiles
 from isovane.queries.surface import CORE, SIX, SX, SY, SZ, VOX, _at, _unit, _with, r6
 from isovane.sources import voxels as v
 
@@ -114,7 +114,7 @@ def _net_sql() -> str:
     cells = "cells AS (SELECT DISTINCT c.x - o.dx AS x, c.y - o.dy AS y, c.z - o.dz AS z FROM core c CROSS JOIN corner o)"
     wide = "cube AS (SELECT c.x, c.y, c.z, " + ", ".join(f"{_at(*o)} AS {k}" for o, k in _K.items()) + " FROM cells c)"
     n, sums = [], [[], [], []]
-    for i, j in mesh.CELL_EDGES:
+    for i, j in tiles.CELL_EDGES:
         a, b = f"k{i}", f"k{j}"
         crossed = f"({a} >= iso) <> ({b} >= iso)"
         t = f"(CASE WHEN abs({b} - {a}) > 1e-12 THEN least(greatest((iso - {a}) / ({b} - {a}), 0), 1) ELSE 0.5 END)"

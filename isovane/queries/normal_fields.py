@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from isovane.functions import geometry as g
 from isovane.functions import linalg
-from isovane.operators import normals, target
+from isovane.operators import normals, target, tiles
 from isovane.operators.stencil import KEY, box, half_box
 from isovane.plans.lineage import cut
 from isovane.queries.surface import ALL_SAMPLES, BOX, CORE, NORMALS, SIX, SX, SY, SZ, VOX, _grid, _settings, _values, _with, r6
@@ -22,9 +22,11 @@ def _samples(spark, sf_dir):
 
 def _normals(spark, sf_dir):
     """Normals rounded to 6 places, so that both engines classify the same edges."""
-    grid, iso, samples = _samples(spark, sf_dir)
-    found = cut(target.with_normals(grid, samples, iso))
-    return grid, found.select(*samples.columns, *[r6(F.col(n)).alias(n) for n in ("nx", "ny", "nz")])
+    grid, iso = _grid(spark, sf_dir)
+    world = g.to_world(grid, *map(F.col, KEY))
+    placed = [c.alias(n) for c, n in zip(world, ("wx", "wy", "wz"), strict=True)]
+    found = cut(tiles.surface(grid, _settings(iso)))
+    return grid, found.select(*KEY, "kind", *placed, "support", "value", *[r6(F.col(n)).alias(n) for n in ("nx", "ny", "nz")])
 
 
 def half_edges(spark, sf_dir) -> DataFrame:

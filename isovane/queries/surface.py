@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from isovane.functions import geometry as g
-from isovane.operators import bricks, slices, stencil, target
+from isovane.operators import bricks, slices, stencil, target, tiles
 from isovane.sources import voxels as v
 
 KEY = ["x", "y", "z"]
@@ -91,7 +91,7 @@ def sample_ids(spark, sf_dir) -> DataFrame:
 
 def surface_normals(spark, sf_dir) -> DataFrame:
     grid, iso = _grid(spark, sf_dir)
-    found = target.with_normals(grid, target.classified(grid, _settings(iso)), iso)
+    found = tiles.surface(grid, _settings(iso))
     return found.select(*KEY, "kind", *[r6(F.col(c)).alias(c) for c in ("nx", "ny", "nz")])
 
 
@@ -266,9 +266,13 @@ def _unit(a: str, b: str, c: str, part: str) -> str:
     return f"CASE WHEN sqrt({a}*{a} + {b}*{b} + {c}*{c}) > 1e-20 THEN {part} / sqrt({a}*{a} + {b}*{b} + {c}*{c}) ELSE 0 END"
 
 
+#: Offsets whose values decide the gradients at all six crossings of a voxel.
+_AROUND = [(0, 0, 0), *stencil.SIX, (1, 1, 0), (-1, 1, 0), (1, -1, 0), (1, 0, 1), (-1, 0, 1), (1, 0, -1), (0, 1, 1), (0, -1, 1), (0, 1, -1)]
+
+
 def _normals_sql() -> str:
     """Gathered values a0.. for each sample, then the summed unit gradients over its crossings."""
-    around = target._AROUND
+    around = _AROUND
     name = {o: f"a{i}" for i, o in enumerate(around)}
     wide = "wide_samples AS (SELECT c.*, " + ", ".join(f"{_at(*o)} AS a{i}" for i, o in enumerate(around)) + " FROM samples c)"
     sides = []

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from isovane.functions import geometry as g
 from isovane.functions import linalg
-from isovane.operators import bricks, clouds, mesh, normals, paths, slices, strokes, target
+from isovane.operators import bricks, clouds, mesh, normals, paths, slices, strokes, target, tiles
 from isovane.operators.stencil import box, diamond, half_box, radius_join
 from isovane.sources import stores
 from isovane.sources import voxels as v
@@ -125,7 +125,7 @@ def test_sphere_mesh_points_outward(spark, fog):
     assert abs(hit.distance - 14.7) < 0.3
     evidence = mesh.winding_evidence(grid, triangles, vertices).first().evidence
     assert evidence < 0 if fog else evidence > 0
-    target_rows = target.with_normals(grid, target.classified(grid, target.TargetSettings(iso=iso, planarity_radius=2.0)), iso).where("kind = 'core'").collect()
+    target_rows = tiles.surface(grid, target.TargetSettings(iso=iso, planarity_radius=2.0)).where("kind = 'core'").collect()
     assert all(r.x * r.nx + r.y * r.ny + r.z * r.nz > 0 for r in target_rows)
 
 
@@ -304,7 +304,7 @@ def test_reconstruction(spark):
 
     grid = layered(spark, 4, 3)
     settings = target.TargetSettings()
-    samples = target.with_normals(grid, target.classified(grid, settings), 255.0).cache()
+    samples = tiles.surface(grid, settings).cache()
     kinds = [r.kind for r in samples.collect()]
     assert (kinds.count("core"), kinds.count("transition")) == (226, 162)
     vertices, triangles, outcome = recon.reconstruct(grid, samples, recon.MlsSettings(radius=2.0, max_move=0.5))
