@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 from itertools import product
 
 import numpy as np
@@ -79,7 +80,8 @@ class Block:
         out = np.zeros_like(self.inside)
         for axis, sign in AXES:
             out |= ~np.roll(self.inside, -sign * self.stride[axis])
-        self.core = self.known & self.active & self.inside & out
+        self.skin = self.inside & out
+        self.core = self.known & self.active & self.skin
         self.halo = halo
 
     def within(self, ring: int = 0) -> np.ndarray:
@@ -139,10 +141,18 @@ class Block:
         good = (size > TINY) & (size < np.inf)
         return np.where(good, chosen / np.where(good, size, 1.0), 0.0)
 
+    def central(self, at: np.ndarray) -> np.ndarray:
+        """(3, n) outward unit normals by central differences; zero where these vanish."""
+        found = np.stack([(self.value[at + k] - self.value[at - k]) * 0.5 * (self.rules.outward / s) for k, s in zip(self.stride, self.rules.spacing, strict=True)])
+        size = _length(found)
+        good = (size > TINY) & (size < np.inf)
+        return np.where(good, found / np.where(good, size, 1.0), 0.0)
+
     def planarity(self, at: np.ndarray, normal: np.ndarray, radius: float, angular_scale: float, box_radius: int = 1, itself: bool = False) -> tuple[np.ndarray, np.ndarray]:
         """(deviation, planarity) of samples from the sign-aligned normals within ``radius``; zero where the normal is.
 
-        ``normal`` holds normals of all places of the block, zero where none counts. ``itself`` takes the centre too.
+        ``normal`` holds normals of all places of the block, zero where none counts. ``itself`` counts the centre too, and
+        then a sample without a normal is as flat as those around it.
         """
         mine = normal[:, at]
         sums, weights = np.zeros_like(mine), np.zeros(len(at))
@@ -159,7 +169,7 @@ class Block:
         resultant = np.where(some, np.clip(_length(sums) / np.where(some, weights, 1.0), 1e-12, 1), 1e-12)
         deviation = np.sqrt(-2.0 * np.log(resultant))
         flat = (1.0 - np.exp(-weights / 3.0)) * np.exp(-((deviation / max(angular_scale, 1e-12)) ** 2))
-        held = (mine != 0).any(axis=0)
+        held = (mine != 0).any(axis=0) | itself
         return np.where(held, deviation, 0.0), np.where(held, flat, 0.0)
 
 
@@ -199,6 +209,31 @@ def surface(grid: Grid, settings) -> DataFrame:
     return over_tiles(grid, settings.iso, max(2, layers + 1), each, schema)
 
 
+def skin(grid: Grid, iso: float, radius: float, angular_scale: float, low: tuple | None = None, high: tuple | None = None) -> DataFrame:
+    """(x, y, z, nx, ny, nz, deviation, planarity) of inside places with an outside axis neighbour, active or not.
+
+    Normals are central differences; planarity is over all such places within ``radius``, the place itself too. With
+    ``low`` and ``high`` (x, y, z) only places strictly between them count, and only voxels of that box are read.
+    """
+    reach = max(int(np.ceil(radius / s)) for s in grid.spacing)
+    bounded = grid
+    if low is not None:
+        bounded = grid.of(grid.voxels.where(reduce(lambda a, b: a & b, [F.col(k).between(int(a), int(b)) for k, a, b in zip(KEY, low, high, strict=True)])))
+
+    def each(block: Block) -> pd.DataFrame:
+        near = np.flatnonzero(block.within(reach) & block.skin)
+        if low is not None:
+            place = block.place(near)
+            near = near[((place > np.array(low)[:, None]) & (place < np.array(high)[:, None])).all(axis=0)]
+        normal = np.zeros((3, len(block.value)))
+        normal[:, near] = block.central(near)
+        at = near[block.within()[near]]
+        deviation, flat = block.planarity(at, normal, radius, angular_scale, reach, itself=True)
+        return pd.DataFrame(dict(zip(KEY, block.place(at).astype(np.int32), strict=True), **dict(zip(("nx", "ny", "nz"), normal[:, at], strict=True)), deviation=deviation, planarity=flat))
+
+    return over_tiles(bounded, iso, reach + 1, each, "x int, y int, z int, nx double, ny double, nz double, deviation double, planarity double")
+
+
 def net(grid: Grid, iso: float) -> DataFrame:
     """(x, y, z, slot, px, py, pz): cells of a surface net with their vertex in index space (slot -1), and crossings
     (x, y, z, slot from 0) of core voxels in the order +x, -x, +y, -y, +z, -z."""

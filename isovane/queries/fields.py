@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from isovane.functions import geometry as g
-from isovane.operators import clouds, normals, paths, strokes, target
+from isovane.operators import clouds, normals, paths, strokes, target, tiles
 from isovane.operators.stencil import KEY, box, radius_join, shifted
 from isovane.plans.lineage import cut
 from isovane.queries.normal_fields import ROUNDED, _normals, _samples
-from isovane.queries.surface import ALL_SAMPLES, BOX, CORE, NORMALS, PLANAR, SETTINGS, SIX, SX, SY, SZ, VOX, _grid, _with, r6
+from isovane.queries.surface import ALL_SAMPLES, BOX, CORE, NORMALS, PLANAR, SETTINGS, SIX, SX, SY, SZ, VOX, _at, _grid, _unit, _values, _with, r6
 from isovane.sources import stores
 from isovane.sources import voxels as v
 
@@ -155,6 +157,21 @@ def brush(spark, sf_dir) -> DataFrame:
     return paths.brush(samples, line, grid.spacing, 0.5, 1.0)
 
 
+def radius_planarity(spark, sf_dir) -> DataFrame:
+    """B11: planarity of all surface places within a radius, the place itself counted."""
+    grid, iso = _grid(spark, sf_dir)
+    found = tiles.skin(grid, iso, RADIUS_MM, math.radians(15))
+    return found.select(*KEY, *[(F.round(F.col(c).cast("float").cast("double"), 4) + F.lit(0.0)).alias(c) for c in ("deviation", "planarity")])
+
+
+def brush_stroke(spark, sf_dir) -> DataFrame:
+    """G8, H16: a whole stroke of three points over the line item volume."""
+    grid, iso = _grid(spark, sf_dir)
+    path = spark.range(3).select(F.col("id").alias("seq"), (F.col("id") * 2.0 + 1.0).alias("wx"), (F.col("id") * 0.5 + 0.7).alias("wy"), (F.col("id") * 3.0 + 12.0).alias("wz"))
+    samples, _ = paths.stroke(grid, path, paths.BrushSettings(0.5, 1.0, 2.0, iso, RADIUS_MM, search=1.5))
+    return samples.select(*KEY, *[r6(F.col(c)).alias(c) for c in ("planarity", "dist", "weight")])
+
+
 def _strokes(spark, sf_dir) -> DataFrame:
     return strokes.stroke_events(v.table(spark, sf_dir, "events"))
 
@@ -213,10 +230,13 @@ def windows(spark, sf_dir) -> DataFrame:
     return e.groupBy(F.window("at", "1 hour"), "event_type").agg(F.count("*").alias("n")).select(F.date_format("window.start", "yyyy-MM-dd HH:mm").alias("start"), "event_type", "n")
 
 
+#: Radius of planarity in the queries, in mm.
+RADIUS_MM = 1.2
+
 QUERIES = {
     "c12_radius_join": within_radius, "c12_radius_join_all": within_radius, "c15_core_at": lookups, "d20_voxel_areas": voxel_areas, "d24_mean_planarity": mean_planarity, "c24_zipped": zipped, "e2_nearest_k": nearest_k, "d7_b15_kernel_means": kernel_means, "d8_quadratic_sums": quadratic_sums, "b21_quadratic_fit": quadratic_fit,
     "c13_e13_nearest_sample": nearest_sample, "c13_e13_nearest_sample_all": nearest_sample, "c14_nearest_seed": nearest_seed, "b16_b27_b29_kernels": kernels, "b17_edge_costs": edge_costs, "g7_distances": distances,
-    "g6_route": route, "g8_brush": brush, "d26_stroke_totals": stroke_totals, "e11_changed_events": changed_events, "e8_e9_growing_slices": growing_slices, "e10_spaced": spaced,
+    "g6_route": route, "g8_brush": brush, "b11_radius_planarity": radius_planarity, "g8_h16_stroke": brush_stroke, "d26_stroke_totals": stroke_totals, "e11_changed_events": changed_events, "e8_e9_growing_slices": growing_slices, "e10_spaced": spaced,
     "d16_merged_weights": merged_weights, "d27_normalised_weights": normalised_weights, "a14_names": names, "a10_fingerprint": fingerprint, "a19_presets": presets, "i_event_windows": windows,
 }
 
@@ -231,8 +251,17 @@ walk(x, y, z, dist) AS (
   SELECT x, y, z, 0::DOUBLE FROM core WHERE x = 5
   UNION SELECT l.qx, l.qy, l.qz, min(round(w.dist + l.cost, 6)) FROM walk w JOIN link l USING (x, y, z) WHERE round(w.dist + l.cost, 6) < 3 GROUP BY ALL)"""
 W = "w AS (SELECT CAST(user_id % 20 AS INTEGER) AS x, CAST(event_id % 7 AS INTEGER) AS y, 0 AS z, round(value, 3) - 20 AS weight FROM events), m AS (SELECT x, y, z, max(weight) AS weight FROM w WHERE weight > 0 GROUP BY ALL)"
+_BALL = [o for o in box(4, center=True) if (o[0] ** 2 * SX * SX + o[1] ** 2 * SY * SY + o[2] ** 2 * SZ * SZ) <= RADIUS_MM**2]
+_CENTRAL = ", ".join(f"({_at(*p)} - {_at(*m)}) * 0.5 * ({-1.0 / s!r})::DOUBLE AS g{k}" for k, s, p, m in (("x", SX, (1, 0, 0), (-1, 0, 0)), ("y", SY, (0, 1, 0), (0, -1, 0)), ("z", SZ, (0, 0, 1), (0, 0, -1))))
+SKIN = f"""grad AS MATERIALIZED (SELECT c.x, c.y, c.z, {_CENTRAL} FROM core c),
+skin AS MATERIALIZED (SELECT x, y, z, {", ".join(f"{_unit('gx', 'gy', 'gz', f'g{k}')} AS n{k}" for k in "xyz")} FROM grad),
+near AS (SELECT c.x, c.y, c.z, exp(-(o.dx*o.dx*{SX}*{SX} + o.dy*o.dy*{SY}*{SY} + o.dz*o.dz) * {0.5 / (RADIUS_MM / 2) ** 2!r}::DOUBLE) AS w, CASE WHEN c.nx*n.nx + c.ny*n.ny + c.nz*n.nz < 0 THEN -1 ELSE 1 END AS side, n.nx, n.ny, n.nz
+  FROM skin c CROSS JOIN ball o JOIN skin n ON n.x = c.x + o.dx AND n.y = c.y + o.dy AND n.z = c.z + o.dz WHERE n.nx*n.nx + n.ny*n.ny + n.nz*n.nz > 1e-20),
+tot AS (SELECT x, y, z, sum(w) AS w, sum(side * w * nx) AS s0, sum(side * w * ny) AS s1, sum(side * w * nz) AS s2 FROM near GROUP BY ALL),
+flat AS (SELECT x, y, z, coalesce(t.w, 0) AS w, sqrt(-2 * ln(CASE WHEN t.w > 0 THEN least(greatest(sqrt(s0*s0 + s1*s1 + s2*s2) / t.w, 1e-12), 1) ELSE 1e-12 END)) AS d FROM skin LEFT JOIN tot t USING (x, y, z))"""
 
 SQL = {
+    "b11_radius_planarity": _with(VOX, SIX, CORE, _values(_BALL, "ball"), SKIN) + " SELECT x, y, z, round(CAST(CAST(d AS REAL) AS DOUBLE), 4) + 0.0 AS deviation, round(CAST(CAST((1 - exp(-w / 3.0)) * exp(-(d / radians(15.0)) * (d / radians(15.0))) AS REAL) AS DOUBLE), 4) + 0.0 AS planarity FROM flat",
     "c12_radius_join": f"WITH {PTS} SELECT q.pid, p.pid AS p_pid, round({D2}, 6) + 0.0 AS d2 FROM pts q, pts p WHERE {D2} <= {RADIUS ** 2!r}",
     "c15_core_at": _with(VOX, SIX, CORE) + " SELECT o_orderkey AS pid, c.x, c.y, c.z, c.value, c.crossings FROM orders JOIN core c ON c.x = o_orderkey % 30 AND c.y = o_custkey % 12 AND c.z = o_orderkey % 35",
     "d20_voxel_areas": _with(*ALL_SAMPLES, NORMALS, ROUNDED) + f" SELECT x, y, z, round(({SX * SY * SZ!r})::DOUBLE / (abs(nx) * {SX} + abs(ny) * {SY} + abs(nz) * {SZ}), 5) AS m2 FROM field WHERE kind = 'core' AND (nx <> 0 OR ny <> 0 OR nz <> 0)",
