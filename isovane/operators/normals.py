@@ -259,9 +259,9 @@ def adjacency_statistics(field: DataFrame, weak: float = 0.15) -> DataFrame:
 
 
 def worst_edges(field: DataFrame, most: int = 12) -> DataFrame:
-    """The ``most`` opposing edges of each class (core, transition) by alignment, then place: a report."""
+    """The ``most`` opposing edges of each class (core, transition) by alignment to nine places, then place: a report."""
     pairs = adjacency(field).where("aligned < 0").withColumn("class", F.when((F.col("kind") == "core") & (F.col("n_kind") == "core"), "core").otherwise("transition"))
-    keys = ["aligned", *KEY, "qx", "qy", "qz"]
+    keys = [F.round("aligned", 9), *KEY, "qx", "qy", "qz"]
     parts = [pairs.where(F.col("class") == c).orderBy(*keys).limit(most) for c in ("core", "transition")]
     return parts[0].unionByName(parts[1]).select("class", *KEY, "qx", "qy", "qz", "aligned")
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -39,13 +42,24 @@ def growing_slices(fits: DataFrame, key: str, order: str, count: str) -> DataFra
 def spaced(points: DataFrame, least: float) -> DataFrame:
     """Points (stroke_id, seq, wx, wy, wz) at least ``least`` from the last one kept, in seq order.
 
-    A fold over each stroke's points: the decision depends on the last kept point, which no window frame can say. A
-    stroke is one painted line and fits a row.
+    A fold over each stroke's points: the decision depends on the last kept point, which no window frame can say. Rows
+    come sorted by stroke and pass in batches, and only the last kept point is held, so a stroke of any length (a null
+    id is one too) needs no more memory than others. A first point stays; others with a null place don't.
     """
-    d2 = lambda a, b: sum((a[c] - b[c]) * (a[c] - b[c]) for c in ("wx", "wy", "wz"))
-    line = points.groupBy("stroke_id").agg(F.array_sort(F.collect_list(F.struct("seq", "wx", "wy", "wz"))).alias("p"))
-    kept = F.aggregate("p", F.slice("p", 1, 0), lambda acc, q: F.when((F.size(acc) == 0) | (d2(F.element_at(acc, -1), q) >= least * least), F.concat(acc, F.array(q))).otherwise(acc))
-    return line.select("stroke_id", F.explode(kept).alias("q")).select("stroke_id", "q.seq", "q.wx", "q.wy", "q.wz")
+    names = ["stroke_id", "seq", "wx", "wy", "wz"]
+    marked = points.select(*names, (F.row_number().over(Window.partitionBy("stroke_id").orderBy("seq")) == 1).alias("_first"))
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = (None, None, None)
+        for batch in batches:
+            keep = []
+            for first, *p in zip(*[batch[c].to_pylist() for c in ("_first", "wx", "wy", "wz")], strict=True):
+                far = first or (None not in (*p, *last) and sum((a - b) * (a - b) for a, b in zip(p, last, strict=True)) >= least * least)
+                keep.append(far)
+                last = tuple(p) if far else last
+            yield batch.filter(pa.array(keep, pa.bool_())).select(names)
+
+    return marked.mapInArrow(fold, points.select(*names).schema)
 
 
 def merge_weights(*fields: DataFrame) -> DataFrame:

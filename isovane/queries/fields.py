@@ -244,6 +244,7 @@ PTS = """pts AS MATERIALIZED (SELECT vec_id AS pid, embedding[1]::DOUBLE AS wx,
 D2 = "(q.wx - p.wx)*(q.wx - p.wx) + (q.wy - p.wy)*(q.wy - p.wy) + (q.wz - p.wz)*(q.wz - p.wz)"
 STROKES = """strokes AS (SELECT user_id AS stroke_id, row_number() OVER w AS seq, (epoch_us(ts) / 1000.0 - first_value(epoch_us(ts)) OVER w / 1000.0)::DOUBLE AS ms, value % 97 AS wx, (event_id % 53) / 10.0 AS wy
   FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))"""
+_FAR = "((s.wx - k.lx) * (s.wx - k.lx) + (s.wy - k.ly) * (s.wy - k.ly) >= 400)"
 _WEN = "(CASE WHEN {q} < 1 THEN pow(1 - {q}, 4) * (4 * {q} + 1) ELSE 0 END)"
 GRAPH = f"""link AS MATERIALIZED (SELECT a.x, a.y, a.z, b.x AS qx, b.y AS qy, b.z AS qz, round(sqrt(o.dx*o.dx*{SX}*{SX} + o.dy*o.dy*{SY}*{SY} + o.dz*o.dz)::DOUBLE, 6) AS cost
   FROM core a CROSS JOIN box26 o JOIN core b ON b.x = a.x + o.dx AND b.y = a.y + o.dy AND b.z = a.z + o.dz),
@@ -293,6 +294,10 @@ SQL = {
     "d26_stroke_totals": f"""WITH {STROKES}, s AS (SELECT *, coalesce(sqrt((wx - lag(wx) OVER w)**2 + (wy - lag(wy) OVER w)**2), 0) AS step FROM strokes WINDOW w AS (PARTITION BY stroke_id ORDER BY seq))
       SELECT stroke_id, count(*) AS points, round(sum(step), 4) AS length, round(max(ms) / 1000, 3) AS seconds FROM s GROUP BY stroke_id""",
     "e11_changed_events": "SELECT user_id, event_id, event_type FROM events QUALIFY event_type IS DISTINCT FROM lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) OR row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) = 1",
+    "e10_spaced": f"""WITH RECURSIVE {STROKES}, kept(stroke_id, seq, lx, ly, stays) AS (
+        SELECT stroke_id, seq, wx, wy, true FROM strokes WHERE seq = 1
+        UNION ALL SELECT s.stroke_id, s.seq, CASE WHEN {_FAR} THEN s.wx ELSE k.lx END, CASE WHEN {_FAR} THEN s.wy ELSE k.ly END, {_FAR} FROM kept k JOIN strokes s ON s.stroke_id = k.stroke_id AND s.seq = k.seq + 1)
+      SELECT stroke_id, seq, lx AS wx, ly AS wy, 0::DOUBLE AS wz FROM kept WHERE stays""",
     "e8_e9_growing_slices": f"""WITH {STROKES}, f AS (SELECT stroke_id, seq, CAST(floor(seq * 3 / 4.0) AS BIGINT) AS n FROM strokes), g AS (SELECT *, coalesce(lag(n) OVER w, 0) AS b, max(n) OVER w AS top FROM f WINDOW w AS (PARTITION BY stroke_id ORDER BY seq))
       SELECT stroke_id, seq, greatest(b - 1, 0) AS "from", n AS "to", n >= top AS valid FROM g WHERE n <> b""",
     "d16_merged_weights": f"WITH {W} SELECT * FROM m",

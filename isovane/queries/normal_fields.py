@@ -160,6 +160,8 @@ _W = "(1.0::DOUBLE / (1 + 0.5 * hops))"
 
 SQL = {
     "c3_half_edges": _with(*FIELD) + " SELECT x, y, z, qx, qy, qz, kind, n_kind, round(aligned, 4) + 0.0 AS aligned FROM pairs",
+    "e4_worst_edges": _with(*FIELD) + """, c AS (SELECT *, CASE WHEN kind = 'core' AND n_kind = 'core' THEN 'core' ELSE 'transition' END AS class FROM pairs WHERE aligned < 0)
+      SELECT class, x, y, z, qx, qy, qz, round(aligned, 4) AS aligned FROM c QUALIFY row_number() OVER (PARTITION BY class ORDER BY round(aligned, 9), x, y, z, qx, qy, qz) <= 12""",
     "d10_statistics": _with(*FIELD) + """ SELECT count(*) FILTER (WHERE c) AS core_edges, count(*) FILTER (WHERE c AND a < 0) AS core_opposing, count(*) FILTER (WHERE c AND abs(a) < 0.15) AS core_weak,
       round(avg(a) FILTER (WHERE c), 4) AS mean_signed, round(avg(abs(a)) FILTER (WHERE c), 4) AS mean_absolute, count(*) FILTER (WHERE NOT c) AS transition_edges
       FROM (SELECT round(aligned, 5) AS a, kind = 'core' AND n_kind = 'core' AS c FROM pairs)""",

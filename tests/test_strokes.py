@@ -67,3 +67,17 @@ def test_points_off_the_surface_give_nothing(spark):
     assert run(spark, plane(spark, False), [(60, 0, 0)], core=0.4, width=0.3) == ({}, [])
     with pytest.raises(ValueError):
         paths.BrushSettings(0.0, 0.0)
+
+
+def test_spacing_of_one_long_stroke_without_id(spark):
+    from pyspark.sql import functions as F
+
+    from isovane.operators import strokes
+
+    line = spark.range(30_000).select(F.lit(None).cast("long").alias("stroke_id"), F.col("id").alias("seq"), (F.col("id") / 10.0).alias("wx"), F.lit(0.0).alias("wy"), F.when(F.col("id") % 7 != 3, 0.0).alias("wz"))
+    kept = [r.seq for r in strokes.spaced(line, 1.0).orderBy("seq").collect()]
+    want, last = [], None
+    for i in range(30_000):
+        if last is None or (i % 7 != 3 and (i / 10.0 - last) ** 2 >= 1.0):
+            want, last = [*want, i], i / 10.0
+    assert kept == want and strokes.spaced(line.where("seq < 0"), 1.0).count() == 0
