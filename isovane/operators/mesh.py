@@ -8,7 +8,6 @@ from __future__ import annotations
 import json
 import struct
 from collections.abc import Iterator
-from itertools import product
 from typing import BinaryIO
 
 from pyspark.sql import Column, DataFrame
