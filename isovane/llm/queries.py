@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from isovane.llm import bottomk, chat, filteraudit, language, linedup, maxscore, mixing, packing, quality, sharding, simhash
+from isovane.llm import bottomk, chat, filteraudit, hardnegatives, language, linedup, maxscore, mixing, packing, quality, sharding, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,13 +58,17 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filteraudit.digest(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hardnegatives.digest(_table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [
         op1_language_id, op2_quality_classifier, op3_chat_formatting, op4_simhash, op5_fingerprints, op6_line_dedup,
-        op7_mixing, op8_maxscore, op9_sharding, op10_packing, op11_filter_audit,
+        op7_mixing, op8_maxscore, op9_sharding, op10_packing, op11_filter_audit, op12_hard_negatives,
     ]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_chat_formatting": chat.ORACLE, "op6_line_dedup": linedup.ORACLE, "op7_mixing": mixing.ORACLE, "op8_maxscore": maxscore.ORACLE, "op11_filter_audit": filteraudit.ORACLE}
+    return {"op3_chat_formatting": chat.ORACLE, "op6_line_dedup": linedup.ORACLE, "op7_mixing": mixing.ORACLE, "op8_maxscore": maxscore.ORACLE, "op11_filter_audit": filteraudit.ORACLE, "op12_hard_negatives": hardnegatives.ORACLE}
