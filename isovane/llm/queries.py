@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from isovane.llm import bottomk, chat, filteraudit, hardnegatives, language, linedup, maxscore, mixing, packing, quality, sharding, simhash
+from isovane.llm import bottomk, chat, filteraudit, hardnegatives, language, linedup, maxscore, mixing, packing, pii, quality, sharding, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,10 +62,14 @@ def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hardnegatives.digest(_table(spark, sf_dir, "embeddings"))
 
 
+def op13_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [
         op1_language_id, op2_quality_classifier, op3_chat_formatting, op4_simhash, op5_fingerprints, op6_line_dedup,
-        op7_mixing, op8_maxscore, op9_sharding, op10_packing, op11_filter_audit, op12_hard_negatives,
+        op7_mixing, op8_maxscore, op9_sharding, op10_packing, op11_filter_audit, op12_hard_negatives, op13_pii,
     ]
     return {f.__name__: f for f in found}
 
