@@ -38,6 +38,7 @@ class Shard:
     """Postings of one shard: for each term the rows that have it, in row order, and their weights."""
 
     ids: np.ndarray
+    keys: np.ndarray
     rows: dict[int, np.ndarray]
     weights: dict[int, np.ndarray]
     high: dict[int, int]
@@ -45,9 +46,10 @@ class Shard:
     exact: bool
 
     @classmethod
-    def build(cls, ids: np.ndarray, terms: list[np.ndarray], weights: list[np.ndarray]) -> Shard:
-        """Rows in order of id, so that of equal scores the first row wins."""
+    def build(cls, ids: np.ndarray, terms: list[np.ndarray], weights: list[np.ndarray], keys: np.ndarray | None = None) -> Shard:
+        """Rows in order of id, so that of equal scores the first row wins. ``keys`` tell rows of one id apart; without them ids do."""
         order = np.argsort(ids, kind="stable")
+        keys = ids if keys is None else keys
         sizes = np.array([len(terms[i]) for i in order], np.int64)
         row = np.repeat(np.arange(len(order)), sizes)
         term = np.concatenate([terms[i] for i in order]) if len(order) else np.zeros(0, np.int64)
@@ -61,7 +63,7 @@ class Shard:
         rows, kept, high, low = {}, {}, {}, {}
         for t, a, b in zip(found.tolist(), starts.tolist(), ends, strict=True):
             rows[t], kept[t], high[t], low[t] = row[a:b], value[a:b], int(value[a:b].max()), int(value[a:b].min())
-        return cls(ids[order], rows, kept, high, low, exact)
+        return cls(ids[order], keys[order], rows, kept, high, low, exact)
 
     def weight_of(self, term: int, candidates: np.ndarray) -> np.ndarray:
         """The weights of ``candidates`` (row numbers, rising) in a term; 0 where they don't have it."""
@@ -73,7 +75,7 @@ class Shard:
 
 
 def top_k(shard: Shard, query: dict[int, int], own: int | None, k: int = TOP) -> tuple[np.ndarray, np.ndarray, int]:
-    """(ids, scores) of the ``k`` best rows whose id is not ``own``, and how many rows were scored in full.
+    """(ids, scores) of the ``k`` best rows whose key is not ``own``, and how many rows were scored in full.
 
     Equal scores go to the smaller id. Rows without any term of the query score 0 and take part.
     """
@@ -87,7 +89,7 @@ def top_k(shard: Shard, query: dict[int, int], own: int | None, k: int = TOP) ->
         below.append(below[-1] + b)
     n = len(shard.ids)
     total, found = np.zeros(n, kind), np.zeros(n, bool)
-    barred = shard.ids == own if own is not None else np.zeros(n, bool)
+    barred = shard.keys == own if own is not None else np.zeros(n, bool)
     threshold, at = None, len(terms)
     # Traverse postings from the largest bound down, until rows not found yet can't reach the threshold.
     while at > 0 and (threshold is None or below[at] >= threshold):
@@ -133,33 +135,33 @@ def _raised(shard: Shard, rest: list[tuple[int, int, int]], total: np.ndarray, f
 def search(candidates: DataFrame, queries: DataFrame, k: int = TOP, shard_rows: int = SHARD_ROWS, block_queries: int = BLOCK_QUERIES) -> DataFrame:
     """(query_id, rank, vec_id, score): the ``k`` rows of ``candidates`` with the largest inner products.
 
-    Both have (vec_id, terms array<int>, weights array<double>), weights whole numbers, terms of a row distinct.
-    A query's own id is no candidate; equal scores go to the smaller vec_id. Fewer candidates give fewer rows.
-    Repeated candidates count each; of queries that share an id the smallest vector stays. Scores outside
-    64 bits end at its limits. Null ids take no part.
+    Both have (row, vec_id, terms array<int>, weights array<double>), weights whole numbers, terms of a row distinct; ``row`` is
+    a number that no two rows of a side share. Rows, not ids, are queries and candidates: of rows with one vec_id each asks and
+    each is found. The row that asks is no candidate, every other is; equal scores go to the smaller vec_id. Fewer candidates give
+    fewer rows. Scores outside 64 bits end at its limits. Null ids take no part.
 
     Every candidate goes to one shard, copied once for each block of queries; every query to one block, copied
     once for each shard. Both are of bounded size, and no task gets more than one shard and one block at a time.
     """
-    rows = cut(candidates.where(F.col("vec_id").isNotNull()).select("vec_id", "terms", "weights"))
-    asked = cut(queries.where(F.col("vec_id").isNotNull()).groupBy("vec_id").agg(F.min(F.struct("terms", "weights")).alias("v")).select("vec_id", "v.terms", "v.weights"))
+    rows = cut(candidates.where(F.col("vec_id").isNotNull()).select("row", "vec_id", "terms", "weights"))
+    asked = cut(queries.where(F.col("vec_id").isNotNull()).select("row", "vec_id", "terms", "weights"))
     shards, blocks = max(1, -(-rows.count() // shard_rows)), max(1, -(-asked.count() // block_queries))
     spread = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    dealt = lambda n: F.pmod(F.xxhash64("vec_id", "weights"), F.lit(n)).cast("int")
+    dealt = lambda n: F.pmod(F.xxhash64("row"), F.lit(n)).cast("int")
     left = rows.select("*", dealt(shards).alias("shard"), spread(blocks).alias("block"))
     right = asked.select("*", spread(shards).alias("shard"), dealt(blocks).alias("block"))
 
     def run(mine: pd.DataFrame, theirs: pd.DataFrame) -> pd.DataFrame:
-        index = Shard.build(mine["vec_id"].to_numpy(np.int64), list(mine["terms"]), list(mine["weights"]))
+        index = Shard.build(mine["vec_id"].to_numpy(np.int64), list(mine["terms"]), list(mine["weights"]), mine["row"].to_numpy(np.int64))
         out = []
-        for query_id, terms, weights in zip(theirs["vec_id"].tolist(), theirs["terms"], theirs["weights"], strict=True):
-            ids, scores, _ = top_k(index, {int(t): int(w) for t, w in zip(terms, weights, strict=True)}, query_id, k)
-            out += [(query_id, i, max(-LONGEST - 1, min(LONGEST, int(s)))) for i, s in zip(ids.tolist(), scores.tolist(), strict=True)]
-        return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype("int64")
+        for row, query_id, terms, weights in zip(theirs["row"].tolist(), theirs["vec_id"].tolist(), theirs["terms"], theirs["weights"], strict=True):
+            ids, scores, _ = top_k(index, {int(t): int(w) for t, w in zip(terms, weights, strict=True)}, row, k)
+            out += [(row, query_id, i, max(-LONGEST - 1, min(LONGEST, int(s)))) for i, s in zip(ids.tolist(), scores.tolist(), strict=True)]
+        return pd.DataFrame(out, columns=["row", "query_id", "vec_id", "score"]).astype("int64")
 
     grid = ["shard", "block"]
-    parts = left.groupBy(*grid).cogroup(right.groupBy(*grid)).applyInPandas(run, "query_id long, vec_id long, score long")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    parts = left.groupBy(*grid).cogroup(right.groupBy(*grid)).applyInPandas(run, "row long, query_id long, vec_id long, score long")
+    order = Window.partitionBy("row").orderBy(F.desc("score"), "vec_id")
     merged = parts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return merged.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
@@ -176,26 +178,30 @@ def whole_numbers(embedding: Column, scale: int = SCALE) -> Column:
 
 
 def embedding_rows(embeddings: DataFrame, scale: int = SCALE) -> DataFrame:
-    """(vec_id, terms, weights) of usable vectors: a term for each dimension with a component other than 0."""
+    """(row, vec_id, terms, weights) of usable vectors: a term for each dimension with a component other than 0.
+
+    The rows are stored, so that ``row``, which tells rows of one vec_id apart, is the same whenever they are read.
+    """
     scaled = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), whole_numbers(F.col("embedding"), scale).alias("v")).where(F.col("v").isNotNull())
     kept = F.filter(F.transform("v", lambda x, i: F.struct(i.alias("t"), x.alias("w"))), lambda c: c.w != 0)
-    return scaled.select("vec_id", kept.alias("c")).select("vec_id", F.col("c.t").alias("terms"), F.col("c.w").alias("weights"))
+    named = scaled.select("vec_id", kept.alias("c")).select(F.monotonically_increasing_id().alias("row"), "vec_id", F.col("c.t").alias("terms"), F.col("c.w").alias("weights"))
+    return cut(named)
 
 
 def digest(embeddings: DataFrame, k: int = TOP, every: int = QUERY_EVERY) -> DataFrame:
     """The ``k`` best rows for each query: rows whose vec_id ``every`` divides."""
-    rows = cut(embedding_rows(embeddings))
+    rows = embedding_rows(embeddings)
     return search(rows, rows.where(F.col("vec_id") % every == 0), k)
 
 
 ORACLE = r"""
 WITH v AS (
-  SELECT vec_id, [CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS v FROM embeddings
+  SELECT row_number() OVER (ORDER BY vec_id) AS r, vec_id, [CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS v FROM embeddings
   WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
-e AS (SELECT vec_id, unnest(v) AS w, unnest(range(len(v))) AS t FROM v),
+e AS (SELECT r, vec_id, unnest(v) AS w, unnest(range(len(v))) AS t FROM v),
 s AS (
-  SELECT q.vec_id AS query_id, c.vec_id, CAST(sum(q.w * c.w) AS BIGINT) AS score
-  FROM e q JOIN e c ON q.t = c.t AND q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0 GROUP BY ALL),
-r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+  SELECT q.r AS asked, q.vec_id AS query_id, c.r, c.vec_id, CAST(sum(q.w * c.w) AS BIGINT) AS score
+  FROM e q JOIN e c ON q.t = c.t AND q.r <> c.r WHERE q.vec_id % 100 = 0 GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY asked ORDER BY score DESC, vec_id, r) AS rank FROM s)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 10
 """

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from isovane.llm import bottomk, chat, language, linedup, maxscore, mixing, packing, quality, sharding, simhash
+from tests.compare import rows_of
 
 LONG = " ".join(f"word{i % 977} and\nline {i % 31}" for i in range(40_000))
 ROWS = [
@@ -139,3 +141,18 @@ def test_search(spark):
     assert [rows[100, i][0] for i in range(1, 7)] == [0, 1, 1, 5, 6, 200]
     assert {q for q, _ in rows} == {0, 100, 200} and not {v for v, _ in rows.values()} & {2, 3, 4, 7, None}
     assert maxscore.digest(df.where("vec_id > 900")).count() == 0
+
+
+def test_rows_of_one_id_all_ask_and_are_all_found(spark):
+    """By row numbers in SQL: equal and different vectors under one id, on one shard and on many."""
+    rows = [(100, [1.0, 2.0]), (100, [3.0, 1.0]), (100, [3.0, 1.0]), (1, [0.5, 0.5]), (1, [0.5, 0.5]), (2, [2.0, -1.0]), (200, [1.0, 1.0])] + [(i % 40 + 3, [i % 7 / 4, i % 5 / 4]) for i in range(200)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    con = duckdb.connect()
+    con.execute("CREATE TABLE embeddings (vec_id BIGINT, embedding DOUBLE[])")
+    con.executemany("INSERT INTO embeddings VALUES (?, ?)", rows)
+    want = rows_of(["query_id", "rank", "vec_id", "score"], con.execute(maxscore.ORACLE).fetchall())
+    assert len(want) == 40
+    assert rows_of(["query_id", "rank", "vec_id", "score"], maxscore.digest(df).collect()) == want
+    found = maxscore.embedding_rows(df)
+    many = maxscore.search(found, found.where("vec_id % 100 = 0"), shard_rows=20, block_queries=2)
+    assert rows_of(["query_id", "rank", "vec_id", "score"], many.collect()) == want
