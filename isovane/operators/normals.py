@@ -2,7 +2,7 @@
 
 Samples have x, y, z, kind, wx, wy, wz and support. Neighbourhood fits run on tiles with a halo: each sample goes to
 its own tile of ``TILE``^3 voxels and to those it is near, so a fit never looks beyond its task, and no task holds
-more than (TILE + 2 * halo)^3 samples. Orientation runs level by level over an edge table that is made once.
+more than (TILE + 2 * halo)^3 samples. Orientation and flips run on tiles too, many levels at a time (``waves.py``).
 """
 
 from __future__ import annotations
@@ -15,8 +15,9 @@ from pyspark.sql.window import Window
 
 from isovane.functions import geometry as g
 from isovane.functions.linalg import canonical_sign
+from isovane.operators import waves
 from isovane.operators.stencil import KEY, box, half_box, neighbours
-from isovane.operators.target import pack_key, unpack_key
+from isovane.operators.target import pack_key
 from isovane.operators.tiles import tiled
 from isovane.plans.lineage import cut
 
@@ -234,7 +235,7 @@ def _pairs(field: DataFrame, other: DataFrame, offsets: list, grid_spacing: tupl
     ids = [pack_key(*map(F.col, KEY)).alias("u"), pack_key(F.col("qx"), F.col("qy"), F.col("qz")).alias("v")]
     step = [(F.col(d) * F.lit(float(s))).alias(f"s{d[1]}") for d, s in zip(("dx", "dy", "dz"), grid_spacing, strict=True)]
     d2 = F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy") + F.col("dz") * F.col("dz")
-    return met.select(*ids, "kind", "n_kind", "dx", "dy", "dz", d2.alias("d2"), "nx", "ny", "nz", "n_nx", "n_ny", "n_nz", *step)
+    return met.select(*ids, *KEY, "kind", "n_kind", "dx", "dy", "dz", d2.alias("d2"), "nx", "ny", "nz", "n_nx", "n_ny", "n_nz", *step)
 
 
 def adjacency(field: DataFrame) -> DataFrame:
@@ -280,56 +281,25 @@ def nearest_core(samples: DataFrame, at: tuple[float, float, float]) -> DataFram
     return samples.where("kind = 'core'").withColumn("d2", d2).orderBy("d2", *KEY).limit(1)
 
 
-def _grown(done: DataFrame, fresh: DataFrame, level: int) -> DataFrame:
-    """Both together; every eighth time written anew, so that plans stay short."""
-    both = done.unionByName(fresh)
-    return cut(both) if level % 8 == 0 else both
-
-
 def orient(field: DataFrame, seed: tuple[int, int, int], direction: tuple[float, float, float], spacing: tuple[float, float, float] = (1.0, 1.0, 1.0), min_alignment: float = MIN_ALIGNMENT, max_component: float = MAX_NORMAL_COMPONENT) -> DataFrame:
     """``field`` with consistent signs spread from ``seed``, ``oriented``, ``depth`` and ``parent`` (packed key).
 
     A wavefront over core samples, level by level: a sample gets its sign when two oriented neighbours (one next to the
     seed) vote for it clearly; then two passes in which all vote again with the seed fixed; then transitions, from core
-    neighbours first and from each other after. Which pairs may vote doesn't depend on signs, so the edge table is
-    made once; each level is one join of its front with it.
+    neighbours first and from each other after. Levels run in batches on tiles with a deep halo, see waves.spread().
+    Rows of one kind that share a place take part once. Without a valid core sample at ``seed`` nothing is oriented.
     """
-    valid = cut(field.where("nx <> 0 OR ny <> 0 OR nz <> 0").select(*KEY, "kind", "nx", "ny", "nz"))
-    core = valid.where("kind = 'core'")
-    mine, theirs, step = g.vector("nx", "ny", "nz"), g.vector("n_nx", "n_ny", "n_nz"), g.vector("sx", "sy", "sz")
-    raw = _pairs(core, core, box(1), spacing)
-    a = g.dot(mine, theirs)
-    gated = raw.where((F.abs(a) >= min_alignment) & g.continues(step, mine, theirs, max_component))
-    links = cut(gated.select("u", "v", "d2", a.alias("a"), "dx", "dy", "dz"))
-    start = pack_key(*[F.lit(c) for c in seed])
-    first = core.withColumn("node", pack_key(*map(F.col, KEY))).where(F.col("node") == start)
+    valid = cut(field.where("nx <> 0 OR ny <> 0 OR nz <> 0").select(*KEY, "kind", "nx", "ny", "nz").dropDuplicates([*KEY, "kind"]))
+    core = valid.where("kind = 'core'").drop("kind")
+    mine = g.vector("nx", "ny", "nz")
     positive = g.dot(mine, tuple(F.lit(float(d)) for d in direction)) >= 0
-    none = F.lit(None).cast("long")
-    fresh = cut(first.select("node", F.when(positive, 1).otherwise(-1).alias("sign"), F.lit(0).alias("depth"), none.alias("parent"), *[F.lit(0).alias(p) for p in ("ex", "ey", "ez")]))
-    done, level = fresh, 0
-    while not fresh.isEmpty():
-        touched = links.join(fresh.select(F.col("node").alias("u")), "u", "left_semi").select("v").distinct().join(done.select(F.col("node").alias("v")), "v", "left_anti")
-        voters = links.join(touched, "v", "left_semi").join(done.select(F.col("node").alias("u"), "sign", "ex", "ey", "ez"), "u")
-        # The preferred parent: nearest, not turning back, least sideways, most forward, best aligned, first.
-        along = F.col("ex") * F.col("dx") + F.col("ey") * F.col("dy") + F.col("ez") * F.col("dz")
-        size = F.col("ex") * F.col("ex") + F.col("ey") * F.col("ey") + F.col("ez") * F.col("ez")
-        lateral = F.when(size > 0, F.col("d2") - along * along / size).otherwise(F.lit(0.0))
-        offer = F.struct(F.col("d2").alias("d2"), (along < 0).alias("back"), lateral.alias("lateral"), (-along).alias("forward"), (-F.abs("a")).alias("aligned"), F.col("u").alias("parent"), F.col("dx").alias("ex"), F.col("dy").alias("ey"), F.col("dz").alias("ez"))
-        weight = F.col("a") * F.col("a") / F.col("d2")
-        votes = voters.groupBy(F.col("v").alias("node")).agg(F.sum(weight * F.col("a") * F.col("sign")).alias("vote"), F.sum(weight).alias("total"), F.count("*").alias("n"), F.min(offer).alias("best"))
-        enough = (F.col("n") >= (1 if level == 0 else 2)) & (F.abs("vote") >= min_alignment * F.col("total")) & (F.col("total") > g.TINY)
-        level += 1
-        fresh = cut(votes.where(enough).select("node", F.when(F.col("vote") < 0, -1).otherwise(1).alias("sign"), F.lit(level).alias("depth"), "best.parent", "best.ex", "best.ey", "best.ez"))
-        done = _grown(done, fresh, level)
-    signs = cut(done)
-    for _ in range(2):
-        votes = links.join(signs.select(F.col("node").alias("u"), F.col("sign").alias("s")), "u").groupBy(F.col("v").alias("node")).agg(F.sum(F.col("a") * F.col("a") * F.col("a") * F.col("s")).alias("vote"), F.sum(F.col("a") * F.col("a")).alias("total"))
-        clear = (F.abs("vote") >= min_alignment * F.col("total")) & (F.col("total") > g.TINY) & (F.col("depth") > 0)
-        voted = F.when(F.coalesce(clear, F.lit(False)), F.when(F.col("vote") < 0, -1).otherwise(1)).otherwise(F.col("sign"))
-        signs = cut(signs.join(votes, "node", "left").select("node", voted.alias("sign"), "depth", "parent"))
-    keyed = valid.withColumn("node", pack_key(*map(F.col, KEY)))
+    start = core.where(" AND ".join(f"{k} = {int(c)}" for k, c in zip(KEY, seed, strict=True)))
+    first = start.select(*KEY, F.when(positive, 1).otherwise(-1).alias("sign"), F.lit(0).alias("depth"), F.lit(None).cast("long").alias("parent"), *[F.lit(0).alias(p) for p in ("ex", "ey", "ez")])
+    found = waves.spread(core, first, waves.signs(spacing, min_alignment, max_component))
+    signed = core.join(found.select(*KEY, "sign", "depth", "parent"), KEY)
+    signs = waves.revoted(signed, spacing, min_alignment, max_component)
     flip = lambda c: F.col(c) * F.col("sign")
-    core_out = keyed.where("kind = 'core'").join(signs, "node", "left").select(*KEY, "kind", *[F.coalesce(flip(c), F.lit(0.0)).alias(c) for c in ("nx", "ny", "nz")], F.col("sign").isNotNull().alias("oriented"), "depth", "parent")
+    core_out = core.join(signs, KEY, "left").select(*KEY, F.lit("core").alias("kind"), *[F.coalesce(flip(c), F.lit(0.0)).alias(c) for c in ("nx", "ny", "nz")], F.col("sign").isNotNull().alias("oriented"), "depth", "parent")
     core_out = cut(core_out)
     outer_out = _orient_transitions(valid.where("kind = 'transition'"), core_out.where("oriented"), spacing, max_component)
     return core_out.unionByName(outer_out)
@@ -339,21 +309,11 @@ def _orient_transitions(outer: DataFrame, core: DataFrame, spacing, max_componen
     """Transitions: the weighted mean of oriented core normals beside them, else the sign of an oriented neighbour."""
     mine, theirs, step = g.vector("nx", "ny", "nz"), g.vector("n_nx", "n_ny", "n_nz"), g.vector("sx", "sy", "sz")
     met = _pairs(outer, core, box(1, center=True), spacing).where(g.continues(step, mine, theirs, max_component))
-    direct = met.groupBy(F.col("u").alias("node")).agg(*[F.sum(c * 0.5).alias(n) for c, n in zip(theirs, ("tx", "ty", "tz"), strict=True)])
+    direct = met.groupBy(*KEY).agg(*[F.sum(c * 0.5).alias(n) for c, n in zip(theirs, ("tx", "ty", "tz"), strict=True)])
     unit = g.normalized(g.vector("tx", "ty", "tz"))
-    done = cut(direct.select("node", *[c.alias(n) for c, n in zip(unit, ("ox", "oy", "oz"), strict=True)], F.lit(0).alias("depth"), F.lit(None).cast("long").alias("parent")).where("ox <> 0 OR oy <> 0 OR oz <> 0"))
-    links = cut(_pairs(outer, outer, box(1), spacing).select("u", "v", "n_nx", "n_ny", "n_nz", "sx", "sy", "sz"))
-    fresh, level = done, 0
-    while not fresh.isEmpty():
-        out = fresh.join(links, fresh.node == links.u).join(done.select(F.col("node").alias("v")), "v", "left_anti")
-        source = g.vector("ox", "oy", "oz")
-        sign = F.when(g.dot(theirs, source) < 0, -1.0).otherwise(1.0)
-        turned = tuple(c * sign for c in theirs)
-        offers = out.where(g.continues(step, source, turned, max_component)).select(F.col("v").alias("node"), F.struct(F.col("u").alias("parent"), *[c.alias(n) for c, n in zip(turned, ("ox", "oy", "oz"), strict=True)]).alias("o"))
-        level += 1
-        fresh = cut(offers.groupBy("node").agg(F.min("o").alias("o")).select("node", "o.ox", "o.oy", "o.oz", F.lit(level).alias("depth"), "o.parent"))
-        done = _grown(done, fresh, level)
-    keyed = outer.withColumn("node", pack_key(*map(F.col, KEY))).join(done, "node", "left")
+    first = direct.select(*KEY, *[c.alias(n) for c, n in zip(unit, ("ox", "oy", "oz"), strict=True)], F.lit(0).alias("depth"), F.lit(None).cast("long").alias("parent")).where("ox <> 0 OR oy <> 0 OR oz <> 0")
+    done = waves.spread(outer.drop("kind"), first, waves.carried(spacing, max_component))
+    keyed = outer.join(done, KEY, "left")
     return keyed.select(*KEY, "kind", *[F.coalesce(c, F.lit(0.0)).alias(n) for c, n in zip(("ox", "oy", "oz"), ("nx", "ny", "nz"), strict=True)], F.col("ox").isNotNull().alias("oriented"), "depth", "parent")
 
 
@@ -373,41 +333,29 @@ def flip_preview(field: DataFrame, start: tuple[int, int, int], spacing: tuple[f
     The chain goes on to neighbours (to children only, with a ``trace`` of node, parent) that now agree with the turned
     sample's old normal. It stops, in this order, at invalid normals, where the surface doesn't continue, at weak
     alignment, beyond ``most_mm`` (0: no limit), and at normals that are right after the flip. All of these depend on
-    the pair alone, so the edge table is made once. With ``cap`` or more affected samples their role is ``capped``, and
+    the pair alone. With ``cap`` or more affected samples, those up to the level that reaches it get the role ``capped``, and
     applying does nothing. Equal depths: the smallest parent; several reasons at a boundary sample: the first.
+    Levels run in batches on tiles, see waves.spread(); counts by level keep the cap exact.
     """
-    core = field.where("kind = 'core'")
-    node = pack_key(*map(F.col, KEY))
-    mine, theirs, step = g.vector("nx", "ny", "nz"), g.vector("n_nx", "n_ny", "n_nz"), g.vector("sx", "sy", "sz")
-    pairs = _pairs(core, core, box(1), spacing)
-    a = g.dot(mine, theirs)
-    mm2 = sum((F.col(k) + F.col(d) - F.lit(c)) * (F.col(k) + F.col(d) - F.lit(c)) * F.lit((1000.0 * w) ** 2) for k, d, c, w in zip(KEY, ("dx", "dy", "dz"), start, spacing, strict=True))
-    far = mm2 > most_mm**2 if most_mm > 0 else F.lit(False)
-    at = pairs.select("*", *[c.alias(k) for c, k in zip(unpack_key(F.col("u")), KEY, strict=True)])
-    reason = (
-        F.when(g.dot(theirs, theirs) <= g.TINY, "1 invalid").when(~g.continues(step, mine, theirs, max_component), "2 discontinuous")
-        .when(F.abs(a) < min_alignment, "3 weak").when(far, "4 distance").when(a <= -min_alignment, "5 aligned")
-    )
-    links = at.select("u", "v", reason.alias("reason"))
+    core = field.where("kind = 'core'").select(*KEY, "nx", "ny", "nz").dropDuplicates(KEY)
+    node, mine = pack_key(*map(F.col, KEY)), g.vector("nx", "ny", "nz")
     if trace is not None:
-        links = links.join(trace.select(F.col("node").alias("v"), F.col("parent").alias("u")), ["u", "v"], "left_semi")
-    links = cut(links)
-    none = F.lit(None).cast("long")
-    valid = g.dot(mine, mine) > g.TINY
-    done = cut(core.where(valid).select(node.alias("node"), none.alias("parent"), F.lit(0).alias("depth")).where(F.col("node") == pack_key(*[F.lit(c) for c in start])))
-    stops, level = cut(links.where("false").select(F.col("v").alias("node"), "reason")), 0
-    while not done.isEmpty():
-        if done.count() >= cap:
-            return done.select("node", F.lit("capped").alias("role"), F.lit("sample cap").alias("reason"), "parent", "depth")
-        out = cut(done.where(F.col("depth") == level).select(F.col("node").alias("u")).join(links, "u").select(F.col("v").alias("node"), "u", "reason").join(done.select("node"), "node", "left_anti"))
-        stops = stops.unionByName(out.where("reason IS NOT NULL").select("node", "reason"))
-        fresh = cut(out.where("reason IS NULL").groupBy("node").agg(F.min("u").alias("parent")).withColumn("depth", F.lit(level + 1)))
-        if fresh.isEmpty():
-            break
-        level += 1
-        done = _grown(done, fresh, level)
-    edge = stops.groupBy("node").agg(F.min("reason").alias("reason")).select("node", F.lit("boundary").alias("role"), F.substring("reason", 3, 20).alias("reason"), none.alias("parent"), F.lit(None).cast("int").alias("depth"))
-    return done.select("node", F.lit("affected").alias("role"), F.lit(None).cast("string").alias("reason"), "parent", "depth").unionByName(edge)
+        leaders = trace.select(F.col("node").alias("_node"), F.col("parent").alias("leader"))
+        core = core.withColumn("_node", node).join(leaders, "_node", "left").drop("_node").withColumn("leader", F.coalesce("leader", F.lit(waves.NEVER)).cast("long"))
+    none, number = F.lit(None).cast("long"), F.lit(None).cast("int")
+    begin = core.where((g.dot(mine, mine) > g.TINY) & F.expr(" AND ".join(f"{k} = {int(c)}" for k, c in zip(KEY, start, strict=True))))
+    first = begin.select(*KEY, F.lit(0).alias("depth"), none.alias("parent"), number.alias("stop"))
+    step = waves.chain(start, spacing, most_mm, min_alignment, max_component, trace is not None)
+    found = cut(waves.spread(core, first, step, lambda rows: rows.where("depth IS NOT NULL").count() >= cap))
+    affected = found.where("depth IS NOT NULL").select(node.alias("node"), "parent", "depth")
+    levels = affected.groupBy("depth").agg(F.count("*").alias("n"))  # a row for each level
+    running = levels.select("depth", F.sum("n").over(Window.orderBy("depth")).alias("n"))
+    full = running.where(F.col("n") >= cap).agg(F.min("depth")).first()[0]
+    if full is not None:
+        return affected.where(F.col("depth") <= full).select("node", F.lit("capped").alias("role"), F.lit("sample cap").alias("reason"), "parent", "depth")
+    reason = F.get(F.array(*[F.lit(r) for r in waves.REASONS]), F.min("stop") - 1)
+    edge = found.where("stop IS NOT NULL").groupBy(node.alias("node")).agg(reason.alias("reason")).select("node", F.lit("boundary").alias("role"), "reason", none.alias("parent"), number.alias("depth"))
+    return affected.select("node", F.lit("affected").alias("role"), F.lit(None).cast("string").alias("reason"), "parent", "depth").unionByName(edge)
 
 
 def apply_flip(field: DataFrame, preview: DataFrame) -> DataFrame:
