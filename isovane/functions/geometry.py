@@ -178,9 +178,12 @@ def ray_box(origin: tuple[float, float, float], direction: tuple[float, float, f
 
 
 def ray_triangle(origin: tuple[float, float, float], direction: tuple[float, float, float], a: Vector, b: Vector, c: Vector) -> tuple[Column, Column, Column]:
+    """hit_triangle() for one ray."""
+    return hit_triangle(tuple(F.lit(float(v)) for v in origin), tuple(F.lit(float(v)) for v in direction), a, b, c)
+
+
+def hit_triangle(o: Vector, d: Vector, a: Vector, b: Vector, c: Vector) -> tuple[Column, Column, Column]:
     """(distance, u, v) of a ray's hit with a triangle; distance is null where it misses."""
-    d = tuple(F.lit(float(v)) for v in direction)
-    o = tuple(F.lit(float(v)) for v in origin)
     e1, e2 = minus(b, a), minus(c, a)
     h = cross(d, e2)
     det = dot(e1, h)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from isovane.operators import mesh, stencil, target, tiles
+from isovane.operators import mesh, meshspace, stencil, target, tiles
 from isovane.queries.surface import CORE, SIX, SX, SY, SZ, VOX, _at, _unit, _with, r6
 from isovane.sources import voxels as v
 
@@ -100,7 +100,26 @@ def heatmap(spark, sf_dir) -> DataFrame:
     return colors.groupBy("red", "green", "blue", "alpha").agg(F.count("*").alias("n"))
 
 
+def mesh_mask(spark, sf_dir) -> DataFrame:
+    grid, _, vs, ts = _mesh(spark, sf_dir)
+    return meshspace.mask(ts, vs, grid, 1.5)
+
+
+def ray_table(spark, sf_dir) -> DataFrame:
+    """A ray for each customer against the two halves of the mesh; every third sees the second half only."""
+    _, _, vs, ts = _mesh(spark, sf_dir)
+    key = F.col("c_custkey")
+    rays = v.table(spark, sf_dir, "customer").select(
+        key.alias("rid"), F.lit(-2.0).alias("ox"), (key % 97 * 0.03).alias("oy"), (key % 311 * 0.1).alias("oz"), F.lit(1.0).alias("dx"),
+        ((key % 7 - 3) * 0.05).alias("dy"), ((key % 11 - 5) * 0.05).alias("dz"), F.when(key % 3 == 0, F.array(F.lit(1))).alias("slots"),
+    )
+    halves = ts.withColumn("slot", (target.unpack_key(F.col("a"))[0] >= 12).cast("int"))
+    found = meshspace.ray_hits(rays, halves, vs, 1.0)
+    return found.select("rid", "slot", *[r6(F.col(c)).alias(c) for c in ("distance", "px", "py", "pz")])
+
+
 QUERIES = {
+    "h11_mesh_mask": mesh_mask, "c21_ray_table": ray_table,
     "h9_net_vertices": vertices, "h9_net_triangles": triangles, "b22_areas": areas, "d15_c17_vertex_normals": vertex_normals, "d12_edge_counts": edge_counts,
     "c16_adjacency": adjacency, "d13_mesh_bounds": bounds, "g3_h10_mesh_components": component_sizes, "c18_compacted": compacted, "d14_density_profile": density_profile,
     "d19_winding": winding, "b24_c21_ray_hit": ray_hit, "b23_c22_nearest_triangles": nearest_triangles, "c19_d27_b27_heatmap": heatmap,
@@ -155,7 +174,62 @@ FACE = f"face AS (SELECT *, {', '.join(f'{_cross(i)} AS f{k}' for i, k in enumer
 BASE = (VOX, SIX, CORE, NET)
 SIDES = "side AS (" + " UNION ALL ".join(f"SELECT tid, least(({p}x*100+{p}y)*100+{p}z, ({q}x*100+{q}y)*100+{q}z) AS u, greatest(({p}x*100+{p}y)*100+{p}z, ({q}x*100+{q}y)*100+{q}z) AS w FROM tri" for p, q in ("rs", "st", "tr")) + ")"
 
+
+
+def _less(p: str, q: str) -> list[str]:
+    return [f"({p}{k} - {q}{k})" for k in "xyz"]
+
+
+def _dot(a: list[str], b: list[str]) -> str:
+    return "(" + " + ".join(f"{x} * {y}" for x, y in zip(a, b, strict=True)) + ")"
+
+
+def _product(a: list[str], b: list[str]) -> list[str]:
+    return [f"({a[(i + 1) % 3]} * {b[(i + 2) % 3]} - {a[(i + 2) % 3]} * {b[(i + 1) % 3]})" for i in range(3)]
+
+
+#: Corners as places ka, kb, kc: in voxels for the mask, in the world for rays.
+_CORNERS = list(zip("rst", ("ka", "kb", "kc"), strict=True))
+_INDEX = "placed AS (SELECT " + ", ".join(f"{p}p{k} / {s}::DOUBLE AS {n}{k}" for p, n in _CORNERS for k, s in zip("xyz", (SX, SY, SZ), strict=True)) + " FROM full_)"
+
+
+def _mask_sql(half: float) -> str:
+    """Every triangle with every voxel of its widened box."""
+    ranges = [f"unnest(range(CAST(ceil(least(ka{k}, kb{k}, kc{k}) - {half}) AS BIGINT), CAST(floor(greatest(ka{k}, kb{k}, kc{k}) + {half}) AS BIGINT) + 1)) AS p{k}" for k in "xyz"]
+    boxes = f"bx AS (SELECT *, {ranges[0]} FROM placed), bxy AS (SELECT *, {ranges[1]} FROM bx), bxyz AS (SELECT *, {ranges[2]} FROM bxy)"
+    normal = ", ".join(f"{c} AS n{k}" for c, k in zip(_product(_less("kb", "ka"), _less("kc", "ka")), "xyz", strict=True))
+    n = ["nx", "ny", "nz"]
+    within = " AND ".join(f"{_dot(_product(_less(q, p), _less('p', p)), n)} >= 0" for p, q in (("ka", "kb"), ("kb", "kc"), ("kc", "ka")))
+
+    def segment(p: str, q: str) -> str:
+        side, rel = _less(q, p), _less("p", p)
+        t = f"(CASE WHEN {_dot(side, side)} > 1e-20 THEN least(greatest({_dot(rel, side)} / {_dot(side, side)}, 0), 1) ELSE 0 END)"
+        gap = [f"({r} - {t} * {s})" for r, s in zip(rel, side, strict=True)]
+        return _dot(gap, gap)
+
+    height = _dot(_less("p", "ka"), n)
+    d2 = f"CASE WHEN {_dot(n, n)} > 1e-20 AND {within} THEN {height} * {height} / {_dot(n, n)} ELSE least({segment('ka', 'kb')}, {segment('kb', 'kc')}, {segment('kc', 'ka')}) END"
+    return f"{_with(*BASE, FULL, _INDEX)}, {boxes}, nn AS (SELECT *, {normal} FROM bxyz) SELECT DISTINCT CAST(px AS INTEGER) AS x, CAST(py AS INTEGER) AS y, CAST(pz AS INTEGER) AS z FROM nn WHERE round({d2}, 9) < {half * half}"
+
+
+def _ray_sql() -> str:
+    """Every ray with every triangle that it sees."""
+    rays = """ray AS (SELECT *, sqrt(1 + ry * ry + rz * rz) AS size FROM (
+      SELECT c_custkey AS rid, -2.0::DOUBLE AS ox, c_custkey % 97 * 0.03::DOUBLE AS oy, c_custkey % 311 * 0.1::DOUBLE AS oz, (c_custkey % 7 - 3) * 0.05::DOUBLE AS ry, (c_custkey % 11 - 5) * 0.05::DOUBLE AS rz FROM customer)),
+    unit AS MATERIALIZED (SELECT rid, ox, oy, oz, 1 / size AS dx, ry / size AS dy, rz / size AS dz FROM ray)"""
+    places = "held AS MATERIALIZED (SELECT CAST(rx >= 12 AS INTEGER) AS slot, " + ", ".join(f"{p}p{k} AS {n}{k}" for p, n in _CORNERS for k in "xyz") + " FROM full_)"
+    e1, e2, s, d = _less("kb", "ka"), _less("kc", "ka"), _less("o", "ka"), ["dx", "dy", "dz"]
+    h, q = _product(d, e2), _product(s, e1)
+    det = _dot(e1, h)
+    met = f"met AS MATERIALIZED (SELECT rid, slot, ox, oy, oz, dx, dy, dz, {_dot(s, h)} / {det} AS u, {_dot(d, q)} / {det} AS w, {_dot(e2, q)} / {det} AS t FROM unit CROSS JOIN held WHERE (rid % 3 <> 0 OR slot = 1) AND abs({det}) > 1e-12)"
+    return f"""{_with(*BASE, FULL)}, {places}, {rays}, {met},
+      best AS (SELECT * FROM met WHERE u >= 0 AND w >= 0 AND u + w <= 1 AND t >= 0 QUALIFY row_number() OVER (PARTITION BY rid ORDER BY round(t, 9), slot) = 1)
+      SELECT rid, slot, round(t, 6) + 0.0 AS distance, {', '.join(f"round(o{k} + d{k} * t, 6) + 0.0 AS p{k}" for k in "xyz")} FROM best"""
+
+
 SQL = {
+    "h11_mesh_mask": _mask_sql(1.5),
+    "c21_ray_table": _ray_sql(),
     "h9_net_vertices": _with(*BASE) + " SELECT x AS cx, y AS cy, z AS cz, round(px, 6) + 0.0 AS px, round(py, 6) + 0.0 AS py, round(pz, 6) + 0.0 AS pz FROM vert",
     "h9_net_triangles": _with(*BASE) + " SELECT " + ", ".join(f"{p}{k}" for p in "rst" for k in "xyz") + " FROM tri",
     "b22_areas": _with(*BASE, FULL, FACE) + " SELECT count(*) AS n, round(sum(0.5 * sqrt(fx*fx + fy*fy + fz*fz)), 4) AS area FROM face",
