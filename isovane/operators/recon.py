@@ -238,3 +238,52 @@ def capsule_leaves(leaves: DataFrame, grid: Grid, a: tuple[float, float, float],
     high = tuple(lo + F.lit(7 * s) for lo, s in zip(low, grid.spacing, strict=True))
     ends = [tuple(F.lit(float(c)) for c in p) for p in (a, b)]
     return segment_box_d2(leaves.where(keep), ["bi", "bj", "bk"], *ends, low, high).where(F.col("d2") <= radius * radius)
+
+
+def capsule_table(leaves: DataFrame, grid: Grid, capsules: DataFrame, most: int | None = None) -> DataFrame:
+    """(sid, bi, bj, bk, d2): the leaves that the capsules of each path touch, each once, with the least squared distance.
+
+    capsules: sid (a path; its capsules are united), ax, ay, az, bx, by, bz, radius; ends may be equal (a ball). Rows with a null or
+    non-finite number or a negative radius are no capsules. A path that touches more than ``most`` leaves raises ValueError.
+
+    Capsules are binned by resolution: the cell of a capsule is at least its radius and a leaf, in powers of two, and long ones are
+    cut into pieces of a cell, so that a piece meets a few cells whatever its size; a leaf has one row for each
+    resolution in use. What shares a cell is compared by boxes, and once for each capsule exactly, with the whole segment.
+    """
+    size, axes = [8 * s for s in grid.spacing], "xyz"
+    unit = float(max(size))
+    numbers = [F.col(f"{n}{k}").cast("double") for n in "ab" for k in axes] + [F.col("radius").cast("double")]
+    finite = F.lit(True)
+    for c in numbers:
+        finite = finite & c.isNotNull() & (F.abs(c) < float("inf"))
+    named = capsules.where(finite & (F.col("radius") >= 0)).select("sid", *[c.alias(n) for c, n in zip(numbers, [f"{n}{k}" for n in "ab" for k in axes] + ["radius"], strict=True)])
+    level = F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(F.col("radius"), F.lit(unit)) / unit))).cast("int")
+    held = cut(named.select(F.monotonically_increasing_id().alias("cid"), "*", level.alias("level")))
+    levels = [r.level for r in held.select("level").distinct().collect()]  # powers of two: a thousand at most
+    if not levels:
+        return leaves.where("false").select(F.lit(None).cast(held.schema["sid"].dataType).alias("sid"), "bi", "bj", "bk", F.lit(0.0).alias("d2"))
+    cell = F.pow(F.lit(2.0), F.col("level")) * unit
+    length = g.length(g.minus(g.vector("bx", "by", "bz"), g.vector("ax", "ay", "az")))
+    cuts = F.greatest(F.lit(1), F.ceil(length / cell)).cast("int")
+    pieces = held.withColumn("n", cuts).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    for k, s, o in zip(axes, size, grid.origin, strict=True):
+        ends = [F.col(f"a{k}") + (F.col(f"b{k}") - F.col(f"a{k}")) * (F.col("i") + j) / F.col("n") for j in (0, 1)]
+        pieces = pieces.withColumn(f"l{k}", F.least(*ends) - F.col("radius") - 1e-9 * cell).withColumn(f"h{k}", F.greatest(*ends) + F.col("radius") + 1e-9 * cell)
+        pieces = pieces.withColumn(f"c{k}", F.explode(F.sequence(F.floor((F.col(f"l{k}") - s - o) / cell), F.floor((F.col(f"h{k}") - o) / cell))))
+    low = {k: F.lit(o) + F.col(b) * F.lit(s) for k, b, s, o in zip(axes, ("bi", "bj", "bk"), size, grid.origin, strict=True)}
+    placed = leaves.select("bi", "bj", "bk", F.explode(F.array(*[F.lit(n) for n in sorted(levels)])).alias("level"))
+    placed = placed.select("*", *[F.floor((c - o) / cell).alias(f"c{k}") for (k, c), o in zip(low.items(), grid.origin, strict=True)])
+    met = pieces.join(placed, ["level", *[f"c{k}" for k in axes]])
+    for (k, c), s in zip(low.items(), grid.spacing, strict=True):
+        met = met.where((F.col(f"l{k}") <= c + 7 * s) & (F.col(f"h{k}") >= c))
+    once = met.select("sid", "cid", "radius", *[f"{n}{k}" for n in "ab" for k in axes], "bi", "bj", "bk").distinct()
+    box_low = tuple(low.values())
+    box_high = tuple(c + F.lit(7 * s) for c, s in zip(box_low, grid.spacing, strict=True))
+    near = segment_box_d2(once, ["sid", "cid", "radius", "bi", "bj", "bk"], g.vector("ax", "ay", "az"), g.vector("bx", "by", "bz"), box_low, box_high).where(F.col("d2") <= F.col("radius") * F.col("radius"))
+    found = near.groupBy("sid", "bi", "bj", "bk").agg(F.min("d2").alias("d2"))
+    if most is None:
+        return found
+    found = cut(found)
+    if not found.groupBy("sid").agg(F.count("*").alias("n")).where(F.col("n") > most).isEmpty():
+        raise ValueError(f"a path touches more than {most} leaves")
+    return found
