@@ -193,11 +193,8 @@ _CORNERS = list(zip("rst", ("ka", "kb", "kc"), strict=True))
 _INDEX = "placed AS (SELECT " + ", ".join(f"{p}p{k} / {s}::DOUBLE AS {n}{k}" for p, n in _CORNERS for k, s in zip("xyz", (SX, SY, SZ), strict=True)) + " FROM full_)"
 
 
-def _mask_sql(half: float) -> str:
-    """Every triangle with every voxel of its widened box."""
-    ranges = [f"unnest(range(CAST(ceil(least(ka{k}, kb{k}, kc{k}) - {half}) AS BIGINT), CAST(floor(greatest(ka{k}, kb{k}, kc{k}) + {half}) AS BIGINT) + 1)) AS p{k}" for k in "xyz"]
-    boxes = f"bx AS (SELECT *, {ranges[0]} FROM placed), bxy AS (SELECT *, {ranges[1]} FROM bx), bxyz AS (SELECT *, {ranges[2]} FROM bxy)"
-    normal = ", ".join(f"{c} AS n{k}" for c, k in zip(_product(_less("kb", "ka"), _less("kc", "ka")), "xyz", strict=True))
+def _distance_sql() -> str:
+    """Squared distance of a place p to a triangle with corners ka, kb, kc and normal n."""
     n = ["nx", "ny", "nz"]
     within = " AND ".join(f"{_dot(_product(_less(q, p), _less('p', p)), n)} >= 0" for p, q in (("ka", "kb"), ("kb", "kc"), ("kc", "ka")))
 
@@ -208,8 +205,27 @@ def _mask_sql(half: float) -> str:
         return _dot(gap, gap)
 
     height = _dot(_less("p", "ka"), n)
-    d2 = f"CASE WHEN {_dot(n, n)} > 1e-20 AND {within} THEN {height} * {height} / {_dot(n, n)} ELSE least({segment('ka', 'kb')}, {segment('kb', 'kc')}, {segment('kc', 'ka')}) END"
-    return f"{_with(*BASE, FULL, _INDEX)}, {boxes}, nn AS (SELECT *, {normal} FROM bxyz) SELECT DISTINCT CAST(px AS INTEGER) AS x, CAST(py AS INTEGER) AS y, CAST(pz AS INTEGER) AS z FROM nn WHERE round({d2}, 9) < {half * half}"
+    return f"CASE WHEN {_dot(n, n)} > 1e-20 AND {within} THEN {height} * {height} / {_dot(n, n)} ELSE least({segment('ka', 'kb')}, {segment('kb', 'kc')}, {segment('kc', 'ka')}) END"
+
+
+_NORMAL = ", ".join(f"{c} AS n{k}" for c, k in zip(_product(_less("kb", "ka"), _less("kc", "ka")), "xyz", strict=True))
+
+
+def _mask_sql(half: float) -> str:
+    """Every triangle with every voxel of its widened box."""
+    ranges = [f"unnest(range(CAST(ceil(least(ka{k}, kb{k}, kc{k}) - {half}) AS BIGINT), CAST(floor(greatest(ka{k}, kb{k}, kc{k}) + {half}) AS BIGINT) + 1)) AS p{k}" for k in "xyz"]
+    boxes = f"bx AS (SELECT *, {ranges[0]} FROM placed), bxy AS (SELECT *, {ranges[1]} FROM bx), bxyz AS (SELECT *, {ranges[2]} FROM bxy)"
+    return f"{_with(*BASE, FULL, _INDEX)}, {boxes}, nn AS (SELECT *, {_NORMAL} FROM bxyz) SELECT DISTINCT CAST(px AS INTEGER) AS x, CAST(py AS INTEGER) AS y, CAST(pz AS INTEGER) AS z FROM nn WHERE round({_distance_sql()}, 9) < {half * half}"
+
+
+def _nearest_sql(reach: float) -> str:
+    """Every core voxel with every triangle near enough along each axis."""
+    corners = ", ".join(f"{p}p{k} AS {n}{k}" for p, n in _CORNERS for k in "xyz")
+    near = " AND ".join(f"p{k} BETWEEN least(ka{k}, kb{k}, kc{k}) - {reach} AND greatest(ka{k}, kb{k}, kc{k}) + {reach}" for k in "xyz")
+    return f"""{_with(*BASE, FULL)}, world AS MATERIALIZED (SELECT *, {_NORMAL} FROM (SELECT {corners} FROM full_)),
+      spot AS MATERIALIZED (SELECT x, y, z, x * {SX}::DOUBLE AS px, y * {SY}::DOUBLE AS py, z * {SZ}::DOUBLE AS pz FROM core),
+      met AS (SELECT x, y, z, {_distance_sql()} AS d2 FROM spot CROSS JOIN world WHERE {near})
+      SELECT x, y, z, round(min(d2), 6) + 0.0 AS d2 FROM met WHERE d2 <= {reach * reach} GROUP BY x, y, z"""
 
 
 def _ray_sql() -> str:
@@ -230,6 +246,7 @@ def _ray_sql() -> str:
 SQL = {
     "h11_mesh_mask": _mask_sql(1.5),
     "c21_ray_table": _ray_sql(),
+    "b23_c22_nearest_triangles": _nearest_sql(1.0),
     "h9_net_vertices": _with(*BASE) + " SELECT x AS cx, y AS cy, z AS cz, round(px, 6) + 0.0 AS px, round(py, 6) + 0.0 AS py, round(pz, 6) + 0.0 AS pz FROM vert",
     "h9_net_triangles": _with(*BASE) + " SELECT " + ", ".join(f"{p}{k}" for p in "rst" for k in "xyz") + " FROM tri",
     "b22_areas": _with(*BASE, FULL, FACE) + " SELECT count(*) AS n, round(sum(0.5 * sqrt(fx*fx + fy*fy + fz*fz)), 4) AS area FROM face",
