@@ -215,3 +215,8 @@ def stroke(grid: Grid, path: DataFrame, settings: BrushSettings) -> tuple[DataFr
     world = [c.alias(n) for c, n in zip(g.to_world(grid, *map(F.col, KEY)), ("wx", "wy", "wz"), strict=True)]
     weight = F.lit(float(settings.strength)) * g.falloff(F.col("dist"), settings.core, settings.width)
     return reached.select(*KEY, *world, "nx", "ny", "nz", "deviation", "planarity", "dist", weight.alias("weight")), centreline
+
+
+def mean_planarity(samples: DataFrame) -> DataFrame:
+    """One row (n, mean_planarity) over the samples of a stroke; 0 where it has none."""
+    return samples.agg(F.count("*").alias("n"), F.coalesce(F.avg(F.col("planarity").cast("double")), F.lit(0.0)).alias("mean_planarity"))

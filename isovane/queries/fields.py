@@ -100,10 +100,10 @@ def mean_planarity(spark, sf_dir) -> DataFrame:
 
 
 def zipped(spark, sf_dir) -> DataFrame:
-    """C24: samples and the axes of their fit side by side, refused where they don't match one to one."""
-    _, iso, samples = _samples(spark, sf_dir)
-    marks = samples.select(*KEY, (F.col("value") * 2).alias("twice"))
-    return target.zipped(samples.select(*KEY, "kind", "value"), marks).select(*KEY, "kind", "value", "twice")
+    """C24: samples and the axes of their surface side by side, refused where they don't match one to one."""
+    _, _, samples = _samples(spark, sf_dir)
+    _, axes = _normals(spark, sf_dir)
+    return target.zipped(samples.select(*KEY, "kind", "value"), axes.select(*KEY, "nx", "ny", "nz"))
 
 
 def nearest_seed(spark, sf_dir) -> DataFrame:
@@ -164,12 +164,21 @@ def radius_planarity(spark, sf_dir) -> DataFrame:
     return found.select(*KEY, *[(F.round(F.col(c).cast("float").cast("double"), 4) + F.lit(0.0)).alias(c) for c in ("deviation", "planarity")])
 
 
-def brush_stroke(spark, sf_dir) -> DataFrame:
-    """G8, H16: a whole stroke of three points over the line item volume."""
+def _painted(spark, sf_dir) -> DataFrame:
+    """The samples of a whole stroke of three points over the line item volume."""
     grid, iso = _grid(spark, sf_dir)
     path = spark.range(3).select(F.col("id").alias("seq"), (F.col("id") * 2.0 + 1.0).alias("wx"), (F.col("id") * 0.5 + 0.7).alias("wy"), (F.col("id") * 3.0 + 12.0).alias("wz"))
-    samples, _ = paths.stroke(grid, path, paths.BrushSettings(0.5, 1.0, 2.0, iso, RADIUS_MM, search=1.5))
-    return samples.select(*KEY, *[r6(F.col(c)).alias(c) for c in ("planarity", "dist", "weight")])
+    return paths.stroke(grid, path, paths.BrushSettings(0.5, 1.0, 2.0, iso, RADIUS_MM, search=1.5))[0]
+
+
+def brush_stroke(spark, sf_dir) -> DataFrame:
+    """G8, H16."""
+    return _painted(spark, sf_dir).select(*KEY, *[r6(F.col(c)).alias(c) for c in ("planarity", "dist", "weight")])
+
+
+def brush_planarity(spark, sf_dir) -> DataFrame:
+    """D24: the mean planarity of what a stroke has painted."""
+    return paths.mean_planarity(_painted(spark, sf_dir)).select("n", r6(F.col("mean_planarity")).alias("mean_planarity"))
 
 
 def _strokes(spark, sf_dir) -> DataFrame:
@@ -236,7 +245,7 @@ RADIUS_MM = 1.2
 QUERIES = {
     "c12_radius_join": within_radius, "c12_radius_join_all": within_radius, "c15_core_at": lookups, "d20_voxel_areas": voxel_areas, "d24_mean_planarity": mean_planarity, "c24_zipped": zipped, "e2_nearest_k": nearest_k, "d7_b15_kernel_means": kernel_means, "d8_quadratic_sums": quadratic_sums, "b21_quadratic_fit": quadratic_fit,
     "c13_e13_nearest_sample": nearest_sample, "c13_e13_nearest_sample_all": nearest_sample, "c14_nearest_seed": nearest_seed, "b16_b27_b29_kernels": kernels, "b17_edge_costs": edge_costs, "g7_distances": distances,
-    "g6_route": route, "g8_brush": brush, "b11_radius_planarity": radius_planarity, "g8_h16_stroke": brush_stroke, "d26_stroke_totals": stroke_totals, "e11_changed_events": changed_events, "e8_e9_growing_slices": growing_slices, "e10_spaced": spaced,
+    "g6_route": route, "g8_brush": brush, "b11_radius_planarity": radius_planarity, "g8_h16_stroke": brush_stroke, "d24_brush_planarity": brush_planarity, "d26_stroke_totals": stroke_totals, "e11_changed_events": changed_events, "e8_e9_growing_slices": growing_slices, "e10_spaced": spaced,
     "d16_merged_weights": merged_weights, "d27_normalised_weights": normalised_weights, "a14_names": names, "a10_fingerprint": fingerprint, "a19_presets": presets, "i_event_windows": windows,
 }
 
@@ -267,7 +276,7 @@ SQL = {
     "c15_core_at": _with(VOX, SIX, CORE) + " SELECT o_orderkey AS pid, c.x, c.y, c.z, c.value, c.crossings FROM orders JOIN core c ON c.x = o_orderkey % 30 AND c.y = o_custkey % 12 AND c.z = o_orderkey % 35",
     "d20_voxel_areas": _with(*ALL_SAMPLES, NORMALS, ROUNDED) + f" SELECT x, y, z, round(({SX * SY * SZ!r})::DOUBLE / (abs(nx) * {SX} + abs(ny) * {SY} + abs(nz) * {SZ}), 5) AS m2 FROM field WHERE kind = 'core' AND (nx <> 0 OR ny <> 0 OR nz <> 0)",
     "d24_mean_planarity": _with(*ALL_SAMPLES, NORMALS, BOX, PLANAR) + " SELECT count(*) AS n, round(avg(CAST(CAST(CASE WHEN good THEN (1 - exp(-w / 3.0)) * exp(-(d / radians(15.0)) * (d / radians(15.0))) ELSE 0 END AS REAL) AS DOUBLE)), 4) AS mean_planarity FROM dev",
-    "c24_zipped": _with(*ALL_SAMPLES) + " SELECT x, y, z, kind, value, value * 2 AS twice FROM samples",
+    "c24_zipped": _with(*ALL_SAMPLES, NORMALS, ROUNDED) + " SELECT x, y, z, s.kind, s.value, nx, ny, nz FROM samples s JOIN field f USING (x, y, z)",
     "b17_edge_costs": _with(*ALL_SAMPLES, NORMALS, ROUNDED, BOX) + f""", s AS MATERIALIZED (SELECT x, y, z, nx, ny, nz, core.value / 32.0::DOUBLE AS p FROM field JOIN core USING (x, y, z) WHERE kind = 'core'),
       e AS (SELECT a.x, a.y, a.z, b.x AS qx, b.y AS qy, b.z AS qz, o.dx * {SX}::DOUBLE AS ex, o.dy * {SY}::DOUBLE AS ey, o.dz * {SZ}::DOUBLE AS ez, sqrt(a.p * b.p) AS p, acos(least(greatest(a.nx*b.nx + a.ny*b.ny + a.nz*b.nz, -1), 1)) / radians(20.0) AS turn,
               a.nx, a.ny, a.nz, a.nx + b.nx AS mx, a.ny + b.ny AS my, a.nz + b.nz AS mz FROM s a CROSS JOIN box26 o JOIN s b ON b.x = a.x + o.dx AND b.y = a.y + o.dy AND b.z = a.z + o.dz),

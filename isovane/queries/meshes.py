@@ -118,7 +118,15 @@ def ray_table(spark, sf_dir) -> DataFrame:
     return found.select("rid", "slot", *[r6(F.col(c)).alias(c) for c in ("distance", "px", "py", "pz")])
 
 
+def hot_triangles(spark, sf_dir) -> DataFrame:
+    """H22: the triangles that weights at the sharpest core voxels reach."""
+    grid, iso, vs, ts = _mesh(spark, sf_dir)
+    sharp = target.core_voxels(grid, iso).where("crossings >= 5").select("x", "y", "z", (F.col("crossings") / 6.0).alias("weight"))
+    return mesh.heatmap(sharp, vs, ts, grid)[1].select(*_named("a", "r"), *_named("b", "s"), *_named("c", "t"))
+
+
 QUERIES = {
+    "h22_hot_triangles": hot_triangles,
     "h11_mesh_mask": mesh_mask, "c21_ray_table": ray_table,
     "h9_net_vertices": vertices, "h9_net_triangles": triangles, "b22_areas": areas, "d15_c17_vertex_normals": vertex_normals, "d12_edge_counts": edge_counts,
     "c16_adjacency": adjacency, "d13_mesh_bounds": bounds, "g3_h10_mesh_components": component_sizes, "c18_compacted": compacted, "d14_density_profile": density_profile,
@@ -243,7 +251,13 @@ def _ray_sql() -> str:
       SELECT rid, slot, round(t, 6) + 0.0 AS distance, {', '.join(f"round(o{k} + d{k} * t, 6) + 0.0 AS p{k}" for k in "xyz")} FROM best"""
 
 
+_WHOLE = [f"CAST(sign(p{k} / {s}::DOUBLE) * floor(abs(p{k} / {s}::DOUBLE) + 0.5) AS INTEGER)" for k, s in zip("xyz", (SX, SY, SZ), strict=True)]
+
 SQL = {
+    "h22_hot_triangles": _with(*BASE) + f""", spot AS (SELECT x, y, z, {', '.join(f'{c} AS i{k}' for c, k in zip(_WHOLE, 'xyz', strict=True))} FROM vert),
+      sharp AS (SELECT x, y, z FROM core WHERE crossings >= 5),
+      hot AS (SELECT DISTINCT v.x, v.y, v.z FROM spot v JOIN sharp c ON abs(c.x - ix) <= 1 AND abs(c.y - iy) <= 1 AND abs(c.z - iz) <= 1)
+      SELECT {', '.join(f'{p}{k}' for p in 'rst' for k in 'xyz')} FROM tri t WHERE {' OR '.join(f'EXISTS (SELECT 1 FROM hot h WHERE h.x = t.{p}x AND h.y = t.{p}y AND h.z = t.{p}z)' for p in 'rst')}""",
     "h11_mesh_mask": _mask_sql(1.5),
     "c21_ray_table": _ray_sql(),
     "b23_c22_nearest_triangles": _nearest_sql(1.0),

@@ -10,7 +10,7 @@ from tests.compare import differing
 SF = "/root/testdata/sf0.001"
 SQL = queries.oracle_sql()
 #: Wavefronts and routes have tests of their own.
-LONG = {"g9_h5_oriented_normals", "g12_h7_flip_chain", "g6_route"}
+LONG = {"g9_h5_oriented_normals", "g12_h7_flip_chain", "g6_route", "d24_brush_planarity"}
 
 
 def test_every_sql_has_a_query():

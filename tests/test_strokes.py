@@ -81,3 +81,9 @@ def test_spacing_of_one_long_stroke_without_id(spark):
         if last is None or (i % 7 != 3 and (i / 10.0 - last) ** 2 >= 1.0):
             want, last = [*want, i], i / 10.0
     assert kept == want and strokes.spaced(line.where("seq < 0"), 1.0).count() == 0
+
+
+def test_mean_planarity_of_what_is_painted(spark):
+    painted = spark.createDataFrame([(0.5,), (1.0,), (0.0,), (None,)], "planarity float")
+    assert tuple(paths.mean_planarity(painted).first()) == (4, 0.5)
+    assert tuple(paths.mean_planarity(painted.where("false")).first()) == (0, 0.0)
