@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_MODULES = ["surface", "meshes", "normal_fields", "fields", "reconstruction"]
+_MODULES = ["surface", "meshes", "normal_fields", "fields", "reconstruction", "stored"]
 
 
 def queries() -> dict:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,10 +39,10 @@ def load_if(spark: SparkSession, facts: DataFrame, path: str) -> DataFrame | Non
     """Stored rows if their fingerprint equals ``facts`` in every column, else None."""
     try:
         stored = spark.read.parquet(f"{path}/facts")
-    except Exception as e:
-        if "PATH_NOT_FOUND" in str(e):
-            return None
-        raise
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
     if stored.columns != facts.columns or not stored.exceptAll(facts).isEmpty() or not facts.exceptAll(stored).isEmpty():
         return None
     return spark.read.parquet(f"{path}/rows")
