@@ -32,6 +32,8 @@ from isovane.plans.lineage import cut
 THRESHOLD = 3
 HALF = 32
 CODE = 31
+#: Anchors with more nearest fingerprints than this are split by the other half.
+CROWD_AT = 64
 SIMILARITY = 0.8
 WIDTH = 5
 #: More than so many texts with a shingle in common first compare with one of them; only what that leaves apart compares on.
@@ -119,18 +121,84 @@ def _halves(fp: Column) -> Column:
     )
 
 
-def links(distinct_fps: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
-    """(u, v), u < v: all pairs of different ``fp`` that differ in at most ``threshold`` (3 or fewer) bits."""
-    if not 0 <= threshold <= THRESHOLD:
-        raise ValueError("the two-half covering holds for thresholds of 0 to 3 bits")
+def _at_anchors(distinct_fps: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """((u, anchor): each half at the anchor nearest to it, (v, anchor): each half at every anchor within distance 2)."""
     masks = F.array(*[F.array(*[F.lit(m).cast("long") for m in row]) for row in anchor_masks()])
     sides = distinct_fps.select("fp", F.explode(_halves(F.col("fp"))).alias("h")).select("fp", "h.side", "h.half")
     sides = sides.withColumn("flips", F.element_at(masks, _syndrome(F.col("half")) + 1))
     key = lambda flip: F.col("half").bitwiseXOR(flip) * 2 + F.col("side")
     home = sides.select(F.col("fp").alias("u"), key(F.element_at("flips", 1)).alias("anchor"))
     spread = sides.select(F.col("fp").alias("v"), "half", "side", F.explode("flips").alias("flip")).select("v", key(F.col("flip")).alias("anchor"))
-    close = F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= threshold
-    return home.join(spread, "anchor").where((F.col("u") < F.col("v")) & close).select("u", "v").distinct()
+    return home, spread
+
+
+def _close(threshold: int) -> Column:
+    return F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= threshold
+
+
+def _checked(threshold: int) -> None:
+    if not 0 <= threshold <= THRESHOLD:
+        raise ValueError("the two-half covering holds for thresholds of 0 to 3 bits")
+
+
+def links(distinct_fps: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
+    """(u, v), u < v: all pairs of different ``fp`` that differ in at most ``threshold`` (3 or fewer) bits."""
+    _checked(threshold)
+    home, spread = _at_anchors(distinct_fps)
+    return home.join(spread, "anchor").where((F.col("u") < F.col("v")) & _close(threshold)).select("u", "v").distinct()
+
+
+def _quarters(fp: Column, flipped: bool) -> Column:
+    """Keys inside an anchor, by the half that the anchor is not made of: fingerprints that link there share one.
+
+    That half differs in at most 3 bits, so one of its two quarters in at most 1: one side brings its quarters, the other
+    its quarters and all at distance 1.
+    """
+    other = F.when(F.col("anchor").bitwiseAND(F.lit(1)) == 0, F.shiftrightunsigned(fp, HALF)).otherwise(fp.bitwiseAND(F.lit((1 << HALF) - 1)))
+    flips = [0, *[1 << i for i in range(HALF // 2)]] if flipped else [0]
+    part = lambda q: F.shiftrightunsigned(other, q * HALF // 2).bitwiseAND(F.lit((1 << HALF // 2) - 1))
+    return F.explode(F.array(*[F.xxhash64("anchor", F.lit(q), part(q).bitwiseXOR(F.lit(m).cast("long"))) for q in (0, 1) for m in flips]))
+
+
+def _centres(home: DataFrame) -> DataFrame:
+    """(key, u): at each key the fingerprint nearest to the bits that most have there, the smallest of several."""
+    ones = [F.sum(F.shiftrightunsigned("u", i).bitwiseAND(F.lit(1)) * 2 - 1).alias(f"b{i}") for i in range(2 * HALF)]
+    word = lambda i: F.when(F.col(f"b{i}") > 0, F.lit(1 << i if i < 63 else -(1 << 63)).cast("long")).otherwise(F.lit(0).cast("long"))
+    most = home.groupBy("key").agg(*ones)
+    middle = word(0)
+    for i in range(1, 2 * HALF):
+        middle = middle.bitwiseOR(word(i))
+    off = F.bit_count(F.col("u").bitwiseXOR(F.col("middle")))
+    return home.join(most.select("key", middle.alias("middle")), "key").groupBy("key").agg(F.min(F.struct(off.alias("off"), "u")).alias("m")).select("key", "m.u")
+
+
+def joining_links(distinct_fps: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
+    """(u, v): pairs that differ in at most ``threshold`` bits and join the same groups as all of ``links`` do.
+
+    An anchor with at most ``CROWD_AT`` nearest fingerprints compares them with all that come. A fuller one is split by
+    quarters of the other half; there all first compare with the most central one, and only fingerprints that
+    this leaves outside a key's largest group meet the others of the key.
+    """
+    _checked(threshold)
+    home, spread = _at_anchors(distinct_fps)
+    full = cut(home.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > CROWD_AT).select("anchor"))
+    pair = [F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")]
+    if full.isEmpty():
+        return links(distinct_fps, threshold)
+    few = home.join(full, "anchor", "left_anti").join(spread, "anchor").where((F.col("u") != F.col("v")) & _close(threshold)).select(*pair)
+    homes = cut(home.join(full, "anchor", "left_semi").select("u", _quarters(F.col("u"), False).alias("key")))
+    comers = cut(spread.join(full, "anchor", "left_semi").select("v", _quarters(F.col("v"), True).alias("key")).join(homes.select("key").distinct(), "key", "left_semi"))
+    led = comers.join(_centres(homes), "key").where((F.col("u") != F.col("v")) & _close(threshold)).select(*pair)
+    first = cut(few.unionByName(led).distinct())
+    roots = connected_components(first)
+    rooted = lambda rows, c: rows.join(roots.withColumnRenamed("node", c), c, "left").select(c, "key", F.coalesce("component", c).alias(f"root_{c}"))
+    ours, theirs = rooted(homes, "u"), rooted(comers, "v")
+    main = theirs.groupBy("key", "root_v").agg(F.count("*").alias("m")).groupBy("key").agg(F.max(F.struct("m", "root_v")).alias("m"), F.count("*").alias("groups"))
+    open_ = cut(main.where("groups > 1").select("key", F.col("m.root_v").alias("main")))
+    ours, theirs = ours.join(open_, "key"), theirs.join(open_.select("key", F.col("main").alias("main_v")), "key")
+    met = [ours.where("root_u <> main").join(theirs, "key"), ours.where("root_u = main").join(theirs.where("root_v <> main_v"), "key")]
+    rest = [m.where((F.col("root_u") != F.col("root_v")) & _close(threshold)).select(*pair) for m in met]
+    return first.unionByName(rest[0].unionByName(rest[1]).distinct())
 
 
 def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD, width: int = 3, text: str = "text") -> DataFrame:
@@ -144,7 +212,7 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD, width: int = 3,
     """
     marked = cut(fingerprints(docs, text, width))
     unique = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
-    roots = connected_components(links(unique, threshold))
+    roots = connected_components(joining_links(unique, threshold))
     rooted = unique.join(roots, unique.fp == roots.node, "left").select("fp", "first_id", F.coalesce("component", "fp").alias("root"))
     lowest = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
     named = rooted.join(lowest, "root").select("fp", "component_id")
@@ -386,4 +454,4 @@ def keep_one_per_group(docs: DataFrame, similarity: float = SIMILARITY, width: i
     return docs.join(gone, "doc_id", "left_anti")
 
 
-__all__ = ["THRESHOLD", "alike", "anchor_masks", "fingerprint_of", "fingerprints", "hex_fingerprint", "keep_one_per_group", "links", "near_duplicates", "text_ids"]
+__all__ = ["THRESHOLD", "alike", "anchor_masks", "fingerprint_of", "fingerprints", "hex_fingerprint", "joining_links", "keep_one_per_group", "links", "near_duplicates", "text_ids"]
