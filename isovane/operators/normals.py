@@ -17,7 +17,7 @@ from isovane.functions import geometry as g
 from isovane.functions.linalg import canonical_sign
 from isovane.operators import waves
 from isovane.operators.stencil import KEY, box, half_box, neighbours
-from isovane.operators.target import pack_key
+from isovane.operators.target import components, pack_key
 from isovane.operators.tiles import tiled
 from isovane.plans.lineage import cut
 
@@ -247,6 +247,12 @@ def adjacency(field: DataFrame) -> DataFrame:
     return met.select(*KEY, "qx", "qy", "qz", "kind", "n_kind", aligned.alias("aligned"))
 
 
+def valid_components(field: DataFrame) -> DataFrame:
+    """(x, y, z, component): 26-connected groups of the core samples of ``field`` that have a normal."""
+    squared = F.col("nx") * F.col("nx") + F.col("ny") * F.col("ny") + F.col("nz") * F.col("nz")
+    return components(field.where((F.col("kind") == "core") & (squared > 1e-20)))
+
+
 def adjacency_statistics(field: DataFrame, weak: float = 0.15) -> DataFrame:
     """One row: numbers of core and transition edges, opposing and weak ones, least and mean alignments of core edges."""
     pairs = adjacency(field)

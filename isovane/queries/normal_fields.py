@@ -10,7 +10,7 @@ from isovane.functions import linalg
 from isovane.operators import normals, target, tiles
 from isovane.operators.stencil import KEY, box, half_box
 from isovane.plans.lineage import cut
-from isovane.queries.surface import ALL_SAMPLES, BOX, CORE, NORMALS, SIX, SX, SY, SZ, VOX, _grid, _settings, _values, _with, r6
+from isovane.queries.surface import ALL_SAMPLES, BOX, CORE, NORMALS, REACH, SIX, SX, SY, SZ, VOX, _grid, _settings, _values, _with, r6
 
 
 def _samples(spark, sf_dir):
@@ -49,6 +49,12 @@ def full_statistics(spark, sf_dir) -> DataFrame:
     return normals.adjacency_statistics(_normals(spark, sf_dir)[1])
 
 
+def valid_components(spark, sf_dir) -> DataFrame:
+    found = normals.valid_components(_normals(spark, sf_dir)[1])
+    first = target.unpack_key(F.col("component"))
+    return found.select(*KEY, *[c.alias(n) for c, n in zip(first, ("cx", "cy", "cz"), strict=True)])
+
+
 def worst_edges(spark, sf_dir) -> DataFrame:
     found = normals.worst_edges(_normals(spark, sf_dir)[1])
     return found.select("class", *KEY, "qx", "qy", "qz", F.round("aligned", 4).alias("aligned"))
@@ -128,7 +134,7 @@ def flip_chain(spark, sf_dir) -> DataFrame:
 
 
 QUERIES = {
-    "c3_half_edges": half_edges, "d10_statistics": statistics, "h6_full_statistics": full_statistics, "e4_worst_edges": worst_edges, "c8_supported_transitions": supported,
+    "c3_half_edges": half_edges, "d10_statistics": statistics, "h6_full_statistics": full_statistics, "g4_valid_components": valid_components, "e4_worst_edges": worst_edges, "c8_supported_transitions": supported,
     "c11_e1_box_neighbourhoods": box_ranked, "c10_h8_connected_neighbourhoods": connected_ranked, "d4_covariances": rounded_covariances, "b19_eigen_axes": eigen_axes,
     "b20_d6_tensors": tensors, "h3_d5_fitted_normals": fitted, "h4_smoothed_normals": smoothed, "g9_h5_oriented_normals": oriented, "g12_h7_flip_chain": flip_chain,
 }
@@ -158,7 +164,11 @@ ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY x, y, z ORDER BY hops,
 _P = [f"{q} * {s}::DOUBLE" for q, s in zip(("qx", "qy", "qz"), (SX, SY, SZ), strict=True)]
 _W = "(1.0::DOUBLE / (1 + 0.5 * hops))"
 
+#: REACH over core samples that have a normal.
+VALID_REACH = "vcore AS MATERIALIZED (SELECT x, y, z FROM field WHERE kind = 'core' AND nx*nx + ny*ny + nz*nz > 1e-20)," + REACH.replace("core ", "vcore ").replace("FROM core\n", "FROM vcore\n")
+
 SQL = {
+    "g4_valid_components": _with(*ALL_SAMPLES, NORMALS, ROUNDED, BOX, VALID_REACH) + " SELECT CAST(node // 10000 AS INTEGER) AS x, CAST(node // 100 % 100 AS INTEGER) AS y, CAST(node % 100 AS INTEGER) AS z, CAST(label // 10000 AS INTEGER) AS cx, CAST(label // 100 % 100 AS INTEGER) AS cy, CAST(label % 100 AS INTEGER) AS cz FROM comp",
     "c3_half_edges": _with(*FIELD) + " SELECT x, y, z, qx, qy, qz, kind, n_kind, round(aligned, 4) + 0.0 AS aligned FROM pairs",
     "e4_worst_edges": _with(*FIELD) + """, c AS (SELECT *, CASE WHEN kind = 'core' AND n_kind = 'core' THEN 'core' ELSE 'transition' END AS class FROM pairs WHERE aligned < 0)
       SELECT class, x, y, z, qx, qy, qz, round(aligned, 4) AS aligned FROM c QUALIFY row_number() OVER (PARTITION BY class ORDER BY round(aligned, 9), x, y, z, qx, qy, qz) <= 12""",

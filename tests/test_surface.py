@@ -336,3 +336,11 @@ def test_replayed_flips(spark):
     mended = normals.replay(field, [(1, 1, 0), (8, 1, 0)])
     assert mended.where("nz < 0.99").count() == 0 and field.where("nz < 0").count() == 12
     assert normals.replay(field, []) is field
+
+
+def test_components_of_samples_with_normals(spark):
+    rows = [(x, 0, 0, "core", 0.0, 0.0, 0.0 if x == 2 else 1.0) for x in range(5)] + [(9, 0, 0, "transition", 0.0, 0.0, 1.0)]
+    field = spark.createDataFrame(rows, "x int, y int, z int, kind string, nx double, ny double, nz double")
+    found = normals.valid_components(field).collect()
+    assert {r.x for r in found} == {0, 1, 3, 4} and len({r.component for r in found}) == 2
+    assert normals.valid_components(field.where("x > 5")).count() == 0
