@@ -14,6 +14,8 @@ SCHEMA = 1
 SEED = "schema int, source string, grid string, iso double, valid boolean, coordinate array<int>, world array<double>, normal array<double>, ray_direction array<double>"
 HEAD = "schema double, kind string, source string, grid string, source_file_size long, source_write_time long, iso double, transition_layers long"
 FLIP = "schema double, kind string, coordinate array<int>, target_sign long, color array<long>, accepted string"
+#: Most that iso and adaptivity of a replayed stroke may differ.
+REPLAY = 1e-4
 WHITE = [255, 255, 255, 255]
 
 
@@ -125,6 +127,21 @@ def append_strokes(strokes: DataFrame, path: str) -> None:
     strokes.select("schema", "stroke_id", "points", "fits").write.mode("append").json(path)
 
 
+def replayable(strokes: DataFrame, grid: str, iso: float, adaptivity: float = 0.0) -> DataFrame:
+    """``strokes`` (grid_name, iso, adaptivity, fits and others), refused whole if one was recorded on another surface.
+
+    Both numbers may differ by ``REPLAY`` at most; an absent one, another grid, or anchor counts (second in a fit) that fall refuse.
+    """
+    near = lambda c, wanted: _finite(F.col(c)) & (F.abs(F.col(c) - wanted) <= REPLAY)
+    same = (F.col("grid_name") == grid) & near("iso", float(iso)) & near("adaptivity", float(adaptivity))
+    anchors = F.transform("fits", lambda f: F.get(f, F.lit(1)))
+    rising = F.forall(F.zip_with(anchors, F.slice(anchors, 2, F.greatest(F.size("fits"), F.lit(1))), lambda a, b: b.isNull() | (a <= b)), lambda ok: ok)
+    bad = strokes.select(F.when(~F.coalesce(same, F.lit(False)), "another surface").when(~F.coalesce(rising, F.lit(False)), "falling anchor counts").alias("why")).where("why IS NOT NULL").head(1)
+    if bad:
+        raise Refused(f"a stroke can't be replayed: {bad[0].why}")
+    return strokes
+
+
 def listed(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
     """(path, length, modified) of the files under ``folder``; none is opened."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(folder)

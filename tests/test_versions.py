@@ -169,3 +169,14 @@ def test_catalogues_drop_and_count_missing_files(spark, tmp_path):
     entries, _ = stores.catalog(lines, str(tmp_path))
     kept, counts = sidecars.present(entries, sidecars.listed(spark, str(tmp_path), "*.vdb"))
     assert sorted((r.label, r.length) for r in kept.collect()) == [("a", 5), ("a", 5), ("b c", 5)] and tuple(counts.first()) == (3, 1)
+
+
+def test_strokes_are_replayed_on_their_own_surface(spark):
+    shape = "stroke_id string, grid_name string, iso double, adaptivity double, fits array<array<double>>"
+    fits = lambda *anchors: [[0.0, float(a), 0.0] for a in anchors]
+    fine = [("a", "density", 255.0, 0.0, fits(1, 2, 2)), ("b", "density", 255.00005, 0.0, []), ("c", "density", 255.0, 0.0, fits(4))]
+    assert sidecars.replayable(spark.createDataFrame(fine, shape), "density", 255.0).count() == 3
+    assert sidecars.replayable(spark.createDataFrame([], shape), "density", 255.0).count() == 0
+    for bad, why in ((("d", "other", 255.0, 0.0, []), "surface"), (("d", "density", 254.0, 0.0, []), "surface"), (("d", "density", 255.0, 0.5, []), "surface"), (("d", "density", None, 0.0, []), "surface"), (("d", "density", 255.0, 0.0, fits(3, 1)), "anchor"), (("d", "density", 255.0, 0.0, None), "anchor")):
+        with pytest.raises(Refused, match=why):
+            sidecars.replayable(spark.createDataFrame([*fine, bad], shape), "density", 255.0)
