@@ -8,10 +8,11 @@ differ in at most 1 bit, the anchor nearest to the one is within 2 of the other,
 there the whole fingerprints are compared. Only distinct fingerprints take part, so that copies
 never multiply.
 
-``near_duplicates`` links fingerprints of word shingles. A text whose 5-word shingles are 80 % alike differs in some
-6 to 16 bits of such a fingerprint, out of reach of any covering that stays small. ``alike`` therefore finds pairs by
-an exact prefix join: two sets with Jaccard likeness s share one of the first n - ceil(s n) + 1 members of each, in any
-order common to all sets. Texts that share one are candidates, and exact likeness of the whole sets decides.
+``near_duplicates`` links fingerprints of word shingles. ``alike`` takes the same links as its first candidates, and exact
+likeness of the whole shingle sets decides. A text whose 5-word shingles are 80 % alike differs in some 6 to 16 bits of such
+a fingerprint, out of reach of any covering that stays small. So that no link is lost, texts that this leaves apart then
+meet in an exact prefix join: two sets with Jaccard likeness s share one of the first n - ceil(s n) + 1 members of each, in
+any order common to all sets. Texts that share one are candidates too, under the same exact check.
 """
 
 from __future__ import annotations
@@ -260,20 +261,22 @@ def _parities(hashes: np.ndarray, words: int = 0) -> np.ndarray:
 
 
 def shingle_prefixes(bodies: DataFrame, common: Broadcast, similarity: float, width: int = WIDTH) -> DataFrame:
-    """(tid, size, grams, odd, sign) of (tid, text): number of distinct shingles, as many of them as the prefix join needs,
-    parities over as many slots as shingles, and over ``SIGN`` words."""
+    """(tid, size, grams, odd, sign, fp) of (tid, text): number of distinct shingles, as many of them as the prefix join needs,
+    parities over as many slots as shingles, and over ``SIGN`` words, and the SimHash of ``near_duplicates``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         marks = np.frombuffer(common.value, np.uint8)
         for batch in batches:
-            rows = [_shingle_hashes(t.as_py(), width) for t in batch.column(1)]
+            texts = batch.column(1).to_pylist()
+            rows = [_shingle_hashes(t, width) for t in texts]
+            fps = pa.array([fingerprint_of(t) for t in texts], pa.int64())
             sizes = pa.array([len(r) for r in rows], pa.int64())
             heads = pa.array([_common_first_last(r, marks)[: _prefix_length(len(r), similarity)] for r in rows], pa.list_(pa.int64()))
             odd = pa.array([_parities(r) for r in rows], pa.list_(pa.int64()))
             sign = pa.array([_parities(r, SIGN) for r in rows], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), sizes, heads, odd, sign], ["tid", "size", "grams", "odd", "sign"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), sizes, heads, odd, sign, fps], ["tid", "size", "grams", "odd", "sign", "fp"])
 
-    return bodies.select("tid", F.col("text").cast("binary")).mapInArrow(run, "tid long, size long, grams array<long>, odd array<long>, sign array<long>")
+    return bodies.select("tid", F.col("text").cast("binary")).mapInArrow(run, "tid long, size long, grams array<long>, odd array<long>, sign array<long>, fp long")
 
 
 def _sizes_fit(similarity: float) -> Column:
@@ -291,10 +294,10 @@ def _maybe_alike(pairs: DataFrame, heads: DataFrame, similarity: float) -> DataF
     """The (u, v) of ``pairs`` that the parities of their shingle sets don't rule out.
 
     A shingle that only one of the sets has flips one bit, so the sets differ in as many members at least as their parities
-    in bits. No pair that is alike enough is lost. Sizes fit, so that the one has at most twice as many words as the other.
+    in bits. No pair that is alike enough is lost. Where sizes fit, the one has at most twice as many words as the other.
     """
     of = lambda s: heads.select(F.col("tid").alias(s), F.col("size").alias(f"size_{s}"), F.col("odd").alias(f"odd_{s}"))
-    both = pairs.join(of("u"), "u").join(of("v"), "v")
+    both = pairs.join(of("u"), "u").join(of("v"), "v").where(_sizes_fit(similarity))
     words = F.least(F.size("odd_u"), F.size("odd_v"))
     bits = F.zip_with(_folded(F.col("odd_u"), words), _folded(F.col("odd_v"), words), lambda x, y: F.bit_count(x.bitwiseXOR(y)))
     differing = F.aggregate(bits, F.lit(0), lambda acc, n: acc + n)
@@ -339,12 +342,26 @@ def common_slots(bodies: DataFrame, width: int = WIDTH) -> bytes:
 
 
 def _heads(bodies: DataFrame, similarity: float, width: int) -> DataFrame:
-    """(tid, size, grams, odd, sign) of ``shingle_prefixes``, once for each text.
+    """(tid, size, grams, odd, sign, fp) of ``shingle_prefixes``, once for each text.
 
     Members are in the order of their hashes, common ones last, so that a passage of many texts makes no candidates.
     """
     common = bodies.sparkSession.sparkContext.broadcast(common_slots(bodies, width))
-    return shingle_prefixes(bodies, common, similarity, width).groupBy("tid").agg(F.first(F.struct("size", "grams", "odd", "sign")).alias("s")).select("tid", "s.*")
+    return shingle_prefixes(bodies, common, similarity, width).groupBy("tid").agg(F.first(F.struct("size", "grams", "odd", "sign", "fp")).alias("s")).select("tid", "s.*")
+
+
+def _covered(heads: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
+    """(u, v): texts with words whose SimHash fingerprints are equal or meet in the covering within ``threshold`` bits.
+
+    The smallest text of each fingerprint stands for it. Pairs that join the same groups are enough; the exact check of each
+    and the prefix join come after.
+    """
+    worded = heads.where(F.col("size") > 0).select("tid", "fp")
+    unique = cut(worded.groupBy("fp").agg(F.min("tid").alias("first")))
+    same = worded.join(unique, "fp").where(F.col("tid") != F.col("first")).select(F.col("first").alias("a"), F.col("tid").alias("b"))
+    of = lambda fp, name: unique.select(F.col("fp").alias(fp), F.col("first").alias(name))
+    met = joining_links(unique.select("fp"), threshold).join(of("u", "a"), "u").join(of("v", "b"), "v").select("a", "b")
+    return same.unionByName(met).select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v"))
 
 
 def _shared_grams(heads: DataFrame) -> DataFrame:
@@ -424,6 +441,7 @@ def text_ids(docs: DataFrame, keep: tuple[str, ...] = ()) -> tuple[DataFrame, Da
 def alike(bodies: DataFrame, similarity: float = SIMILARITY, width: int = WIDTH) -> DataFrame:
     """(u, v), u < v: the tids of (tid, text) whose shingle sets are ``similarity`` alike or more; rows of one tid are one text.
 
+    SimHash fingerprints in the anchor-point covering name the first pairs, leaders of crowds and the prefix join the others.
     The pairs join the same groups as all such pairs would: pairs whose texts others join already may be absent.
     Likeness is exact over 64-bit hashes of the shingles.
     """
@@ -431,7 +449,7 @@ def alike(bodies: DataFrame, similarity: float = SIMILARITY, width: int = WIDTH)
         raise ValueError("the prefix join holds for a similarity above 0, to 1")
     heads = cut(_heads(bodies, similarity, width))
     shared = cut(_shared_grams(heads))
-    led = _alike_of(_to_leaders(shared, similarity), heads, bodies, similarity, width)
+    led = _alike_of(_covered(heads).unionByName(_to_leaders(shared, similarity)).distinct(), heads, bodies, similarity, width)
     apart = _alike_of(_still_apart(shared, heads, connected_components(led), similarity), heads, bodies, similarity, width)
     return led.unionByName(apart)
 

@@ -37,6 +37,10 @@ def kept(spark, texts: list[str]) -> set[int]:
     return {r.doc_id for r in simhash.keep_one_per_group(df).select("doc_id").collect()}
 
 
+def bits(a: str, b: str) -> int:
+    return ((simhash.fingerprint_of(a) ^ simhash.fingerprint_of(b)) & (2**64 - 1)).bit_count()
+
+
 def words(rng: random.Random, n: int) -> list[str]:
     return ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randrange(2, 9))) for _ in range(n)]
 
@@ -91,3 +95,22 @@ def test_chains_in_one_crowd(spark):
     texts = [" ".join(t) for t in chains + others]
     want, pairs = firsts(texts)
     assert pairs and kept(spark, texts) == want
+
+
+def test_the_simhash_covering_finds_close_copies(spark, monkeypatch):
+    """Copies within 3 bits go by the covering alone; texts within 3 bits that are not alike stay."""
+    none = lambda *_: spark.createDataFrame([], "u long, v long")
+    monkeypatch.setattr(simhash, "_to_leaders", none)
+    monkeypatch.setattr(simhash, "_still_apart", none)
+    rng = random.Random(5)
+    texts, close = [], set()
+    for _ in range(40):
+        base = words(rng, 300)
+        copy = [*base[:-1], words(rng, 1)[0]]
+        texts += [" ".join(base), " ".join(copy)]
+        if bits(texts[-2], texts[-1]) <= 3:
+            close.add(len(texts) - 1)
+    passage = words(rng, 31)
+    texts += [" ".join(passage * n + words(rng, 40)) for n in (400, 400)]  # repeats count in a fingerprint, not in a set
+    assert len(close) > 30 and bits(texts[-2], texts[-1]) <= 3
+    assert kept(spark, texts) == set(range(len(texts))) - close
