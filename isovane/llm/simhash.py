@@ -305,11 +305,33 @@ def _maybe_alike(pairs: DataFrame, heads: DataFrame, similarity: float) -> DataF
     return both.where((total - differing) * F.lit(1 + similarity) >= total * F.lit(2 * similarity) - 1e-6).select("u", "v")
 
 
+def _slot_words(ids: DataFrame, key: str) -> DataFrame:
+    """(_at, _word): a bitmap of ``SLOTS`` bits with the slots of ``ids``, in rows of 64 bits."""
+    slot = F.xxhash64(key).bitwiseAND(F.lit(SLOTS - 1))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), slot.bitwiseAND(F.lit(63)).cast("int"))
+    return ids.groupBy(F.shiftright(slot, 6).alias("_at")).agg(F.bit_or(bit).alias("_word"))
+
+
+def _split_by_ids(rows: DataFrame, ids: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """(rows whose ``key`` is in ``ids``, the other rows). Long rows that are not in ``ids`` are not shuffled.
+
+    A few ids are broadcast. Of many ids a bitmap is, 4 MB of bits whatever their number; only rows that hit it meet the ids.
+    """
+    if ids.count() <= BROADCAST_ROWS:
+        few = F.broadcast(ids)
+        return rows.join(few, key, "left_semi"), rows.join(few, key, "left_anti")
+    slot = F.xxhash64(rows[key]).bitwiseAND(F.lit(SLOTS - 1))
+    words = F.broadcast(_slot_words(ids, key))
+    hit = (F.shiftright(slot, 6) == words["_at"]) & (F.call_function("shiftright", words["_word"], slot.bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1)) == 1)
+    some, none = rows.join(words, hit, "left_semi"), rows.join(words, hit, "left_anti")
+    return some.join(ids, key, "left_semi"), none.unionByName(some.join(ids, key, "left_anti"))
+
+
 def _alike_of(pairs: DataFrame, heads: DataFrame, bodies: DataFrame, similarity: float, width: int) -> DataFrame:
     """The (u, v) of ``pairs`` whose whole shingle sets are ``similarity`` alike or more."""
     pairs = cut(_maybe_alike(pairs, heads, similarity))
-    some = pairs.select(F.explode(F.array("u", "v")).alias("tid")).distinct()
-    sets = cut(shingle_sets(bodies.join(some, "tid", "left_semi"), width).groupBy("tid").agg(F.first("grams").alias("grams")))
+    some = cut(pairs.select(F.explode(F.array("u", "v")).alias("tid")).distinct())
+    sets = cut(shingle_sets(_split_by_ids(bodies, some, "tid")[0], width).groupBy("tid").agg(F.first("grams").alias("grams")))
     of = lambda name: sets.select(F.col("tid").alias(name), F.col("grams").alias(f"grams_{name}"))
     both = pairs.join(of("u"), "u").join(of("v"), "v")
     shared = F.size(F.array_intersect("grams_u", "grams_v"))
@@ -468,8 +490,8 @@ def keep_one_per_group(docs: DataFrame, similarity: float = SIMILARITY, width: i
     lowest = grouped.groupBy("root").agg(F.min("first_id").alias("kept_id"))
     named = grouped.join(lowest, "root").select("tid", "kept_id")
     stay = narrow.join(named, "tid").where(F.col("doc_id") == F.col("kept_id")).select("doc_id").distinct()
-    gone = narrow.select("doc_id").distinct().join(stay, "doc_id", "left_anti")
-    return docs.join(gone, "doc_id", "left_anti")
+    gone = cut(narrow.select("doc_id").distinct().join(stay, "doc_id", "left_anti"))
+    return _split_by_ids(docs, gone, "doc_id")[1]
 
 
 __all__ = ["THRESHOLD", "alike", "anchor_masks", "fingerprint_of", "fingerprints", "hex_fingerprint", "joining_links", "keep_one_per_group", "links", "near_duplicates", "text_ids"]

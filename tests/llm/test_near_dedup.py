@@ -7,6 +7,8 @@ from itertools import combinations
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from isovane.llm import simhash
 
 
@@ -114,3 +116,38 @@ def test_the_simhash_covering_finds_close_copies(spark, monkeypatch):
     texts += [" ".join(passage * n + words(rng, 40)) for n in (400, 400)]  # repeats count in a fingerprint, not in a set
     assert len(close) > 30 and bits(texts[-2], texts[-1]) <= 3
     assert kept(spark, texts) == set(range(len(texts))) - close
+
+
+def shuffled(spark) -> int:
+    found = spark.sparkContext._jsc.sc().statusStore().executorList(False)
+    return sum(found.apply(i).totalShuffleWrite() for i in range(found.size()))
+
+
+@pytest.mark.parametrize("few", [0, 20_000])
+def test_texts_that_nothing_is_alike_to_are_not_shuffled(spark, tmp_path, monkeypatch, few):
+    monkeypatch.setattr(simhash, "BROADCAST_ROWS", few)
+    rng = random.Random(8)
+    texts = [" ".join(words(rng, 400)) for _ in range(800)]
+    texts += [t + " more" for t in texts[:20]]
+    df = spark.createDataFrame([(i, t, bytes(rng.randbytes(20_000))) for i, t in enumerate(texts)], "doc_id long, text string, load binary")
+    df.write.parquet(f"{tmp_path}/docs")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        at = shuffled(spark)
+        out = simhash.keep_one_per_group(spark.read.parquet(f"{tmp_path}/docs"))
+        assert {r.doc_id for r in out.where(F.length("load") > 0).select("doc_id", "load").collect()} == set(range(800))
+        assert shuffled(spark) - at < 0.5 * len(texts) * 20_000
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_ids_by_a_bitmap_split_rows_as_a_join_does(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "SLOTS", 1 << 10)  # most rows hit it
+    rows = spark.createDataFrame([(None if i % 50 == 0 else i, i) for i in range(4000)], "doc_id long, n long")
+    ids = spark.createDataFrame([(i,) for i in range(1, 4000, 7)], "doc_id long")
+    got = {}
+    for few in (0, 20_000):
+        monkeypatch.setattr(simhash, "BROADCAST_ROWS", few)
+        got[few] = [sorted(r.n for r in part.collect()) for part in simhash._split_by_ids(rows, ids, "doc_id")]
+    assert got[0] == got[20_000] and sorted(sum(got[0], [])) == list(range(4000))
