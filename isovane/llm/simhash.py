@@ -35,6 +35,10 @@ HALF = 32
 CODE = 31
 #: Anchors with more nearest fingerprints than this are split by the other half.
 CROWD_AT = 64
+#: Fingerprints of a partition while links are looked for; each makes 34 rows. At least so many partitions.
+FPS_A_PART = 20_000
+ROWS_A_FP = 34
+LEAST_PARTS = 8
 SIMILARITY = 0.8
 WIDTH = 5
 #: More than so many texts with a shingle in common first compare with one of them; only what that leaves apart compares on.
@@ -174,32 +178,58 @@ def _centres(home: DataFrame) -> DataFrame:
 
 
 def joining_links(distinct_fps: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
-    """(u, v): pairs that differ in at most ``threshold`` bits and join the same groups as all of ``links`` do.
-
-    An anchor with at most ``CROWD_AT`` nearest fingerprints compares them with all that come. A fuller one is split by
-    quarters of the other half; there all first compare with the most central one, and only fingerprints that
+    """(u, v): pairs that differ in at most ``threshold`` bits and join the same groups as all of ``links`` do."""
+    first, _, rest = _joined(distinct_fps, threshold)
+    return first if rest is None else first.unionByName(rest.select("u", "v").distinct())
+
+
+def linked_groups(distinct_fps: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
+    """(node, component) of every fingerprint that has a link; the component is its smallest fingerprint."""
+    first, roots, rest = _joined(distinct_fps, threshold)
+    if rest is None:
+        return connected_components(first)
+    between = cut(rest.select(F.col("root_u").alias("u"), F.col("root_v").alias("v")).distinct())
+    if between.isEmpty():
+        return roots
+    over = connected_components(between).select(F.col("node").alias("root"), F.col("component").alias("lower"))
+    named = roots.withColumnRenamed("component", "root").join(over, "root", "left").select("node", F.coalesce("lower", "root").alias("component"))
+    alone = over.join(roots, over.root == roots.node, "left_anti").select(F.col("root").alias("node"), F.col("lower").alias("component"))
+    return named.unionByName(alone)
+
+
+def _joined(distinct_fps: DataFrame, threshold: int) -> tuple[DataFrame, DataFrame | None, DataFrame | None]:
+    """(first links, their groups, (u, v, root_u, root_v) of further links between these groups); the latter two None where no anchor is full.
+
+    An anchor with at most ``CROWD_AT`` nearest fingerprints compares them with all that come. So do fuller ones if their
+    comparisons are fewer than the rows of the covering. Else they are split by quarters of the other half; there all first compare with the most central one, and only fingerprints that
     this leaves outside a key's largest group meet the others of the key.
     """
     _checked(threshold)
-    home, spread = _at_anchors(distinct_fps)
-    full = cut(home.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > CROWD_AT).select("anchor"))
+    n = distinct_fps.count()
+    parts = max(LEAST_PARTS, n // FPS_A_PART + 1)
+    few_parts = lambda rows: rows.coalesce(parts)
+    home, spread = _at_anchors(few_parts(distinct_fps))
+    full = cut(few_parts(home.groupBy("anchor").agg(F.count("*").alias("n"))).where(F.col("n") > CROWD_AT))
+    n_full = full.count()
     pair = [F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")]
-    if full.isEmpty():
-        return links(distinct_fps, threshold)
-    few = home.join(full, "anchor", "left_anti").join(spread, "anchor").where((F.col("u") != F.col("v")) & _close(threshold)).select(*pair)
+    sent = F.broadcast(full) if n_full <= BROADCAST_ROWS else full
+    if n_full == 0 or few_parts(spread.join(sent, "anchor")).agg(F.sum("n")).first()[0] <= ROWS_A_FP * n:
+        return links(few_parts(distinct_fps), threshold), None, None
+    full = sent.select("anchor")
+    few = few_parts(home.join(full, "anchor", "left_anti").join(spread, "anchor")).where((F.col("u") != F.col("v")) & _close(threshold)).select(*pair)
     homes = cut(home.join(full, "anchor", "left_semi").select("u", _quarters(F.col("u"), False).alias("key")))
-    comers = cut(spread.join(full, "anchor", "left_semi").select("v", _quarters(F.col("v"), True).alias("key")).join(homes.select("key").distinct(), "key", "left_semi"))
-    led = comers.join(_centres(homes), "key").where((F.col("u") != F.col("v")) & _close(threshold)).select(*pair)
-    first = cut(few.unionByName(led).distinct())
+    comers = cut(few_parts(spread.join(full, "anchor", "left_semi").select("v", _quarters(F.col("v"), True).alias("key")).join(homes.select("key").distinct(), "key", "left_semi")))
+    led = few_parts(comers.join(_centres(homes), "key")).where((F.col("u") != F.col("v")) & _close(threshold)).select(*pair)
+    first = cut(few_parts(few.unionByName(led).distinct()))
     roots = connected_components(first)
     rooted = lambda rows, c: rows.join(roots.withColumnRenamed("node", c), c, "left").select(c, "key", F.coalesce("component", c).alias(f"root_{c}"))
     ours, theirs = rooted(homes, "u"), rooted(comers, "v")
     main = theirs.groupBy("key", "root_v").agg(F.count("*").alias("m")).groupBy("key").agg(F.max(F.struct("m", "root_v")).alias("m"), F.count("*").alias("groups"))
-    open_ = cut(main.where("groups > 1").select("key", F.col("m.root_v").alias("main")))
+    open_ = cut(few_parts(main).where("groups > 1").select("key", F.col("m.root_v").alias("main")))
     ours, theirs = ours.join(open_, "key"), theirs.join(open_.select("key", F.col("main").alias("main_v")), "key")
     met = [ours.where("root_u <> main").join(theirs, "key"), ours.where("root_u = main").join(theirs.where("root_v <> main_v"), "key")]
-    rest = [m.where((F.col("root_u") != F.col("root_v")) & _close(threshold)).select(*pair) for m in met]
-    return first.unionByName(rest[0].unionByName(rest[1]).distinct())
+    rest = [few_parts(m).where((F.col("root_u") != F.col("root_v")) & _close(threshold)).select(*pair, "root_u", "root_v") for m in met]
+    return first, roots, rest[0].unionByName(rest[1])
 
 
 def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD, width: int = 3, text: str = "text") -> DataFrame:
@@ -213,7 +243,7 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD, width: int = 3,
     """
     marked = cut(fingerprints(docs, text, width))
     unique = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
-    roots = connected_components(joining_links(unique, threshold))
+    roots = linked_groups(unique, threshold)
     rooted = unique.join(roots, unique.fp == roots.node, "left").select("fp", "first_id", F.coalesce("component", "fp").alias("root"))
     lowest = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
     named = rooted.join(lowest, "root").select("fp", "component_id")

@@ -61,3 +61,20 @@ def test_crowds_keep_their_groups(spark, kind, threshold):
     got = {x: x for x in fps} | {r.node: r.component for r in connected_components(found).collect()}
     assert got == groups(fps, threshold)
 
+
+def test_a_small_crowd_among_many_is_not_split(spark, monkeypatch):
+    """Splitting takes a dozen shuffles: it is for crowds whose comparisons outnumber the rows of the covering."""
+    rng = random.Random(12)
+    centre = rng.getrandbits(64)
+    crowd_ = [centre ^ sum(1 << i for i in rng.sample(range(32, 64), 3)) for _ in range(90)]
+    fps = sorted({signed(x) for x in crowd_ + [rng.getrandbits(64) for _ in range(1900)]})
+    monkeypatch.setattr(simhash, "_centres", lambda home: pytest.fail("split"))
+    got = {x: x for x in fps} | {r.node: r.component for r in simhash.linked_groups(spark.createDataFrame([(x,) for x in fps], "fp long")).collect()}
+    assert got == groups(fps)
+
+
+@pytest.mark.parametrize("kind", ["ball", "half"])
+def test_groups_of_crowds_by_their_first_groups(spark, kind):
+    fps = sorted({signed(x) for x in crowd(kind)})
+    got = {x: x for x in fps} | {r.node: r.component for r in simhash.linked_groups(spark.createDataFrame([(x,) for x in fps], "fp long")).collect()}
+    assert got == groups(fps)
