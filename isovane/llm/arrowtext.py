@@ -24,6 +24,13 @@ def pieces(column: pa.Array, limit: int = PIECE_BYTES, most: int = PIECE_ROWS) -
         start = stop
 
 
+def in_pieces(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.RecordBatch]:
+    """``batches`` cut into the pieces of their text column, so that what is made of a batch is never whole in memory."""
+    for batch in batches:
+        for start, stop in pieces(batch.column(column)):
+            yield batch.slice(start, stop - start)
+
+
 def flat_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes of all rows one after another, offsets); null rows are empty."""
     column = pc.fill_null(column, "").cast(pa.large_string())

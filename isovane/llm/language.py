@@ -27,7 +27,12 @@ ORDER = 3
 SEED = 20_011
 UNDETERMINED = "und"
 #: A text longer than this many symbols is counted in slices that overlap by ORDER - 1.
-SLICE = 1 << 21
+SLICE = 1 << 19
+#: Bytes of text that a task works on at a time, vectors of n-grams, and counts that are made at once: no array
+#: is larger than some 8 MB, since a worker keeps about as much as its largest ones after they are freed.
+PIECE = 1 << 19
+BLOCK = 1 << 10
+COUNTS = 1 << 20
 
 
 @cache
@@ -61,7 +66,7 @@ def _symbols(codes: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     """
     rows = len(offsets) - 1
     low = _lower_table()[codes]
-    row = np.repeat(np.arange(rows), np.diff(offsets))
+    row = np.repeat(np.arange(rows, dtype=np.int32), np.diff(offsets))
     letters = np.bincount(row[low > 0], minlength=rows)
     keep = low > 0
     keep[1:] |= (low[:-1] > 0) & (row[1:] == row[:-1])  # the first non-letter after a letter
@@ -79,7 +84,7 @@ def _compact(symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(distinct symbols in order, index of each place's symbol)."""
     seen = np.zeros(int(symbols.max()) + 1 if len(symbols) else 1, bool)
     seen[symbols] = True
-    return np.flatnonzero(seen), (np.cumsum(seen) - 1)[symbols]
+    return np.flatnonzero(seen), (np.cumsum(seen, dtype=np.int32) - np.int32(1))[symbols]
 
 
 def _grams(codes: np.ndarray, offsets: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -100,7 +105,7 @@ def _grams(codes: np.ndarray, offsets: np.ndarray, order: int) -> tuple[np.ndarr
         seen = np.zeros(base**order, bool)
         seen[number] = True
         distinct = np.flatnonzero(seen)
-        place = np.cumsum(seen) - 1
+        place = np.cumsum(seen, dtype=np.int32) - np.int32(1)
         return alphabet, distinct, place[number], at, letters
     distinct, inverse = np.unique(number, return_inverse=True)
     return alphabet, distinct, inverse, at, letters
@@ -117,10 +122,24 @@ def _bind(alphabet: np.ndarray, grams: np.ndarray, order: int, dim: int) -> np.n
     return bound.astype(np.float32)
 
 
+def _counted(at: np.ndarray, index: np.ndarray, rows: int, n_grams: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(first n-gram, how often each row has it and the next ones) for ``BLOCK`` n-grams at a time."""
+    together = rows * n_grams <= COUNTS
+    if together:
+        table = np.bincount(at * n_grams + index, minlength=rows * n_grams).reshape(rows, n_grams)
+    for lo in range(0, n_grams, BLOCK):
+        hi = min(n_grams, lo + BLOCK)
+        if together:
+            yield lo, table[:, lo:hi]
+            continue
+        mine = (index >= lo) & (index < hi)
+        yield lo, np.bincount(at[mine].astype(np.int64) * (hi - lo) + index[mine] - lo, minlength=rows * (hi - lo)).reshape(rows, hi - lo)
+
+
 def _bundles(column: pa.Array, order: int, dim: int, group: np.ndarray | None = None, groups: int = 0) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(start, stop, document vectors, letters) for pieces of a text column; with ``group``, a number below
     ``groups`` for each row, one vector for each group instead."""
-    for start, stop in pieces(column):
+    for start, stop in pieces(column, PIECE):
         codes, offsets = flat_codes(column.slice(start, stop - start))
         if stop - start == 1 and len(codes) > SLICE:
             vector, letters = _long(codes, order, dim)
@@ -133,11 +152,8 @@ def _bundles(column: pa.Array, order: int, dim: int, group: np.ndarray | None =
         if group is not None:
             at, rows = group[start:stop][at], groups
         vectors = np.zeros((rows, dim), np.float32)
-        for lo in range(0, len(grams), 1 << 14):  # so many n-gram vectors at a time
-            block = grams[lo : lo + (1 << 14)]
-            mine = (index >= lo) & (index < lo + len(block)) if len(grams) > len(block) else slice(None)
-            counts = np.bincount(at[mine] * len(block) + index[mine] - lo, minlength=rows * len(block))
-            vectors += counts.reshape(rows, len(block)).astype(np.float32) @ _bind(alphabet, block, order, dim)
+        for lo, counts in _counted(at, index, rows, len(grams)):
+            vectors += counts.astype(np.float32) @ _bind(alphabet, grams[lo : lo + BLOCK], order, dim)
         yield start, stop, vectors, letters
 
 
@@ -165,8 +181,8 @@ def _long(codes: np.ndarray, order: int, dim: int) -> tuple[np.ndarray, np.ndarr
         for j in range(order):
             number = number * len(alphabet) + index[j : j + n_grams]
         grams, counts = np.unique(number, return_counts=True)
-        for k in range(0, len(grams), 1 << 14):
-            total += counts[k : k + (1 << 14)] @ _bind(alphabet, grams[k : k + (1 << 14)], order, dim).astype(np.float64)
+        for k in range(0, len(grams), BLOCK):
+            total += counts[k : k + BLOCK] @ _bind(alphabet, grams[k : k + BLOCK], order, dim).astype(np.float64)
     return total.astype(np.float32), np.array([letters])
 
 
@@ -202,29 +218,31 @@ def predict(docs: DataFrame, prototypes: dict[str, list[float]], text: str = "te
 
     ``score`` is the cosine with the best prototype, clipped to 0..1. A text that is null or has no
     letter, or an empty set of prototypes, gives ``und`` and 0. Equal cosines go to the smaller name.
-    ``letters`` is the number of letters. Repeated rows are predicted one by one.
+    ``letters`` is the number of letters. Repeated rows are predicted one by one. Rows leave a task piece by piece, so that
+    neither side holds a second copy of a batch of texts.
     """
     names = sorted(prototypes)
     matrix = np.array([prototypes[k] for k in names], np.float32).reshape(len(names), dim)
     schema = docs.select(*keep).schema.add("lang_pred", "string").add("score", "double").add("letters", "long")
+    body = keep.index(text) if text in keep else len(keep)  # a text that is kept is sent once
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n = batch.num_rows
-            langs, scores, counts = np.full(n, UNDETERMINED, object), np.zeros(n), np.zeros(n, np.int64)
-            for start, stop, vectors, letters in _bundles(batch.column(len(keep)), order, dim):
-                counts[start:stop] = letters
-                if not names:
-                    continue
-                norms = np.linalg.norm(vectors, axis=1)
-                cosines = (vectors @ matrix.T) / np.maximum(norms, 1e-9)[:, None]
-                best = cosines.argmax(axis=1)
-                known = letters > 0
-                langs[start:stop][known] = np.array(names, object)[best[known]]
-                scores[start:stop][known] = np.clip(cosines[np.arange(stop - start), best][known], 0, 1)
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(langs, pa.string()), pa.array(scores), pa.array(counts)], [*keep, "lang_pred", "score", "letters"])
-
-    return docs.select(*keep, F.col(text).alias("_body")).mapInArrow(run, schema)
+            for start, stop, vectors, letters in _bundles(batch.column(body), order, dim):
+                n = stop - start
+                langs, scores = np.full(n, UNDETERMINED, object), np.zeros(n)
+                if names:
+                    norms = np.linalg.norm(vectors, axis=1)
+                    cosines = (vectors @ matrix.T) / np.maximum(norms, 1e-9)[:, None]
+                    best = cosines.argmax(axis=1)
+                    known = letters > 0
+                    langs[known] = np.array(names, object)[best[known]]
+                    scores[known] = np.clip(cosines[np.arange(n), best][known], 0, 1)
+                kept = batch.slice(start, n).columns[: len(keep)]
+                yield pa.RecordBatch.from_arrays([*kept, pa.array(langs, pa.string()), pa.array(scores), pa.array(letters, pa.int64())], [*keep, "lang_pred", "score", "letters"])
+
+    sent = [*keep] if text in keep else [*keep, F.col(text).alias("_body")]
+    return docs.select(*sent).mapInArrow(run, schema)
 
 
 def held_out(doc_id: str = "doc_id"):
@@ -276,8 +294,9 @@ def keep_identified(docs: DataFrame, rows: int = FIT_ROWS, least: float = LEAST_
     """
     prototypes = learn(docs.where(~held_out()))
     floor = F.element_at(F.array(*[F.lit(x) for x in floors(docs, prototypes, rows, least)]), length_class(F.col("letters")) + 1)
-    judged = predict(docs.select(F.struct(*docs.columns).alias("row"), "text"), prototypes, keep=("row",))
-    return judged.where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= floor)).select("row.*")
+    plain = [f"_{i}" for i in range(len(docs.columns))]  # no name that a prediction has
+    judged = predict(docs.toDF(*plain), prototypes, text=plain[docs.columns.index("text")], keep=tuple(plain))
+    return judged.where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= floor)).select(*plain).toDF(*docs.columns)
 
 
 __all__ = ["floors", "identify", "keep_identified", "learn", "predict"]

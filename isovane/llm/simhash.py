@@ -27,6 +27,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from isovane.llm.arrowtext import in_pieces
 from isovane.plans.fixpoint import connected_components
 from isovane.plans.lineage import cut
 
@@ -269,7 +270,7 @@ def shingle_sets(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """(tid, grams) of (tid, text): all distinct shingle hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_pieces(batches, 1):
             rows = [_shingle_hashes(t.as_py(), width) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.int64()))], ["tid", "grams"])
 
@@ -296,7 +297,7 @@ def shingle_prefixes(bodies: DataFrame, common: Broadcast, similarity: float, wi
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         marks = np.frombuffer(common.value, np.uint8)
-        for batch in batches:
+        for batch in in_pieces(batches, 1):
             texts = batch.column(1).to_pylist()
             rows = [_shingle_hashes(t, width) for t in texts]
             fps = pa.array([fingerprint_of(t) for t in texts], pa.int64())
