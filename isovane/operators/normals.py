@@ -287,20 +287,24 @@ def nearest_core(samples: DataFrame, at: tuple[float, float, float]) -> DataFram
     return samples.where("kind = 'core'").withColumn("d2", d2).orderBy("d2", *KEY).limit(1)
 
 
-def orient(field: DataFrame, seed: tuple[int, int, int], direction: tuple[float, float, float], spacing: tuple[float, float, float] = (1.0, 1.0, 1.0), min_alignment: float = MIN_ALIGNMENT, max_component: float = MAX_NORMAL_COMPONENT) -> DataFrame:
+def _at(rows: DataFrame, place: tuple[int, int, int] | None) -> DataFrame:
+    """The rows at ``place``; none where there is no place."""
+    return rows.where(F.lit(False) if place is None else F.expr(" AND ".join(f"{k} = {int(c)}" for k, c in zip(KEY, place, strict=True))))
+
+
+def orient(field: DataFrame, seed: tuple[int, int, int] | None, direction: tuple[float, float, float], spacing: tuple[float, float, float] = (1.0, 1.0, 1.0), min_alignment: float = MIN_ALIGNMENT, max_component: float = MAX_NORMAL_COMPONENT) -> DataFrame:
     """``field`` with consistent signs spread from ``seed``, ``oriented``, ``depth`` and ``parent`` (packed key).
 
     A wavefront over core samples, level by level: a sample gets its sign when two oriented neighbours (one next to the
     seed) vote for it clearly; then two passes in which all vote again with the seed fixed; then transitions, from core
     neighbours first and from each other after. Levels run in batches on tiles with a deep halo, see waves.spread().
-    Rows of one kind that share a place take part once. Without a valid core sample at ``seed`` nothing is oriented.
+    Rows of one kind that share a place take part once. Without a seed, or a valid core sample there, nothing is oriented.
     """
     valid = cut(field.where("nx <> 0 OR ny <> 0 OR nz <> 0").select(*KEY, "kind", "nx", "ny", "nz").dropDuplicates([*KEY, "kind"]))
     core = valid.where("kind = 'core'").drop("kind")
     mine = g.vector("nx", "ny", "nz")
     positive = g.dot(mine, tuple(F.lit(float(d)) for d in direction)) >= 0
-    start = core.where(" AND ".join(f"{k} = {int(c)}" for k, c in zip(KEY, seed, strict=True)))
-    first = start.select(*KEY, F.when(positive, 1).otherwise(-1).alias("sign"), F.lit(0).alias("depth"), F.lit(None).cast("long").alias("parent"), *[F.lit(0).alias(p) for p in ("ex", "ey", "ez")])
+    first = _at(core, seed).select(*KEY, F.when(positive, 1).otherwise(-1).alias("sign"), F.lit(0).alias("depth"), F.lit(None).cast("long").alias("parent"), *[F.lit(0).alias(p) for p in ("ex", "ey", "ez")])
     found = waves.spread(core, first, waves.signs(spacing, min_alignment, max_component))
     signed = core.join(found.select(*KEY, "sign", "depth", "parent"), KEY)
     signs = waves.revoted(signed, spacing, min_alignment, max_component)

@@ -115,11 +115,16 @@ def smoothed(spark, sf_dir) -> DataFrame:
     return normals.smooth(normals.fit(samples, "3x3"), "3x3").select(*KEY, "kind", *[F.round(F.col(c), 4).alias(c) for c in ("nx", "ny", "nz")])
 
 
+def _first(rows: DataFrame) -> tuple[int, int, int] | None:
+    """The first place in (x, y, z) order; None where there are no rows, as on a surface that nothing crosses."""
+    row = rows.select(*KEY).orderBy(*KEY).limit(1).first()
+    return row and tuple(row)
+
+
 def _oriented(spark, sf_dir):
     grid, iso, samples = _samples(spark, sf_dir)
     field = cut(normals.fit(samples, "5x5"))
-    first = samples.where("kind = 'core'").orderBy("x", "y", "z").limit(1).first()
-    return grid, field, normals.orient(field, (first.x, first.y, first.z), (1.0, 0.0, 0.0), grid.spacing)
+    return grid, field, normals.orient(field, _first(samples.where("kind = 'core'")), (1.0, 0.0, 0.0), grid.spacing)
 
 
 def oriented(spark, sf_dir) -> DataFrame:
