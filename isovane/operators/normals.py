@@ -337,15 +337,15 @@ def expansion(oriented: DataFrame, at: tuple[int, int, int]) -> DataFrame:
     return children.unionByName(siblings)
 
 
-def flip_preview(field: DataFrame, start: tuple[int, int, int], spacing: tuple[float, float, float] = (1.0, 1.0, 1.0), cap: int = 250_000, most_mm: float = 0.0, min_alignment: float = MIN_ALIGNMENT, max_component: float = MAX_NORMAL_COMPONENT, trace: DataFrame | None = None) -> DataFrame:
+def flip_preview(field: DataFrame, start: tuple[int, int, int] | None, spacing: tuple[float, float, float] = (1.0, 1.0, 1.0), cap: int = 250_000, most_mm: float = 0.0, min_alignment: float = MIN_ALIGNMENT, max_component: float = MAX_NORMAL_COMPONENT, trace: DataFrame | None = None) -> DataFrame:
     """(node, role, reason, parent, depth): core samples that a flip at ``start`` would turn, and where the chain stops.
 
     The chain goes on to neighbours (to children only, with a ``trace`` of node, parent) that now agree with the turned
     sample's old normal. It stops, in this order, at invalid normals, where the surface doesn't continue, at weak
     alignment, beyond ``most_mm`` (0: no limit), and at normals that are right after the flip. All of these depend on
     the pair alone. With ``cap`` or more affected samples, those up to the level that reaches it get the role ``capped``, and
-    applying does nothing. Equal depths: the smallest parent; several reasons at a boundary sample: the first.
-    Levels run in batches on tiles, see waves.spread(); counts by level keep the cap exact.
+    applying does nothing. Equal depths: the smallest parent; several reasons at a boundary sample: the first. Without a
+    start, or a valid core sample there, there are no rows. Levels run in batches on tiles, see waves.spread(); counts by level keep the cap exact.
     """
     core = field.where("kind = 'core'").select(*KEY, "nx", "ny", "nz").dropDuplicates(KEY)
     node, mine = pack_key(*map(F.col, KEY)), g.vector("nx", "ny", "nz")
@@ -353,7 +353,7 @@ def flip_preview(field: DataFrame, start: tuple[int, int, int], spacing: tuple[f
         leaders = trace.select(F.col("node").alias("_node"), F.col("parent").alias("leader"))
         core = core.withColumn("_node", node).join(leaders, "_node", "left").drop("_node").withColumn("leader", F.coalesce("leader", F.lit(waves.NEVER)).cast("long"))
     none, number = F.lit(None).cast("long"), F.lit(None).cast("int")
-    begin = core.where((g.dot(mine, mine) > g.TINY) & F.expr(" AND ".join(f"{k} = {int(c)}" for k, c in zip(KEY, start, strict=True))))
+    begin = _at(core.where(g.dot(mine, mine) > g.TINY), start)
     first = begin.select(*KEY, F.lit(0).alias("depth"), none.alias("parent"), number.alias("stop"))
     step = waves.chain(start, spacing, most_mm, min_alignment, max_component, trace is not None)
     found = cut(waves.spread(core, first, step, lambda rows: rows.where("depth IS NOT NULL").count() >= cap))

@@ -134,8 +134,7 @@ def oriented(spark, sf_dir) -> DataFrame:
 def flip_chain(spark, sf_dir) -> DataFrame:
     grid, _, field = _oriented(spark, sf_dir)
     field = cut(field)
-    first = field.where("kind = 'core' AND oriented AND depth = 1").orderBy(*KEY).limit(1).first()
-    return normals.flip_preview(field, (first.x, first.y, first.z), grid.spacing)
+    return normals.flip_preview(field, _first(field.where("kind = 'core' AND oriented AND depth = 1")), grid.spacing)
 
 
 QUERIES = {

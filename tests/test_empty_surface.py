@@ -8,7 +8,7 @@ import os
 import pytest
 
 from isovane import queries
-from isovane.operators import target
+from isovane.operators import normals, target
 from isovane.queries.surface import _grid
 from tests.compare import TABLES
 
@@ -38,3 +38,13 @@ def like(spark, name, flat):
 
 def test_nothing_to_orient(spark, flat):
     assert like(spark, "g9_h5_oriented_normals", flat) == []
+
+
+def test_nothing_to_flip(spark, flat):
+    assert like(spark, "g12_h7_flip_chain", flat) == []
+
+
+def test_no_start_of_a_flip(spark):
+    lone = spark.createDataFrame([(0, 0, 0, "core", 0.0, 0.0, 1.0)], "x int, y int, z int, kind string, nx double, ny double, nz double")
+    assert normals.flip_preview(lone, None).collect() == []
+    assert normals.flip_preview(lone, (0, 0, 0)).count() == 1
