@@ -113,14 +113,14 @@ def sweep(sources: DataFrame, links: DataFrame, limit: float = float("inf")) ->
     return relax(sources.select(F.lit(0).cast("long").alias("pair"), "node"), links, limit).drop("pair")
 
 
-def route(swept: DataFrame, end: int, most: int = 100_000) -> DataFrame:
-    """(seq, node) from the source to ``end`` along parents; empty where ``end`` wasn't reached.
+def route(swept: DataFrame, end: int | None, most: int = 100_000) -> DataFrame:
+    """(seq, node) from the source to ``end`` along parents; empty where ``end`` wasn't reached or there is none.
 
     The predecessor table stays distributed; every round joins the ends of path pieces with pieces twice as long
     (pointer doubling), so the rounds are few.
     """
     jump = cut(swept.select("node", "parent"))
-    path = cut(swept.where(F.col("node") == end).select("node", F.lit(0).alias("back")))
+    path = cut(swept.where(F.col("node") == F.lit(end)).select("node", F.lit(0).alias("back")))
     reach = 1
     while reach < most:
         ahead = path.join(jump, "node").where(F.col("parent").isNotNull()).select(F.col("parent").alias("node"), (F.col("back") + reach).alias("back"))

@@ -146,8 +146,8 @@ def route(spark, sf_dir) -> DataFrame:
     core, links = _unit_graph(spark, sf_dir)
     first = core.orderBy(*KEY).limit(1).select(target.pack_key(*map(F.col, KEY)).alias("node"))
     swept = paths.sweep(first, links)
-    end = swept.orderBy(F.desc("dist"), "node").limit(1).first()["node"]
-    return paths.route(swept, end).select("seq", *[c.alias(k) for c, k in zip(target.unpack_key(F.col("node")), KEY, strict=True)])
+    end = swept.orderBy(F.desc("dist"), "node").limit(1).first()
+    return paths.route(swept, end and end["node"]).select("seq", *[c.alias(k) for c, k in zip(target.unpack_key(F.col("node")), KEY, strict=True)])
 
 
 def brush(spark, sf_dir) -> DataFrame:

@@ -48,3 +48,7 @@ def test_no_start_of_a_flip(spark):
     lone = spark.createDataFrame([(0, 0, 0, "core", 0.0, 0.0, 1.0)], "x int, y int, z int, kind string, nx double, ny double, nz double")
     assert normals.flip_preview(lone, None).collect() == []
     assert normals.flip_preview(lone, (0, 0, 0)).count() == 1
+
+
+def test_no_route(spark, flat):
+    assert like(spark, "g6_route", flat) == []
