@@ -103,6 +103,23 @@ def test_language_stage_drops_what_is_in_no_learned_language(spark):
     assert len(clean - kept) <= 0.01 * len(clean)
 
 
+def test_floors_are_fitted_on_every_labelled_row(spark):
+    """70,000 short texts and 100 longer ones, which are too few for a floor of their own if some of them are left out."""
+    rng = random.Random(6)
+    words = {"a": ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(40)], "b": ["".join(rng.choice("nopqrstu") for _ in range(5)) for _ in range(40)]}
+    rows = [(i, " ".join(rng.choices(words[k], k=60 if i < 100 else 4)), k) for i in range(70_100) for k in ["ab"[i % 2]]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4).cache()
+    prototypes = language.learn(docs.where("doc_id < 1000"))
+    learned = docs.where(~language.held_out())
+    scores = [(r.letters.bit_length(), r.score) for r in language.predict(learned, prototypes, keep=("lang",)).where("lang = lang_pred").collect()]
+    found = language.floors(docs, prototypes)
+    short, long = (sorted(x for c, x in scores if c == n) for n in ((20).bit_length(), (300).bit_length()))
+    assert len(short) > 50_000 and language.CLASS_ROWS <= len(long) < 100
+    assert found[(300).bit_length()] == long[0] / 2  # the 1 % quantile of so few
+    assert short[len(short) // 100 - 10] / 2 <= found[(20).bit_length()] <= short[len(short) // 100 + 10] / 2
+    docs.unpersist()
+
+
 def test_quality_against_a_direct_solution(spark):
     rng = np.random.default_rng(5)
     n, d = 400, len(quality.STATISTICS)
